@@ -1,0 +1,57 @@
+"""Dense retrieval over `embeddings`."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keyloom.operators import vectors
+from keyloom.sources.tables import table
+
+#: The stated query set: the first vectors of the table.
+QUERY_VECTORS = 8
+K = 10
+RRF_K = 60
+
+
+def _queries_and_items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    emb = table(spark, sf_dir, "embeddings")
+    queries = emb.filter(F.col("vec_id") < QUERY_VECTORS).select(
+        F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")
+    )
+    return queries, emb.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"), "label")
+
+
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G01: exact top-10 by inner product for the stated query vectors."""
+    hits = vectors.top_k(*_queries_and_items(spark, sf_dir), K)
+    return hits.select("query_id", "item_id", "rank", F.round("raw_score", 6).alias("raw_score"))
+
+
+def dense_kis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense known-item search: top-k, reciprocal ranks, one-branch fusion, total order."""
+    hits = vectors.top_k(*_queries_and_items(spark, sf_dir), K)
+    return hits.select(
+        "query_id",
+        F.col("item_id").alias("frame_id"),
+        F.col("label").alias("video_id"),
+        "rank",
+        F.round(F.lit(1.0) / (F.lit(RRF_K) + F.col("rank")), 9).alias("final_score"),
+    ).orderBy("query_id", F.desc("final_score"), "frame_id")
+
+
+_TOPK = f"""
+WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id < {QUERY_VECTORS}),
+s AS (SELECT query_id, vec_id AS item_id, label, list_inner_product(qv::DOUBLE[], embedding::DOUBLE[]) AS raw_score
+      FROM embeddings, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw_score DESC, item_id) AS rank FROM s)
+"""
+
+QUERIES = {"dense_topk": dense_topk, "dense_kis": dense_kis}
+ORACLES = {
+    "dense_topk": _TOPK
+    + f"SELECT query_id, item_id, rank::INT AS rank, round(raw_score, 6) AS raw_score FROM r WHERE rank <= {K}",
+    "dense_kis": _TOPK
+    + f"""SELECT query_id, item_id AS frame_id, label AS video_id, rank::INT AS rank,
+       round(1.0::DOUBLE / ({RRF_K} + rank), 9) AS final_score FROM r WHERE rank <= {K}""",
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import mixing, sharding, url_filter
+from keyloom.llm import ann_search, exact_search, mixing, sharding, url_filter
 from keyloom.llm.url_filter import Rule
 
 RULES = (
@@ -26,6 +26,14 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_search.search(_table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.search(_table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's labelled outcome is the quality label of the document of the same number."""
     outcomes = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
@@ -45,5 +53,11 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_mix": op1_mix, "op7_url_filter": op7_url_filter, "op10_shard": op10_shard}
+QUERIES = {
+    "op1_mix": op1_mix,
+    "op3_neighbours": op3_neighbours,
+    "op7_url_filter": op7_url_filter,
+    "op8_topk": op8_topk,
+    "op10_shard": op10_shard,
+}
 ORACLES: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import ann_search, exact_search, mixing, sharding, url_filter
+from keyloom.llm import ann_search, exact_search, mixing, packing, sharding, url_filter
 from keyloom.llm.url_filter import Rule
 
 RULES = (
@@ -34,6 +34,13 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_search.search(_table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
+def op4_pack(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
+    return packing.packed_digests(_table(spark, sf_dir, "documents"), path)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's labelled outcome is the quality label of the document of the same number."""
     outcomes = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
@@ -56,6 +63,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix": op1_mix,
     "op3_neighbours": op3_neighbours,
+    "op4_pack": op4_pack,
     "op7_url_filter": op7_url_filter,
     "op8_topk": op8_topk,
     "op10_shard": op10_shard,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import ann_search, exact_search, mixing, packing, sharding, url_filter
+from keyloom.llm import ann_search, chunk_dedup, exact_search, mixing, packing, sharding, url_filter
 from keyloom.llm.url_filter import Rule
 
 RULES = (
@@ -26,6 +26,18 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = chunk_dedup.dedup(_table(spark, sf_dir, "documents"))
+    size = F.aggregate("dedup.removed", F.lit(0), lambda n, span: n + span["end"] - span["start"])
+    return done.select(
+        "doc_id",
+        "text",
+        F.col("dedup.n_chunks").alias("n_chunks"),
+        F.size("dedup.removed").alias("n_spans"),
+        size.alias("n_removed"),
+    )
+
+
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_search.search(_table(spark, sf_dir, "embeddings"), k=20, every=20)
 
@@ -62,6 +74,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix": op1_mix,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_neighbours": op3_neighbours,
     "op4_pack": op4_pack,
     "op7_url_filter": op7_url_filter,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import ann_search, chunk_dedup, exact_search, mixing, packing, sharding, url_filter
+from keyloom.llm import ann_search, chunk_dedup, exact_search, jaccard_join, mixing, packing, sharding, url_filter
 from keyloom.llm.url_filter import Rule
 
 RULES = (
@@ -53,6 +53,10 @@ def op4_pack(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) ->
     return packing.packed_digests(_table(spark, sf_dir, "documents"), path)
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "links")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's labelled outcome is the quality label of the document of the same number."""
     outcomes = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
@@ -77,6 +81,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_neighbours": op3_neighbours,
     "op4_pack": op4_pack,
+    "op6_jaccard": op6_jaccard,
     "op7_url_filter": op7_url_filter,
     "op8_topk": op8_topk,
     "op10_shard": op10_shard,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import ann_search, chunk_dedup, exact_search, jaccard_join, mixing, packing, sharding, url_filter
+from keyloom.llm import ann_search, chunk_dedup, exact_search, jaccard_join, line_crf, mixing, packing, sharding, url_filter
 from keyloom.llm.url_filter import Rule
 
 RULES = (
@@ -63,6 +63,17 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), outcomes, RULES)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    field = line_crf.train(docs, _table(spark, sf_dir, "labels"))
+    return line_crf.score(docs, field).select(
+        "doc_id",
+        line_crf.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= line_crf.GOOD).cast("int").alias("predicted"),
+    )
+
+
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     put = sharding.shard_by_bytes(_table(spark, sf_dir, "documents"), 16)
     return put.select(
@@ -84,6 +95,7 @@ QUERIES = {
     "op6_jaccard": op6_jaccard,
     "op7_url_filter": op7_url_filter,
     "op8_topk": op8_topk,
+    "op9_quality": op9_quality,
     "op10_shard": op10_shard,
 }
 ORACLES: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import ann_search, chunk_dedup, exact_search, jaccard_join, line_crf, mixing, packing, sharding, url_filter
+from keyloom.llm import ann_search, chunk_dedup, exact_search, jaccard_join, line_crf, mixing, packing, sharding, suffix_dedup, url_filter
 from keyloom.llm.url_filter import Rule
 
 RULES = (
@@ -53,6 +53,12 @@ def op4_pack(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) ->
     return packing.packed_digests(_table(spark, sf_dir, "documents"), path)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.dedup(_table(spark, sf_dir, "documents"))
+    n_spans = F.size("spans").cast("long").alias("n_spans")
+    return done.select("doc_id", "n_bytes", "n_removed", n_spans, "kept_sha256")
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "links")
 
@@ -92,6 +98,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_neighbours": op3_neighbours,
     "op4_pack": op4_pack,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_jaccard": op6_jaccard,
     "op7_url_filter": op7_url_filter,
     "op8_topk": op8_topk,

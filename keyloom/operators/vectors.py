@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Query vectors that are sent to every task at once; a larger batch is worked on in blocks of as many.
+QUERY_BLOCK = 2048
+
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision, summed from the first component on."""
@@ -45,10 +50,43 @@ def top_k(
 ) -> DataFrame:
     """The k items of largest inner product for each query, ties to the smaller item.
 
-    `queries` (query_id, vector) is a stated set of query vectors; `items` (item_id, vector, ...) is
-    scanned once. The rank filter lets Spark keep only k rows per query and task before it shuffles.
+    `queries` (query_id, vector) is a stated batch of query vectors, `items` (item_id, vector, ...) the
+    corpus. The batch is counted: one block is broadcast, more blocks meet the items by an equi-join on
+    the block. The rank filter lets Spark keep k rows per query and task before it shuffles.
     """
     q = queries.select(F.col(query_id), F.col("vector").alias("_q"))
-    pairs = items.crossJoin(q).withColumn("raw_score", dot(F.col("_q"), F.col("vector"))).drop("_q", "vector")
+    blocks = math.ceil(queries.count() / QUERY_BLOCK)
+    if blocks <= 1:
+        pairs = items.join(F.broadcast(q))
+    else:
+        q = q.withColumn("_block", F.pmod(F.xxhash64(query_id), F.lit(blocks)))
+        each = items.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+        pairs = each.join(q, "_block").drop("_block")
+    pairs = pairs.withColumn("raw_score", dot(F.col("_q"), F.col("vector"))).drop("_q", "vector")
     order = Window.partitionBy(query_id).orderBy(F.desc("raw_score"), F.asc(item_id))
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def audit(vectors: DataFrame, tolerance: float = 1e-3, vector: str = "vector") -> DataFrame:
+    """One row: rows, least and greatest dimension, and counts of null, non-finite and non-unit vectors."""
+    v = F.col(vector)
+    bad = lambda ok: F.count(F.when(v.isNotNull() & ~ok, 1))
+    return vectors.agg(
+        F.count("*").alias("n_rows"),
+        F.min(F.size(v)).alias("min_dim"),
+        F.max(F.size(v)).alias("max_dim"),
+        F.count(F.when(v.isNull(), 1)).alias("n_null"),
+        bad(is_finite(v)).alias("n_non_finite"),
+        bad(is_unit(v, tolerance)).alias("n_non_unit"),
+    )
+
+
+def mean_pool(chunks: DataFrame, key: str, vector: str = "vector") -> DataFrame:
+    """(key, pos, value): the component-wise mean of each key's vectors, scaled to length 1; pos from 0.
+
+    Components are averaged by an ordinary grouped mean, so no task holds all vectors of a key.
+    """
+    parts = chunks.select(F.col(key), F.posexplode(vector).alias("pos", "x"))
+    means = parts.groupBy(key, "pos").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+    length = F.sqrt(F.sum(F.col("mean") * F.col("mean")).over(Window.partitionBy(key)))
+    return means.select(key, "pos", (F.col("mean") / length).alias("value"))

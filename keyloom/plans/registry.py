@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.plans import dense
+from keyloom.plans import retrieval, timeline
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-for module in (dense,):
+for module in (retrieval, timeline):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES

@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import ann_search, chunk_dedup, exact_search, jaccard_join, line_crf, mixing, packing, sharding, suffix_dedup, url_filter
+from keyloom.llm import (
+    ann_search,
+    chunk_dedup,
+    exact_search,
+    jaccard_join,
+    line_crf,
+    mixing,
+    oracles,
+    packing,
+    sharding,
+    suffix_dedup,
+    url_filter,
+)
 from keyloom.llm.url_filter import Rule
 
 RULES = (
@@ -105,4 +117,9 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_shard": op10_shard,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_mix": oracles.MIX,
+    "op3_neighbours": oracles.NEIGHBOURS,
+    "op7_url_filter": oracles.url_filter(RULES),
+    "op8_topk": oracles.TOPK,
+}

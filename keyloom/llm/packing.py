@@ -11,7 +11,7 @@ plans on runs of equal bins:
 3. actual pieces take the places of their group, from which every run of bins gets its true gap;
 4. short pieces, longest first, go into the smallest gap that holds them, or into new bins.
 
-Several numbers of groups are tried and the fewest bins win. The plan says, for each length, which
+Several numbers of groups and bounds of what is short are tried and the fewest bins win. The plan says, for each length, which
 bins the pieces of a range of ranks go to; ranks come from windows over (length, salt), so a
 length that a third of all pieces have is spread over many tasks.
 """
@@ -241,11 +241,11 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 48,
 
 
 def best_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Runs:
-    """The plan with the fewest bins over several numbers of groups; ends early at the lower bound."""
+    """The plan with the fewest bins over several groupings; ends early at the lower bound."""
     least = math.ceil(sum(n * c for n, c in histogram.items()) / capacity)
     best = None
-    for groups in (96, 400, 1000):
-        found = plan(histogram, capacity, groups)
+    for groups, short in ((400, 0.125), (1000, 0.125), (1000, 0.25), (1000, 0.5), (96, 0.125)):
+        found = plan(histogram, capacity, groups, short)
         if best is None or found.bins() < best.bins():
             best = found
         if best.bins() <= least:

@@ -97,4 +97,4 @@ def same_tokens(a: Column, b: Column) -> Column:
 
 def join_texts(regions: Column) -> Column:
     """Stripped non-empty texts joined by a blank."""
-    return F.array_join(F.filter(F.transform(regions, F.trim), lambda t: t != ""), " ")
+    return F.array_join(F.filter(F.transform(regions, lambda t: F.trim(t)), lambda t: t != ""), " ")

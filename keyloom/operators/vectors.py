@@ -60,7 +60,7 @@ def top_k(
         pairs = items.join(F.broadcast(q))
     else:
         q = q.withColumn("_block", F.pmod(F.xxhash64(query_id), F.lit(blocks)))
-        each = items.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+        each = items.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
         pairs = each.join(q, "_block").drop("_block")
     pairs = pairs.withColumn("raw_score", dot(F.col("_q"), F.col("vector"))).drop("_q", "vector")
     order = Window.partitionBy(query_id).orderBy(F.desc("raw_score"), F.asc(item_id))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RRF_K = 60
-MAX_FRAMES_PER_INTERVAL = 50
+#: Constraints of one query, which every task gets.
+MAX_CONSTRAINTS = 100
 
 
 def ranked(hits: DataFrame, by: list[str], *order: Column) -> DataFrame:
@@ -90,12 +91,18 @@ def apply_boost(frames: DataFrame, boosts: DataFrame, on: list[str]) -> DataFram
     return new.withColumn("final_score", F.col("_base") + F.col("boost")).drop("_base")
 
 
+def _short(constraints: DataFrame) -> DataFrame:
+    if constraints.limit(MAX_CONSTRAINTS + 1).count() > MAX_CONSTRAINTS:
+        raise ValueError(f"a query has at most {MAX_CONSTRAINTS} constraints")
+    return F.broadcast(constraints)
+
+
 def object_counts(objects: DataFrame, constraints: DataFrame, on: str = "frame_id") -> DataFrame:
     """(on, constraint_id, found): objects of the constraint's label with its least confidence or more.
 
-    constraints (constraint_id, label, min_confidence, ...) is a query's short list and is broadcast.
+    constraints (constraint_id, label, min_confidence, ...) is a query's short list: its length is checked, then it is broadcast.
     """
-    c = F.broadcast(constraints.select("constraint_id", F.col("label").alias("_label"), "min_confidence"))
+    c = _short(constraints.select("constraint_id", F.col("label").alias("_label"), "min_confidence"))
     hit = (F.col("label") == F.col("_label")) & (F.col("confidence") >= F.col("min_confidence"))
     return objects.join(c, hit).groupBy(on, "constraint_id").agg(F.count("*").alias("found"))
 
@@ -114,7 +121,7 @@ def constrain(
     constraints (constraint_id, label, op, cnt, min_confidence, mode): a short list.
     """
     counts = object_counts(objects, constraints, on)
-    each = frames.join(F.broadcast(constraints)).join(counts, [on, "constraint_id"], "left")
+    each = frames.join(_short(constraints)).join(counts, [on, "constraint_id"], "left")
     ok = satisfied(F.col("op"), F.coalesce("found", F.lit(0)), F.col("cnt"))
     hard, soft = F.col("mode") == "HARD", F.col("mode") == "SOFT"
     judged = each.groupBy(*frames.columns).agg(

@@ -45,26 +45,73 @@ def is_unit(v: Column, tolerance: float) -> Column:
     return F.abs(norm(v) - 1.0) <= tolerance
 
 
+def against(queries: DataFrame, items: DataFrame) -> DataFrame:
+    """Every query row with every item row: a stated batch of queries against a corpus.
+
+    The batch is counted. One block of queries is broadcast; more blocks meet the items by an equi-join on the
+    block's number. The two sides may share no column names.
+    """
+    blocks = math.ceil(queries.count() / QUERY_BLOCK)
+    if blocks <= 1:
+        return items.join(F.broadcast(queries))
+    q = queries.withColumn("_block", F.pmod(F.xxhash64(*queries.columns), F.lit(blocks)))
+    numbers = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
+    return items.withColumn("_block", F.explode(numbers)).join(q, "_block").drop("_block")
+
+
+def _best_in_batches(queries: list, items: DataFrame, k: int, item_id: str) -> DataFrame:
+    """Each Arrow batch of items as one matrix product; the k best of each query in the batch go on.
+
+    Products only choose candidates, with room for rounding; scores are then summed from the first component
+    on, so equal vectors have equal scores wherever they stand.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    q = np.array([r[1] for r in queries], np.float64)
+    q_ids = np.array([r[0] for r in queries])
+    size = np.linalg.norm(q, axis=1)
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(1)
+            x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+            if not len(x):
+                continue
+            about, least = q @ x.T, min(k, len(x))
+            room = 1e-9 * size[:, None] * np.linalg.norm(x, axis=1)[None, :]
+            floor = np.partition(about - room, -least, axis=1)[:, [-least]]
+            i, j = np.nonzero(about + room >= floor)
+            score = np.add.accumulate(q[i] * x[j], axis=1)[:, -1]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(q_ids[i]), batch.column(0).take(pa.array(j)), pa.array(score)], ["_query", item_id, "raw_score"]
+            )
+
+    kind = items.schema[item_id].dataType.simpleString()
+    return items.select(item_id, "vector").mapInArrow(run, f"_query long, {item_id} {kind}, raw_score double")
+
+
 def top_k(
     queries: DataFrame, items: DataFrame, k: int, *, query_id: str = "query_id", item_id: str = "item_id"
 ) -> DataFrame:
     """The k items of largest inner product for each query, ties to the smaller item.
 
-    `queries` (query_id, vector) is a stated batch of query vectors, `items` (item_id, vector, ...) the
-    corpus. The batch is counted: one block is broadcast, more blocks meet the items by an equi-join on
-    the block. The rank filter lets Spark keep k rows per query and task before it shuffles.
+    `queries` (query_id, vector) is a stated batch of query vectors, `items` (item_id, vector, ...) the corpus,
+    read once. A batch of at most QUERY_BLOCK vectors goes to every task, which multiplies whole
+    Arrow batches; a larger one is joined in blocks. All vectors have one length and none is null. Columns of
+    the items are joined back to the k rows of each query.
     """
-    q = queries.select(F.col(query_id), F.col("vector").alias("_q"))
-    blocks = math.ceil(queries.count() / QUERY_BLOCK)
-    if blocks <= 1:
-        pairs = items.join(F.broadcast(q))
+    held = queries.select(F.col(query_id).cast("long"), "vector").limit(QUERY_BLOCK + 1).collect()
+    if len(held) <= QUERY_BLOCK and held:
+        pairs = _best_in_batches(held, items, k, item_id).withColumnRenamed("_query", query_id)
     else:
-        q = q.withColumn("_block", F.pmod(F.xxhash64(query_id), F.lit(blocks)))
-        each = items.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        pairs = each.join(q, "_block").drop("_block")
-    pairs = pairs.withColumn("raw_score", dot(F.col("_q"), F.col("vector"))).drop("_q", "vector")
+        q = queries.select(F.col(query_id), F.col("vector").alias("_q"))
+        pairs = against(q, items.select(item_id, "vector"))
+        pairs = pairs.select(query_id, item_id, dot(F.col("_q"), F.col("vector")).alias("raw_score"))
     order = Window.partitionBy(query_id).orderBy(F.desc("raw_score"), F.asc(item_id))
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    best = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    rest = [c for c in items.columns if c not in (item_id, "vector")]
+    return best.join(items.select(item_id, *rest), item_id) if rest else best
 
 
 def audit(vectors: DataFrame, tolerance: float = 1e-3, vector: str = "vector") -> DataFrame:

@@ -147,8 +147,7 @@ def similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     full = events.withColumn("n", F.count("*").over(Window.partitionBy("query_id"))).filter(F.col("n") == EVENTS)
     sim = F.round(vectors.dot(F.col("q"), F.col("v")), 6).alias("sim")
-    pairs = frames.join(F.broadcast(full)) if full.count() <= vectors.QUERY_BLOCK else frames.join(full)
-    return pairs.select("query_id", "video_id", "event_idx", "pos", sim)
+    return vectors.against(full, frames).select("query_id", "video_id", "event_idx", "pos", sim)
 
 
 def event_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.stage import written
 
-AVG_WORDS = 4
-MIN_WORDS = 16
+AVG_WORDS = 3
+MIN_WORDS = 26
 MAX_WORDS = 64
 #: Random numbers of the 256 byte values, by rule: the first 4 bytes of a hash of the value.
 GEAR = np.array([xxhash.xxh3_64_intdigest(bytes([b]), seed=7) & 0xFFFFFFFF for b in range(256)], np.uint32)

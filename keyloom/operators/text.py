@@ -49,3 +49,38 @@ def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("raw_score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def edits_allowed(term: Column) -> Column:
+    """Edit distance that a term of this length may have: 0 up to two letters, 1 up to five, 2 beyond."""
+    return F.when(F.length(term) <= 2, 0).when(F.length(term) <= 5, 1).otherwise(2)
+
+
+def _without_one(term: Column) -> Column:
+    """The term and all that is left of it without one letter."""
+    cut = F.transform(
+        F.sequence(F.lit(1), F.length(term)),
+        lambda i: F.concat(F.substr(term, F.lit(1), i - 1), F.substr(term, i + 1)),
+    )
+    return F.when(F.length(term) > 0, F.array_distinct(F.concat(F.array(term), cut))).otherwise(F.array(term))
+
+
+def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(term, word, distance): words of the vocabulary within each term's allowed edit distance.
+
+    terms (term) and vocabulary (word) hold each text once. Two texts within distance d share a text that is left of
+    either without at most d letters, so an equi-join on these finds all pairs; the distance is then checked.
+    """
+
+    def left(df: DataFrame, name: str, most: Column) -> DataFrame:
+        once = _without_one(F.col(name))
+        twice = F.array_distinct(F.flatten(F.transform(once, _without_one)))
+        kept = F.when(most == 0, F.array(F.col(name))).when(most == 1, once).otherwise(twice)
+        return df.select(name, F.explode(kept).alias("_left"))
+
+    asked = left(terms, "term", edits_allowed(F.col("term")))
+    # a word may be up to two letters shorter or longer than the term it is for, so its own length does not bound it
+    known = left(vocabulary, "word", F.lit(2))
+    pairs = asked.join(known, "_left").select("term", "word").distinct()
+    pairs = pairs.withColumn("distance", F.levenshtein("term", "word"))
+    return pairs.filter(F.col("distance") <= edits_allowed(F.col("term")))

@@ -6,11 +6,12 @@ two flags, the confidence is 1 - discount.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions import ids, strings
 from keyloom.operators import quality, ranking, sequences, vectors
+from keyloom.sources import artifacts
 from keyloom.sources.tables import table
 
 CONSTRAINTS = [
@@ -209,6 +210,57 @@ def extractive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(made).alias("digest"), F.length(made).alias("n"))
 
 
+def frame_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors against documents of the same number, per language: matched, and missing on either side."""
+    vecs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.size("embedding").alias("dim"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    both = docs.join(vecs, "doc_id", "full_outer")
+    n = lambda ok: F.count(F.when(ok, 1))
+    lang, dim = F.col("lang"), F.col("dim")
+    return both.groupBy("lang").agg(
+        n(lang.isNotNull() & dim.isNotNull()).alias("matched"), n(dim.isNull()).alias("no_vector"), n(lang.isNull()).alias("no_document")
+    )
+
+
+def branch_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per user as a branch: greatest value, number of hits, and the different kinds in order."""
+    kinds = F.array_join(F.array_sort(F.collect_set("event_type")), ",")  # a handful of kinds
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(
+        F.max("value").alias("most"), F.count("*").alias("n"), kinds.alias("kinds")
+    )
+
+
+def segment_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items of an order as segments: those that start before the one before them, or are empty."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_tax", F.lag("l_quantity").over(w).alias("before")
+    )
+    checks = {
+        "BACKWARD": F.col("before").isNull() | (F.col("l_quantity") >= F.col("before")),
+        "EMPTY": F.col("l_tax") > 0,
+    }
+    return quality.violations(rows, checks, ["l_orderkey", "l_linenumber"])
+
+
+def keyframe_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as shots of their quantity in frames, sampled at three places."""
+    start = F.col("l_linenumber") * 100
+    shots = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("video_id"), F.col("l_linenumber").alias("shot_id"), start.alias("start_frame"),
+        (start + F.col("l_quantity").cast("int")).alias("end_frame"), F.lit(25.0).alias("fps"),
+    )
+    return artifacts.keyframe_samples(shots).select("video_id", "shot_id", "position_code", "frame_index", "time_sec")
+
+
+def fixed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as tracks of characters in windows of 1,000."""
+    tracks = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("path"), F.length("text").cast("long").alias("n_samples"), F.lit(100).alias("rate")
+    )
+    return artifacts.audio_windows(tracks, 10.0).select(F.col("path").alias("doc_id"), "nth", "first", "last")
+
+
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as text regions of their order."""
     region = F.struct(F.col("l_quantity").alias("cy"), F.col("l_extendedprice").alias("cx"), F.lit(6.0).alias("height"), F.col("l_linenumber").alias("id"))
@@ -239,6 +291,7 @@ QUERIES = {
         bounds_audit, manifest_counts, vector_audit, mean_pooling, float32_equality, inventory_changed, content_digest,
         branch_status_rollup, upsert, delete_cascade, union_distinct_ids, frame_id_build, path_safety, caption_time,
         json_field, token_repetition, number_guard, word_chunking, extractive_summary, reading_order, nms,
+        frame_vectors, branch_diagnostics, segment_validation, keyframe_sampling, fixed_windows,
     )
 }
 
@@ -317,4 +370,20 @@ ORACLES = {
         e AS (SELECT doc_id, w, coalesce(list_max(list_filter(range(101, 181), lambda i: regexp_matches(coalesce(w[i], ''), '[.!?]$'))), 180) AS cut FROM w),
         s AS (SELECT doc_id, array_to_string(if(len(w) <= 180, w, w[1:cut]), ' ') AS s FROM e)
         SELECT doc_id, md5(s) AS digest, length(s)::INT AS n FROM s""",
+    "frame_vectors": """SELECT lang, count(*) FILTER (lang IS NOT NULL AND v.vec_id IS NOT NULL) AS matched,
+        count(*) FILTER (v.vec_id IS NULL) AS no_vector, count(*) FILTER (lang IS NULL) AS no_document
+        FROM documents d FULL JOIN embeddings v ON v.vec_id = d.doc_id GROUP BY lang""",
+    "branch_diagnostics": """SELECT user_id, max(value) AS most, count(*) AS n,
+        string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM events GROUP BY user_id""",
+    "segment_validation": """WITH r AS (SELECT l_orderkey, l_linenumber, l_quantity, l_tax,
+        lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS b FROM lineitem)
+        SELECT l_orderkey, l_linenumber, 'BACKWARD' AS code FROM r WHERE l_quantity < b
+        UNION ALL SELECT l_orderkey, l_linenumber, 'EMPTY' FROM r WHERE NOT coalesce(l_tax > 0, false)""",
+    "keyframe_sampling": """WITH s AS (SELECT l_orderkey, l_linenumber, l_linenumber * 100 AS a, l_linenumber * 100 + l_quantity::INT AS b,
+        unnest([0.15::DOUBLE, 0.5, 0.85]) AS p FROM lineitem),
+        f AS (SELECT *, greatest(a, least(b, a + round_even(p * (b - a), 0)))::INT AS f FROM s)
+        SELECT l_orderkey AS video_id, l_linenumber AS shot_id, round_even(p * 100, 0)::INT AS position_code, f AS frame_index,
+        round_even(f / 25.0::DOUBLE, 3) AS time_sec FROM f""",
+    "fixed_windows": """SELECT doc_id, (a // 1000)::INT AS nth, a AS "first", least(a + 1000, length(text)) AS "last"
+        FROM (SELECT doc_id, text, unnest(range(0, length(text), 1000)) AS a FROM documents)""",
 }

@@ -140,6 +140,14 @@ def vqa_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("query_id", F.col("chunk_id").cast("long").alias("frame_id"), "kept")
 
 
+def fuzzy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all page titles near the benchmark's words."""
+    word = lambda df, c: df.select(F.explode(text.analyse(F.col(c))).alias("word")).distinct()
+    titles = table(spark, sf_dir, "pages").select(F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    terms = word(table(spark, sf_dir, "benchmark"), "text").withColumnRenamed("word", "term")
+    return text.fuzzy_terms(terms, word(titles, "title"))
+
+
 _DENSE = f"""
 q AS (SELECT b.item_id AS query_id, e.embedding AS qv FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id),
 dense AS (SELECT query_id, vec_id AS frame_id, label, list_inner_product(qv::DOUBLE[], embedding::DOUBLE[]) AS raw_score,
@@ -207,6 +215,7 @@ QUERIES = {
     "submission_rows": submission_rows,
     "primary_selection": primary_selection,
     "vqa_evidence": vqa_evidence,
+    "fuzzy_terms": fuzzy_terms,
 }
 ORACLES = {
     "dense_topk": f"WITH {_DENSE} SELECT query_id, frame_id, rank::INT AS rank, round(raw_score, 6) AS raw_score FROM dense",
@@ -225,5 +234,11 @@ ORACLES = {
     "source_frame_dedup": _ALL + "SELECT query_id, video_id, frame_id, final_score, near_frames FROM groups",
     "kis_end_to_end": _ALL + "SELECT * FROM final",
     "submission_rows": _ALL + "SELECT query_id, rank, video_id || ',' || frame_id AS line FROM final WHERE rank <= 100",
+    "fuzzy_terms": f"""WITH t AS (SELECT DISTINCT unnest({_TOKENS}) AS term FROM benchmark),
+        w AS (SELECT DISTINCT unnest({_TOKENS}) AS word FROM (SELECT regexp_extract(html, '<title>([^<]*)</title>', 1) AS text FROM pages)),
+        p AS (SELECT term, word, levenshtein(term, word)::INT AS distance,
+              CASE WHEN length(term) <= 2 THEN 0 WHEN length(term) <= 5 THEN 1 ELSE 2 END AS most
+              FROM t JOIN w ON abs(length(term) - length(word)) <= 2)
+        SELECT term, word, distance FROM p WHERE distance <= most""",
     "primary_selection": f"WITH {_DENSE}, {_LEXICAL}, {_FUSED}, {_BOOSTED} {_PRIMARY}",
 }

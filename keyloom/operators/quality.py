@@ -103,3 +103,50 @@ def roll_up(checks: DataFrame) -> DataFrame:
     return checks.agg(
         F.when(F.coalesce(fail, F.lit(False)), "FAIL").when(F.coalesce(partial, F.lit(False)), "PARTIAL").otherwise("PASS").alias("status")
     )
+
+
+def check(name: str, failures: DataFrame, required: bool = True) -> DataFrame:
+    """One row (name, failures, status, required): PASS without failing rows, else FAIL, or WARNING if not required."""
+    n = F.col("failures")
+    status = F.when(n == 0, "PASS").otherwise("FAIL" if required else "WARNING")
+    counted = failures.agg(F.count("*").alias("failures"))
+    return counted.select(F.lit(name).alias("name"), "failures", status.alias("status"), F.lit(required).alias("required"))
+
+
+def artifact_report(
+    artifact: DataFrame,
+    source: DataFrame,
+    key: str,
+    text: str,
+    contract: Mapping[str, Column],
+    vector: Column,
+    dimension: int,
+    unit_ok: Column,
+) -> DataFrame:
+    """One row on whether a derived table still fits its source.
+
+    Counts keys that are missing, superfluous or repeated, texts that changed, rows that break the contract's predicates
+    (on the artifact's columns) and vectors of another dimension or not of unit length; valid if all are 0.
+    """
+    n = lambda ok: F.count(F.when(F.coalesce(ok, F.lit(False)), 1))
+    broken = F.lit(False)
+    for ok in contract.values():
+        broken = broken | ~F.coalesce(ok, F.lit(False))
+    own = artifact.select(
+        key, F.col(text).alias("_own"), broken.alias("_broken"),
+        (F.coalesce(F.size(vector), F.lit(-1)) != dimension).alias("_dim"), (~F.coalesce(unit_ok, F.lit(False))).alias("_unit"),
+        F.lit(True).alias("_there"),
+    )
+    repeated = own.groupBy(key).agg(F.count("*").alias("_n")).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("repeated"))
+    both = source.select(key, F.col(text).alias("_text"), F.lit(True).alias("_wanted")).join(own, key, "full_outer")
+    counts = both.agg(
+        n(F.col("_there").isNull()).alias("missing"),
+        n(F.col("_wanted").isNull()).alias("superfluous"),
+        n(F.col("_there") & F.col("_wanted") & ~F.col("_own").eqNullSafe(F.col("_text"))).alias("changed"),
+        n(F.col("_broken")).alias("broken"),
+        n(F.col("_dim")).alias("other_dimension"),
+        n(F.col("_unit")).alias("not_unit"),
+    )
+    out = counts.join(F.broadcast(repeated))  # one row each
+    bad = ["missing", "superfluous", "changed", "broken", "other_dimension", "not_unit", "repeated"]
+    return out.withColumn("valid", sum((F.col(c) for c in bad), F.lit(0)) == 0)

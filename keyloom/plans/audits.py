@@ -210,6 +210,36 @@ def extractive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(made).alias("digest"), F.length(made).alias("n"))
 
 
+def artifact_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors with the folded texts of their documents, held against the documents as they are."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    vecs = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    made = docs.join(vecs, "doc_id").withColumn("text", F.trim(F.regexp_replace("text", "[0-9]", "")))
+    v = F.col("embedding")
+    contract = {"label": F.col("label") >= 1, "lang": F.col("lang").isin("en", "de", "fr", "es")}
+    return quality.artifact_report(made, docs, "doc_id", "text", contract, v, 64, vectors.is_unit(v, 1e-3))
+
+
+def contract_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named checks over the tables, with their failing rows and status."""
+    t = lambda name: table(spark, sf_dir, name)
+    docs, vecs = t("documents"), t("embeddings")
+    checks = [
+        quality.check("documents.unique", quality.duplicate_keys(docs, ["doc_id"])),
+        quality.check("documents.length", docs.filter(F.length("text") != F.col("n_chars"))),
+        quality.check("labels.documents", quality.orphans(t("labels"), docs, ["doc_id"])),
+        quality.check("labels.vectors", quality.orphans(t("labels"), vecs.withColumnRenamed("vec_id", "doc_id"), ["doc_id"]), False),
+        quality.check("vectors.unit", vecs.filter(~vectors.is_unit(F.col("embedding"), 1e-2))),
+        quality.check("pages.url", t("pages").filter(~F.col("url").rlike("^https?://[^/]+/"))),
+        quality.check("orders.customers", t("orders").select(F.col("o_custkey").alias("c_custkey")).join(t("customer"), "c_custkey", "left_anti")),
+        quality.check("turns.start", t("conversations").groupBy("conv_id").agg(F.min("turn").alias("m")).filter(F.col("m") > 1), False),
+    ]
+    out = checks[0]
+    for more in checks[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def frame_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors against documents of the same number, per language: matched, and missing on either side."""
     vecs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.size("embedding").alias("dim"))
@@ -291,7 +321,7 @@ QUERIES = {
         bounds_audit, manifest_counts, vector_audit, mean_pooling, float32_equality, inventory_changed, content_digest,
         branch_status_rollup, upsert, delete_cascade, union_distinct_ids, frame_id_build, path_safety, caption_time,
         json_field, token_repetition, number_guard, word_chunking, extractive_summary, reading_order, nms,
-        frame_vectors, branch_diagnostics, segment_validation, keyframe_sampling, fixed_windows,
+        frame_vectors, branch_diagnostics, artifact_validity, contract_report, segment_validation, keyframe_sampling, fixed_windows,
     )
 }
 
@@ -370,6 +400,31 @@ ORACLES = {
         e AS (SELECT doc_id, w, coalesce(list_max(list_filter(range(101, 181), lambda i: regexp_matches(coalesce(w[i], ''), '[.!?]$'))), 180) AS cut FROM w),
         s AS (SELECT doc_id, array_to_string(if(len(w) <= 180, w, w[1:cut]), ' ') AS s FROM e)
         SELECT doc_id, md5(s) AS digest, length(s)::INT AS n FROM s""",
+    "artifact_validity": """WITH m AS (SELECT d.doc_id, trim(regexp_replace(text, '[0-9]', '', 'g')) AS text, lang, label, embedding,
+          sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))) AS norm FROM documents d JOIN embeddings ON vec_id = d.doc_id),
+        j AS (SELECT d.doc_id AS a, m.doc_id AS b, d.text AS t, m.text AS u, label, m.lang, embedding, norm
+              FROM documents d FULL JOIN m ON m.doc_id = d.doc_id),
+        c AS (SELECT count(*) FILTER (b IS NULL) AS missing, count(*) FILTER (a IS NULL) AS superfluous,
+              count(*) FILTER (a IS NOT NULL AND b IS NOT NULL AND t IS DISTINCT FROM u) AS changed,
+              count(*) FILTER (b IS NOT NULL AND NOT coalesce(label >= 1 AND lang IN ('en', 'de', 'fr', 'es'), false)) AS broken,
+              count(*) FILTER (b IS NOT NULL AND len(embedding) <> 64) AS other_dimension,
+              count(*) FILTER (b IS NOT NULL AND NOT abs(norm - 1) <= 1e-3) AS not_unit FROM j),
+        r AS (SELECT (count(*) - count(DISTINCT doc_id))::BIGINT AS repeated FROM m)
+        SELECT *, missing + superfluous + changed + broken + other_dimension + not_unit + repeated = 0 AS valid FROM c, r""",
+    "contract_report": " UNION ALL ".join(
+        f"SELECT '{name}' AS name, count(*) AS failures, CASE WHEN count(*) = 0 THEN 'PASS' ELSE '{'FAIL' if req else 'WARNING'}' END AS status, "
+        f"{str(req).lower()} AS required FROM ({rows})"
+        for name, req, rows in (
+            ("documents.unique", True, "SELECT doc_id FROM documents GROUP BY 1 HAVING count(*) > 1"),
+            ("documents.length", True, "SELECT 1 FROM documents WHERE length(text) <> n_chars"),
+            ("labels.documents", True, "SELECT 1 FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)"),
+            ("labels.vectors", False, "SELECT 1 FROM labels WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)"),
+            ("vectors.unit", True, "SELECT 1 FROM embeddings WHERE abs(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))) - 1) > 1e-2"),
+            ("pages.url", True, "SELECT 1 FROM pages WHERE NOT regexp_matches(url, '^https?://[^/]+/')"),
+            ("orders.customers", True, "SELECT 1 FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)"),
+            ("turns.start", False, "SELECT 1 FROM conversations GROUP BY conv_id HAVING min(turn) > 1"),
+        )
+    ),
     "frame_vectors": """SELECT lang, count(*) FILTER (lang IS NOT NULL AND v.vec_id IS NOT NULL) AS matched,
         count(*) FILTER (v.vec_id IS NULL) AS no_vector, count(*) FILTER (lang IS NULL) AS no_document
         FROM documents d FULL JOIN embeddings v ON v.vec_id = d.doc_id GROUP BY lang""",

@@ -17,13 +17,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.llm.chunk_dedup import SPACE
+from keyloom.llm.stage import written
 
 #: Labelled documents that a model is fitted on, at most.
 SAMPLE = 4000
+#: Lines of these documents, at most: those that come first by hash of the id.
+SAMPLE_LINES = 200_000
 #: The least score of a good document.
 GOOD = 0.7
 STEPS = 150
@@ -204,19 +207,25 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
-    """A field fitted on at most `sample` labelled documents that are not held out.
+    """A field fitted on at most `sample` labelled documents that are not held out, SAMPLE_LINES lines in all.
 
     docs (doc_id, text), labels (doc_id, quality 0/1). Null labels are left out; several labels of one id
     count by their mean. Without labelled documents all weights are 0, so every score is 0.5.
     """
+    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     marked = (
         labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
         .groupBy("doc_id")
         .agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .orderBy(*by_hash)
         .limit(sample)
     )
-    chosen = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")  # `sample` rows
+    labelled = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")  # `sample` rows
+    lines = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("\n")) + 1
+    upto = F.sum("lines").over(Window.orderBy(*by_hash).rowsBetween(Window.unboundedPreceding, 0))
+    sizes = labelled.select("doc_id", lines.alias("lines")).groupBy("doc_id").agg(F.sum("lines").alias("lines"))
+    fitting = written(sizes.withColumn("upto", upto).filter(F.col("upto") <= SAMPLE_LINES).select("doc_id"), "sample")
+    chosen = labelled.join(F.broadcast(fitting), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -50,6 +50,40 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= {k}
 """
 
 
+#: Texts as hexadecimal digits, so that a byte is two characters; windows by digest, spans as islands of window starts.
+SUFFIX = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS m FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM d)),
+k AS (SELECT r, i FROM w QUALIFY count(*) OVER (PARTITION BY m) > 1),
+g AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g
+      FROM (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM k)),
+s AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY r, g),
+cut AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS prev, lead(a) OVER (PARTITION BY r ORDER BY a) AS nxt FROM s),
+o AS (SELECT d.r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans,
+             string_agg(substr(h, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+      FROM cut JOIN d USING (r) GROUP BY d.r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN o USING (r)
+"""
+
+#: All links by a self-join on five-word grams, classes by reachability.
+JACCARD = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id,
+  list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM w),
+n AS (SELECT r, doc_id, len(g) AS n FROM g),
+u AS (SELECT r, n, unnest(g) AS x FROM g JOIN n USING (r)),
+p AS (SELECT a.r AS a, b.r AS b FROM u a JOIN u b ON a.x = b.x AND a.r < b.r
+      GROUP BY a.r, b.r, a.n, b.n HAVING 9 * count(*) >= 4 * (a.n + b.n)
+      UNION ALL SELECT a.r, b.r FROM n a JOIN n b ON a.n = 0 AND b.n = 0 AND a.r < b.r),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+reach AS (SELECT a AS r, a AS m FROM e UNION SELECT reach.r, e.b FROM reach JOIN e ON e.a = reach.m),
+c AS (SELECT reach.r, min(n.doc_id) AS class_id FROM reach JOIN n ON n.r = reach.m GROUP BY reach.r),
+l AS (SELECT a AS r, count(*) AS links FROM e GROUP BY a)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(links, 0) AS links FROM n LEFT JOIN c USING (r) LEFT JOIN l USING (r)
+"""
+
 NEIGHBOURS = _search(20, 20, "x::DOUBLE", "AND len(list_filter(embedding, lambda x: x <> 0)) > 0")
 TOPK = _search(100, 10, "floor(1024 * x::DOUBLE)::BIGINT", "")
 

@@ -120,6 +120,8 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_mix": oracles.MIX,
     "op3_neighbours": oracles.NEIGHBOURS,
+    "op5_suffix_dedup": oracles.SUFFIX,
+    "op6_jaccard": oracles.JACCARD,
     "op7_url_filter": oracles.url_filter(RULES),
     "op8_topk": oracles.TOPK,
 }

@@ -239,7 +239,7 @@ def _buckets(nodes: DataFrame) -> DataFrame:
 
 def _in_blocks(rows: DataFrame) -> DataFrame:
     """Rows of a bucket over BLOCK nodes go to every pair (i, j) of blocks, i <= j, that their block is in."""
-    blocks = F.when(F.col("count") > LARGE, F.ceil(F.col("count") / F.lit(BLOCK))).otherwise(1).cast("int")
+    blocks = F.ceil(F.col("count") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
@@ -301,9 +301,9 @@ def similar(docs: DataFrame) -> DataFrame:
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     classes = nodes.select("node", "key", "copies").join(links, "node", "left").join(roots, "node", "left")
-    classes = classes.withColumn("root", F.coalesce("root", "node"))
-    class_ids = classes.groupBy("root").agg(F.min("key").alias("class_id"))
-    classes = classes.join(class_ids, "root").select(
-        "node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")
-    )
+    classes = written(classes.withColumn("root", F.coalesce("root", "node")), "classes")
+    # written tables on both sides let Spark split the partition of a class or node that very many rows share
+    class_ids = written(classes.groupBy("root").agg(F.min("key").alias("class_id")), "class-ids")
+    links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")
+    classes = written(classes.join(class_ids, "root").select("node", "class_id", links), "linked")
     return sketches.select("doc_id", "key", "node").join(classes, "node").select("doc_id", "key", "class_id", "links")

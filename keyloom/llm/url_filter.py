@@ -147,7 +147,8 @@ def judge_urls(
     )
     labelled = outcomes.select(F.col(id_col).alias("page_id"), F.col("good"))
     known = host_reputation(split.select("page_id", "host").join(labelled, "page_id").select("host", "good"), setting)
-    bad = known.filter(F.col("upper") < setting.least_good).select("host", F.lit(True).alias("bad"))
+    # written, so that its size is known and, should it be large, Spark can split the rows of a hot host
+    bad = written(known.filter(F.col("upper") < setting.least_good).select("host", F.lit(True).alias("bad")), "bad-hosts")
     fit = matching_rule(F.col("host"), F.col("path"), rules)
     return (
         split.withColumn("fit", fit)

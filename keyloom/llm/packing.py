@@ -36,6 +36,8 @@ ROWS_PER_SALT = 250_000
 LEAST_SALTS = 32
 #: How byte-level BPE cuts a text before it merges.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters above which ids are held as an array from the start.
+LONG_TEXT = 1_000_000
 #: A batch of token ids that a task hands back, in bytes.
 OUT_BYTES = 16_000_000
 
@@ -74,9 +76,10 @@ def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0)
             rows: list[tuple] = []
             held = 0
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                tokens = code.encode_ordinary(text.as_py() or "")
-                tokens.append(end)
-                n, raw = len(tokens), np.array(tokens, "<u4").tobytes()
+                plain = text.as_py() or ""
+                long = len(plain) > LONG_TEXT
+                tokens = code.encode_to_numpy(plain) if long else np.array(code.encode_ordinary(plain), "<u4")
+                n, raw = len(tokens) + 1, tokens.astype("<u4", copy=False).tobytes() + end.to_bytes(4, "little")
                 cuts = [0, *range(n % capacity or capacity, n, capacity), n]
                 for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     rows.append((doc_id.as_py(), i, a, b - a, raw[4 * a : 4 * b]))

@@ -189,6 +189,11 @@ def test_encoder_equals_tokenizers(tokenizer):
     same()
 
 
+def test_long_texts_have_the_same_ids(tokenizer):
+    code, text = packing.encoder(tokenizer), " ".join(cases.words(30_000, 3))
+    assert code.encode_to_numpy(text).tolist() == code.encode_ordinary(text)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_places_every_piece_once(seed):
     r = np.random.default_rng(seed)

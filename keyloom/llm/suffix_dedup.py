@@ -371,7 +371,8 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
             _result, "text_key binary, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>"
         )
     )
-    known = copies.select("text_key", "copies").join(changed, "text_key", "left")
+    # a written table lets Spark split the partition of a text that very many rows share
+    known = written(copies.select("text_key", "copies").join(changed, "text_key", "left"), "known")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= least)
     none = F.array().cast("array<struct<start:int,end:int>>")
     all_of_it = F.array(F.struct(F.lit(0).alias("start"), F.col("n_bytes").cast("int").alias("end")))

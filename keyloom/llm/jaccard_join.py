@@ -38,7 +38,7 @@ CHILDREN = (1, 5)
 MAX_DEPTH = 3
 #: Nodes of a bucket above which it is split, and of a block of a bucket that cannot be split further.
 LARGE = 2000
-BLOCK = 512
+BLOCK = 256
 #: A candidate must agree in this many of the RUNS sampled tokens; a pair of similarity 0.8 has fewer with a chance of 4e-6.
 AGREE = 3
 #: Columns of a 0/1 matrix made at once.

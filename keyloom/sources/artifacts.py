@@ -156,3 +156,13 @@ def keyframe_samples(shots: DataFrame, positions: tuple[float, ...] = (0.15, 0.5
     return rows.withColumn("frame_index", frame).withColumns(
         {"time_sec": F.bround(F.col("frame_index") / F.col("fps"), 3), "position_code": ids.position_code(F.col("position"))}
     )
+
+
+def shots_or_whole(videos: DataFrame) -> DataFrame:
+    """(video_id, fps, shot_id, start_frame, end_frame): the shots of each video; one over all its frames if it has none."""
+    shot = lambda i, a, b: F.struct(i.alias("shot_id"), a.alias("start_frame"), b.alias("end_frame"))
+    own = F.transform("shots", lambda x: shot(x["shot_id"], x["start_frame"], x["end_frame"]))
+    whole = F.array(shot(F.lit(0), F.lit(0), F.col("frame_count") - 1))
+    found = F.when(F.coalesce(F.size("shots"), F.lit(0)) > 0, own).otherwise(whole)
+    rows = videos.filter(F.col("frame_count") > 0).select("video_id", "fps", F.explode(found).alias("s"))
+    return rows.select("video_id", "fps", "s.*")

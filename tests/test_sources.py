@@ -135,3 +135,13 @@ def test_submission_zip(spark):
     assert z.namelist() == ["submission/p-1-kis.csv"] and len(lines) == 100 and lines[0] == "v,0"
     answers = spark.createDataFrame([("q", "ok"), ("q", " "), ("q", "x" * 101)], "query_id string, answer string")
     assert submission.invalid_answers(answers).count() == 2
+
+
+def test_shot_fallback_and_fingerprint(spark):
+    from keyloom.functions.fingerprints import fingerprint
+
+    kind = "video_id string, fps double, frame_count int, shots array<struct<shot_id:int,start_frame:int,end_frame:int>>"
+    df = spark.createDataFrame([("a", 30.0, 9, []), ("b", 30.0, 9, [(1, 0, 4), (2, 5, 8)]), ("c", 30.0, 9, None), ("d", 1.0, 0, [])], kind)
+    got = sorted((r.video_id, r.shot_id, r.start_frame, r.end_frame) for r in artifacts.shots_or_whole(df).collect())
+    assert got == [("a", 0, 0, 8), ("b", 1, 0, 4), ("b", 2, 5, 8), ("c", 0, 0, 8)]
+    assert fingerprint({"b": 1, "a": "é"}) == fingerprint({"a": "é", "b": 1}) != fingerprint({"a": "e", "b": 1})

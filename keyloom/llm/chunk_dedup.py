@@ -3,12 +3,14 @@
 A gear rolling hash runs over a text's bytes: each step shifts the hash by one bit and adds the random
 number of the next byte, so that it depends on the last 32 bytes only. A chunk ends at the end of a
 word whose hash is divisible by `avg_words`. Boundaries move with the content: an insertion changes the
-chunks around it and no others. Every chunk has a 64-bit digest; a digest belongs to the document with
-the smallest id that holds it, and within a document to its first place. A run of chunks that belong
-elsewhere is removed if it has `min_words` words or more, so chance matches and stock lines stay, and a
-collision of single digests can do no harm.
-
-Spark counts digests with map-side sums and joins those that recur back to the chunks; the written table
+chunks around it and no others. From every chunk on and up to every chunk there is a window: the shortest
+run of chunks with `min_words` words or more. Its digest of 80 bits stands for the whole run, so that windows are alike only
+where all their words stand side by side in both places. A window belongs to the document with the smallest id
+that holds it, and within a document to its first place and to what overlaps that. Windows that belong elsewhere are
+removed; every removed word so stands in an earlier passage of `min_words` words or more, and stock words
+and phrases that come from many documents add up to nothing.
+
+Spark counts digests with map-side sums and joins those that recur back to the windows; the written table
 of recurring digests lets it split the partition of a digest that very many documents hold.
 """
 
@@ -33,6 +35,8 @@ GEAR = np.array([xxhash.xxh3_64_intdigest(bytes([b]), seed=7) & 0xFFFFFFFF for b
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 BATCH = 2_000_000
+#: A window's digest: 64 bits by which documents find their windows again, 16 more against collisions in the corpus.
+MARK = np.dtype([("digest", "<i8"), ("check", "<i2"), ("rest", "V6")])
 
 
 def gear_hash(raw: np.ndarray) -> np.ndarray:
@@ -70,6 +74,24 @@ def digests(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     ).view(np.int64)
 
 
+def windows(own: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first chunk, chunk after the last, MARK) of the shortest runs of chunks with `min_words` words that begin
+    or end at a chunk, in order. Together they cover every run of chunks that has so many words."""
+    total = np.r_[0, np.cumsum(words)]
+    least = max(1, min_words)
+    last = np.searchsorted(total, total[:-1] + least)
+    upto = np.nonzero(total >= least)[0]
+    since = np.searchsorted(total, total[upto] - least, side="right") - 1
+    more = last[since] != upto
+    first = np.nonzero(last < len(total))[0]
+    first, last = np.r_[first, since[more]], np.r_[last[first], upto[more]]
+    order = np.argsort(first, kind="stable")
+    first, last = first[order], last[order]
+    raw, one = own.tobytes(), xxhash.xxh3_128_digest
+    marks = b"".join([one(raw[8 * a : 8 * b]) for a, b in zip(first.tolist(), last.tolist(), strict=True)])
+    return first, last, np.frombuffer(marks, MARK)
+
+
 def document_key():
     """The doc_id; for a null one a number beyond all usual ids that depends on the text."""
     return F.coalesce(
@@ -77,43 +99,53 @@ def document_key():
     )
 
 
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, text) -> (digest, key), each digest once for a document."""
-    for batch in batches:
-        found, keys, held = [], [], 0
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-            starts, ends, _ = chunks(raw)
-            own = np.unique(digests(raw, starts, ends))
-            found.append(own)
-            keys.append(np.full(len(own), key, np.int64))
-            held += len(own)
-            if held > BATCH:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found, keys)], ["digest", "key"])
-                found, keys, held = [], [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found, keys)], ["digest", "key"])
+def _emit(min_words: int):
+    """(key, text) -> (digest, check, key), each window once for a document."""
+    names = ["digest", "check", "key"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, keys, held = [], [], 0
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+                starts, ends, words = chunks(raw)
+                _, _, marks = windows(digests(raw, starts, ends), words, min_words)
+                _, at = np.unique(marks["digest"], return_index=True)
+                found.append(marks[at])
+                keys.append(np.full(len(at), key, np.int64))
+                held += len(at)
+                if held > BATCH:
+                    yield out(found, keys)
+                    found, keys, held = [], [], 0
+            if held:
+                yield out(found, keys)
+
+    def out(found: list, keys: list) -> pa.RecordBatch:
+        marks = np.concatenate(found)
+        columns = [np.ascontiguousarray(marks["digest"]), np.ascontiguousarray(marks["check"]), np.concatenate(keys)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    return run
 
 
 def strip(text: str | None, foreign: np.ndarray | None, min_words: int) -> tuple[str | None, int, list]:
-    """The text without long runs of chunks that belong elsewhere; its number of chunks; removed byte spans."""
+    """The text without windows that belong elsewhere; its number of chunks; removed byte spans."""
     raw = (text or "").encode()
     starts, ends, words = chunks(raw)
     if not len(starts):
         return text, 0, []
     own = digests(raw, starts, ends)
-    _, first = np.unique(own, return_index=True)
-    gone = np.ones(len(own), bool)
-    gone[first] = False
+    first, last, marks = windows(own, words, min_words)
+    _, place, same = np.unique(marks["digest"], return_index=True, return_inverse=True)
+    hit = first >= last[place][same]
     if foreign is not None and len(foreign):
-        gone |= np.isin(own, foreign)
+        hit |= np.isin(marks["digest"], foreign)
+    cover = np.bincount(first[hit], minlength=len(own) + 1) - np.bincount(last[hit], minlength=len(own) + 1)
+    gone = np.cumsum(cover[:-1]) > 0
     edge = np.diff(np.r_[False, gone, False].astype(np.int8))
-    spans = []
-    total = np.r_[0, np.cumsum(words)]
     after = np.r_[starts[1:], len(raw)]
-    for a, b in zip(np.nonzero(edge == 1)[0].tolist(), np.nonzero(edge == -1)[0].tolist(), strict=True):
-        if total[b] - total[a] >= min_words:
-            spans.append((int(starts[a]), int(after[b - 1])))
+    runs = zip(np.nonzero(edge == 1)[0].tolist(), np.nonzero(edge == -1)[0].tolist(), strict=True)
+    spans = [(int(starts[a]), int(after[b - 1])) for a, b in runs]
     if not spans:
         return text, len(own), []
     at, kept = 0, []
@@ -134,16 +166,16 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     of `docs` named `dedup` is replaced.
     """
     keyed = docs.select(F.struct("*").alias("row"), document_key().alias("key"))
-    held = keyed.select("key", F.col("row.text").alias("text")).mapInArrow(_emit, "digest long, key long")
+    held = keyed.select("key", F.col("row.text").alias("text")).mapInArrow(_emit(min_words), "digest long, check short, key long")
     again = written(
-        held.groupBy("digest")
-        .agg(F.count("*").alias("n"), F.min("key").alias("owner"), F.max("key").alias("last"))
+        held.groupBy("digest", "check")
+        .agg(F.min("key").alias("owner"), F.max("key").alias("last"))
         .filter(F.col("owner") < F.col("last"))
-        .select("digest", "owner"),
+        .select("digest", "check", "owner"),
         "digests",
     )
     foreign = (
-        held.join(again, "digest")
+        held.join(again, ["digest", "check"])
         .filter(F.col("key") > F.col("owner"))
         .groupBy("key")
         .agg(F.collect_set("digest").alias("foreign"))

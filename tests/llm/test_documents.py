@@ -141,6 +141,33 @@ def test_substring_dedup_awkward(spark):
     assert chunk_dedup.dedup(cases.empty(spark)).count() == 0
 
 
+def test_stock_words_are_no_passage(spark):
+    r = np.random.default_rng(4)
+    stock = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta"]
+    docs = [(i, " ".join(stock[k] for k in r.integers(0, len(stock), 120))) for i in range(300)]
+    docs.append((300, " ".join(split(docs[0][1])[:50] + split(docs[1][1])[:20] + split(docs[2][1])[:20])))
+    rows = {x["doc_id"]: x["text"] for x in cases.got(chunk_dedup.dedup(cases.documents(spark, docs)))}
+    seen = set()
+    for i, text in docs:
+        w = split(text)
+        here = [tuple(w[k : k + 26]) for k in range(len(w) - 25)]
+        held = {j for k, g in enumerate(here) if g in seen for j in range(k, k + 26)}
+        assert len(w) - len(split(rows[i])) <= len(held)
+        seen.update(here)
+    assert all(rows[i] == text for i, text in docs[:300])
+    assert len(split(rows[300])) < 90
+
+
+def test_first_copy_within_a_document_stays_whole():
+    passage = cases.words(80, 70)
+    text = " ".join(passage + cases.words(30, 71) + passage)
+    left, _, spans = chunk_dedup.strip(text, None, 26)
+    assert len(spans) == 1 and left.startswith(" ".join(passage + cases.words(30, 71)))
+    assert len(split(left)) < 135
+    left, _, _ = chunk_dedup.strip("one two three four " * 100, None, 26)
+    assert 26 <= len(split(left)) < 100
+
+
 # ---- packing ----
 
 

@@ -48,7 +48,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences of 2048 ids."""
     import public_tokenizers
 
-    return packing.packed_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.packed_digests(docs, public_tokenizers.path("byte_bpe_50k.json"), added=True)
 
 
 STAGES = [

@@ -47,28 +47,35 @@ def encoder(path: str):
     """The byte-level BPE of a tokenizers file, as an encoder that gives the same ids several times faster.
 
     The file's vocabulary is in merge order, so that ids are ranks; its 256 byte symbols stand for bytes as
-    printable characters, the others shifted past 255.
+    printable characters, the others shifted past 255. Its added tokens are the encoder's special tokens.
     """
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        vocabulary = json.load(f)["model"]["vocab"]
+        file = json.load(f)
+    vocabulary, added = file["model"]["vocab"], file.get("added_tokens") or []
+    odd = [t["content"] for t in added if t.get("single_word") or t.get("lstrip") or t.get("rstrip")]
+    if odd:
+        raise ValueError(f"added tokens that take in or ask for what is beside them: {odd}")
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     shown = {chr(b): b for b in plain}
     shown |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
     ranks = {bytes(shown[c] for c in token): i for token, i in vocabulary.items() if all(c in shown for c in token)}
     special = {token for token in vocabulary if token.startswith("<|") and token.endswith("|>")}
     ranks = {token: i for token, i in ranks.items() if token.decode("latin-1") not in special}
-    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in added})
 
 
-def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0) -> DataFrame:
+def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0, added: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids): each document's token ids and then `end`, cut into pieces.
 
     ids: little-endian unsigned 32-bit ids as bytes. Documents longer than `capacity` are cut into pieces
     of `capacity`, of which the first may be shorter. A null text counts as empty: one piece of one id.
-    Null ids and repeated rows are kept; other columns are not read.
+    Null ids and repeated rows are kept; other columns are not read. Where a text contains an added token of
+    the file, such as <|endoftext|>, it becomes that token's id if `added`, as tokenizers does by default,
+    and is spelt out in ordinary pieces else, as with tokenizers' encode_special_tokens.
     """
+    allowed = "all" if added else set()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path)
@@ -78,7 +85,10 @@ def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0)
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 plain = text.as_py() or ""
                 long = len(plain) > LONG_TEXT
-                tokens = code.encode_to_numpy(plain) if long else np.array(code.encode_ordinary(plain), "<u4")
+                if long:
+                    tokens = code.encode_to_numpy(plain, allowed_special=allowed, disallowed_special=())
+                else:
+                    tokens = np.array(code.encode(plain, allowed_special=allowed, disallowed_special=()), "<u4")
                 n, raw = len(tokens) + 1, tokens.astype("<u4", copy=False).tobytes() + end.to_bytes(4, "little")
                 cuts = [0, *range(n % capacity or capacity, n, capacity), n]
                 for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
@@ -298,7 +308,7 @@ def sequences(packed: DataFrame) -> DataFrame:
     return parts.select("sequence_id", joined.alias("ids"))
 
 
-def packed_digests(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+def packed_digests(docs: DataFrame, path: str, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
     """Pieces with the CRC-32 of their ids instead of these, packed."""
-    pieces = tokenise(docs, path, capacity).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    pieces = tokenise(docs, path, capacity, added=added).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return pack(written(pieces, "pieces"), capacity)

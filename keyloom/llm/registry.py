@@ -62,7 +62,7 @@ def op4_pack(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) ->
     import public_tokenizers
 
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
-    return packing.packed_digests(_table(spark, sf_dir, "documents"), path)
+    return packing.packed_digests(_table(spark, sf_dir, "documents"), path, added=True)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

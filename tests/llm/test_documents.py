@@ -221,6 +221,26 @@ def test_long_texts_have_the_same_ids(tokenizer):
     assert code.encode_to_numpy(text).tolist() == code.encode_ordinary(text)
 
 
+def test_added_tokens_have_their_ids(spark, tokenizer, tmp_path):
+    from tokenizers import Tokenizer
+
+    from keyloom.llm import registry
+
+    bpe = Tokenizer.from_file(tokenizer)
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>\n x", "end <|endoftext|>", "<|endoftext", "it's  plain \n\n"]
+    texts.append("word <|endoftext|> " * 60_000)
+    cases.documents(spark, list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    want = collections.Counter()
+    for i, t in enumerate(texts):
+        ids = bpe.encode(t, add_special_tokens=False).ids + [0]
+        cuts = [0, *range(len(ids) % 2048 or 2048, len(ids), 2048), len(ids)]
+        for p, (a, b) in enumerate(itertools.pairwise(cuts)):
+            want[i, p, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())] += 1
+    rows = cases.got(registry.op4_pack(spark, str(tmp_path), tokenizer))
+    assert want == collections.Counter((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in rows)
+    assert bpe.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_places_every_piece_once(seed):
     r = np.random.default_rng(seed)

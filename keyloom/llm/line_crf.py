@@ -6,7 +6,9 @@ after it. The field has a weight per feature and one per transition and is train
 all carry the document's label. A document's score is the mean of its lines' marginal chances of being
 good, from the forward-backward recursion, weighted by length.
 
-Training uses a bounded sample of labelled documents on the driver (SAMPLE, by hash of the id); scoring
+Training uses a bounded sample of labelled documents on the driver (SAMPLE, by hash of the id). Where these
+have too many lines in all, each gives as many as the least bound allows that keeps the sum within SAMPLE_LINES,
+so a very long document takes no place of another; scoring
 runs over all documents in Arrow batches with the weights, some hundred numbers, in the task.
 """
 
@@ -25,7 +27,7 @@ from keyloom.llm.stage import written
 
 #: Labelled documents that a model is fitted on, at most.
 SAMPLE = 4000
-#: Lines of these documents, at most: those that come first by hash of the id.
+#: Lines of these documents, at most; never less than SAMPLE_LINES / SAMPLE of each.
 SAMPLE_LINES = 200_000
 #: The least score of a good document.
 GOOD = 0.7
@@ -206,11 +208,24 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
+def line_bound(lines: list[int], total: int) -> int:
+    """The most lines that each document may give so that all together give at most `total`; 1 at least."""
+    left = total
+    for n, size in enumerate(sorted(lines)):
+        each = left // (len(lines) - n)
+        if size > each:
+            return max(1, each)
+        left -= size
+    return max(1, *lines) if lines else 1
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     """A field fitted on at most `sample` labelled documents that are not held out, SAMPLE_LINES lines in all.
 
     docs (doc_id, text), labels (doc_id, quality 0/1). Null labels are left out; several labels of one id
-    count by their mean. Without labelled documents all weights are 0, so every score is 0.5.
+    count by their mean. Rows of one id are one document, equal ones once. Every document of the sample takes
+    part, one of very many lines with the lines that come first, in as many of its texts as the bound allows.
+    Without labelled documents all weights are 0, so every score is 0.5.
     """
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     marked = (
@@ -222,10 +237,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     )
     labelled = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")  # `sample` rows
     lines = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("\n")) + 1
-    upto = F.sum("lines").over(Window.orderBy(*by_hash).rowsBetween(Window.unboundedPreceding, 0))
-    sizes = labelled.select("doc_id", lines.alias("lines")).groupBy("doc_id").agg(F.sum("lines").alias("lines"))
-    fitting = written(sizes.withColumn("upto", upto).filter(F.col("upto") <= SAMPLE_LINES).select("doc_id"), "sample")
-    chosen = labelled.join(F.broadcast(fitting), "doc_id")
+    labelled = labelled.withColumn("hash", F.xxhash64("text"))
+    texts = labelled.select("doc_id", "hash", lines.alias("lines")).groupBy("doc_id", "hash").agg(F.max("lines").alias("lines"))
+    texts = written(texts, "sample")
+    sizes = texts.groupBy("doc_id").agg(F.sum("lines").alias("lines"))
+    most = line_bound([r.lines for r in sizes.select("lines").collect()], SAMPLE_LINES)  # `sample` rows
+    before = Window.partitionBy("doc_id").orderBy("hash").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.lit(most) - F.coalesce(F.sum("lines").over(before), F.lit(0))
+    fitting = texts.select("doc_id", "hash", F.least("lines", room).cast("int").alias("take")).filter("take > 0")
+    chosen = labelled.join(F.broadcast(written(fitting, "sample")), ["doc_id", "hash"])  # SAMPLE_LINES rows
+    chosen = chosen.groupBy("doc_id", "hash").agg(*(F.first(c).alias(c) for c in ("text", "label", "take")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,12 +255,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
                 x, _, per_text = line_features(data, ends)
                 label = batch.column(2).slice(done, len(ends))
                 ids = batch.column(0).slice(done, len(ends))
+                take = batch.column(3).slice(done, len(ends)).to_pylist()
                 done += len(ends)
                 cut = np.cumsum(per_text)[:-1]
-                raw = [p.astype(np.float16).tobytes() for p in np.split(x, cut)]
+                raw = [p[:n].astype(np.float16).tobytes() for p, n in zip(np.split(x, cut), take, strict=True)]
                 yield pa.RecordBatch.from_arrays([ids, label, pa.array(raw, pa.binary())], ["doc_id", "label", "x"])
 
-    rows = chosen.select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(run, "doc_id long, label int, x binary")
+    rows = chosen.select(F.col("doc_id").cast("long"), "text", "label", "take").mapInArrow(run, "doc_id long, label int, x binary")
     got = sorted(rows.collect(), key=lambda r: (r.doc_id, bytes(r.x)))
     if not got:
         return Field(np.zeros(FEATURES, np.float32), np.zeros((2, 2)))

@@ -393,6 +393,31 @@ def test_quality_awkward(spark):
     assert line_crf.train(cases.empty(spark), labels).weights.sum() == 0
 
 
+def test_quality_long_documents_displace_no_others(spark, monkeypatch):
+    monkeypatch.setattr(line_crf, "SAMPLE_LINES", 600)
+    good = lambda i, n: "\n".join(" ".join(f"plain{k % 7} words" for k in range(i + j % 5 + 3)) for j in range(n))
+    bad = lambda i, n: "\n".join("!!! ### 12%% " * (i % 4 + j % 3 + 1) for j in range(n))
+    docs = [(i, good(i, 6) if i % 2 else bad(i, 6)) for i in range(40)]
+    docs += [(100 + i, good(i, 2000) if i % 2 else bad(i, 2000)) for i in range(12)]
+    docs += [(200, good(i, 3)) for i in range(400)] + [(201, bad(1, 3))] * 400
+    labels = spark.createDataFrame([(i, 0 if i == 201 else 1 if i == 200 else i % 2) for i in {i for i, _ in docs}], "doc_id long, quality int")
+    used = []
+    fit = line_crf.fit
+    monkeypatch.setattr(line_crf, "fit", lambda x, n, y: used.append((n, y)) or fit(x, n, y))
+    field = line_crf.train(cases.documents(spark, docs), labels)
+    (n, y), = used
+    kept = [i for i in {i for i, _ in docs} if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert n.sum() <= 600 and len(n) >= len(kept) and set(y.tolist()) == {0, 1}
+    assert (n == 6).sum() >= sum(i < 40 for i in kept)
+    rows = cases.got(line_crf.score(cases.documents(spark, docs[:40]), field))
+    assert all((r["score"] >= 0.5) == r["doc_id"] % 2 for r in rows)
+
+
+def test_line_bound():
+    assert line_crf.line_bound([1, 2, 3], 100) == 3 and line_crf.line_bound([5, 10**9, 7], 30) == 18
+    assert line_crf.line_bound([10**9], 200) == 200 and line_crf.line_bound([], 5) == 1
+
+
 def test_marginals_equal_enumeration():
     r = np.random.default_rng(1)
     per_text, transition = np.array([1, 4, 3]), r.normal(size=(2, 2))

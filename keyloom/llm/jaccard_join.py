@@ -3,13 +3,14 @@
 Documents are sets of word 5-grams. Rows with equal sets become one node. In each of RUNS runs every
 node samples one token of its set by the least hash of the run, so that two nodes sample the same
 token with the chance of their similarity. A bucket, all nodes on one path of sampled tokens, that is
-too large is split again by further tokens (CHILDREN of them, each a path of its own), up to
-MAX_DEPTH tokens. Buckets are compared by brute force: candidates by their paths and sizes first, then
+too large is split again into CHILDREN paths, each by a token that no other path of the node uses, up to
+MAX_DEPTH tokens; these further tokens are sampled for nodes of large buckets only. Buckets are compared by brute force: candidates by their paths and sizes first, then
 exactly on their sets, as products of 0/1 matrices. A bucket that is still too large is compared in
 pairs of blocks, exactly, so no cap drops anything.
 
-A pair of similarity 0.8 is missed by one run with a chance of 0.2 (0.26 where paths are two or three
-tokens long), by all 12 with a chance below 1e-6. Every pair found is verified, so no false link appears.
+A pair of similarity 0.8 is missed by one run with a chance of 0.2, of 0.24 where paths are two or three
+tokens long; all paths being independent, and AGREE tokens being asked for, it is missed by all 12 with a
+chance of 2.0e-7 to 2.3e-7 (`missed`). Every pair found is verified, so no false link appears.
 
 Pairs are counted in the least path that both nodes share and nowhere else. Hence no table of pairs is
 needed: a bucket returns for each node the number of its links and one edge to the root of its part of
@@ -34,19 +35,21 @@ from keyloom.llm.stage import written
 WORDS = 5
 THRESHOLD = 0.8
 RUNS = 12
-CHILDREN = (1, 5)
+CHILDREN = 2
 MAX_DEPTH = 3
+#: Tokens of the paths of each depth after the first, one for every child of every path before.
+FURTHER = tuple(RUNS * CHILDREN**depth for depth in range(1, MAX_DEPTH))
 #: Nodes of a bucket above which it is split, and of a block of a bucket that cannot be split further.
 LARGE = 2000
 BLOCK = 256
-#: A candidate must agree in this many of the RUNS sampled tokens; a pair of similarity 0.8 has fewer with a chance of 4e-6.
-AGREE = 3
+#: A candidate must agree in this many of the RUNS sampled tokens; a pair of similarity 0.8 has fewer with a chance of 2e-7.
+AGREE = 2
 #: Columns of a 0/1 matrix made at once.
 COLUMNS = 8192
 
 _BYTE = np.array([xxhash.xxh3_64_intdigest(bytes([b]), seed=11) | 1 for b in range(256)], np.uint64)
 _ODD = lambda n, seed: np.array([xxhash.xxh3_64_intdigest(bytes([i]), seed=seed) | 1 for i in range(n)], np.uint64)
-_PLACE, _RUN = _ODD(64, 12), _ODD(64, 13)
+_PLACE, _RUN = _ODD(64, 12), _ODD(RUNS + sum(FURTHER), 13)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -81,11 +84,20 @@ def gram_set(raw: bytes, width: int = WORDS) -> np.ndarray:
     return np.unique(mixed(gram + np.uint64(n)))
 
 
-def sampled(grams: np.ndarray) -> np.ndarray:
+def sampled(grams: np.ndarray, runs: range = range(RUNS)) -> np.ndarray:
     """The token that each run samples."""
     if not len(grams):
-        return np.zeros(RUNS, np.int64)
-    return np.array([(grams * _RUN[r]).min() for r in range(RUNS)], np.uint64).view(np.int64)
+        return np.zeros(len(runs), np.int64)
+    return np.array([(grams * _RUN[r]).min() for r in runs], np.uint64).view(np.int64)
+
+
+def missed(similarity: float, depth: int) -> float:
+    """The chance that a pair is not found where all its buckets are `depth` tokens deep."""
+    met = 1.0
+    for _ in range(depth - 1):
+        met = 1 - (1 - similarity * met) ** CHILDREN
+    chance = lambda k: math.comb(RUNS, k) * similarity**k * (1 - similarity) ** (RUNS - k)
+    return sum(chance(k) * (1.0 if k < AGREE else (1 - met) ** k) for k in range(RUNS + 1))
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> Iterator[bytes]:
@@ -125,6 +137,22 @@ def _gram_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], ["node", "grams"])
 
 
+def _further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, text) -> (node, more): the tokens of the paths after the first, where the text really is of that node."""
+    for batch in batches:
+        nodes, more = [], []
+        for node, raw in zip(batch.column(0).to_pylist(), _texts(batch, 1), strict=True):
+            grams = gram_set(raw)
+            if xxhash.xxh3_128_digest(grams.tobytes()) == node:
+                nodes.append(node)
+                more.append(sampled(grams, range(RUNS, len(_RUN))))
+        flat = pa.array(np.concatenate(more) if more else np.zeros(0, np.int64))
+        offsets = pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * sum(FURTHER))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(offsets, flat)], ["node", "more"]
+        )
+
+
 def _shared(codes: list[np.ndarray], weights: np.ndarray | None = None) -> np.ndarray:
     """How many values each two of the given arrays of distinct values have in common."""
     m = len(codes)
@@ -215,21 +243,30 @@ def _with_counts(rows: DataFrame) -> DataFrame:
     return rows.join(shared, "path")
 
 
-def _buckets(nodes: DataFrame) -> DataFrame:
+def _texts_of(some: DataFrame, nodes: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(node, text): texts of the ids that stand for the nodes of `some`; a text of another node can be among them."""
+    reps = some.select("node").distinct().join(nodes.select("node", "key"), "node")
+    return keyed.select("key", "text").join(reps, "key").select("node", "text")
+
+
+def _buckets(nodes: DataFrame, keyed: DataFrame) -> DataFrame:
     """(node, path, count): every bucket that holds two nodes or more."""
     first = nodes.select("node", F.posexplode("tokens").alias("run", "token"))
     rows = written(_with_counts(first.select("node", "run", F.xxhash64("run", "token").alias("path"))), "buckets")
-    out = []
+    out, tokens = [], None
     for depth in range(1, MAX_DEPTH + 1):
         large = rows.filter(F.col("count") > LARGE)
         if depth == MAX_DEPTH or not large.limit(1).count():
             out.append(rows)
             break
         out.append(rows.filter(F.col("count") <= LARGE))
-        token = lambda step: F.get("tokens", F.pmod(F.col("run") + step * depth, F.lit(RUNS)))  # noqa: B023, E731
-        split = large.join(nodes.select("node", "tokens"), "node").select(
-            "node", "run", F.explode(F.array(*(F.xxhash64("path", F.lit(s), token(s)) for s in CHILDREN))).alias("path")
-        )
+        if tokens is None:
+            more = _texts_of(large, nodes, keyed).mapInArrow(_further, "node binary, more array<long>")
+            tokens = written(more.groupBy("node").agg(F.first("more").alias("more")), "further")
+        base = F.lit(sum(FURTHER[: depth - 1]))
+        child = lambda c: F.col("run") * CHILDREN + c
+        paths = (F.struct(child(c).alias("run"), F.xxhash64("path", F.lit(c), F.get("more", base + child(c))).alias("path")) for c in range(CHILDREN))
+        split = large.join(tokens, "node").select("node", F.explode(F.array(*paths)).alias("new")).select("node", "new.*")
         rows = written(_with_counts(split), "buckets")
     found = out[0]
     for more in out[1:]:
@@ -277,7 +314,7 @@ def similar(docs: DataFrame) -> DataFrame:
         ),
         "nodes",
     )
-    rows = _buckets(nodes)
+    rows = _buckets(nodes, keyed)
     paths = rows.groupBy("node").agg(F.array_sort(F.collect_set("path")).alias("paths"))  # some dozens for a node
     group = ["path", "i", "j"]
     known = rows.distinct().join(paths, "node").join(nodes.select("node", "key", "copies", "n", "tokens"), "node")
@@ -285,11 +322,8 @@ def similar(docs: DataFrame) -> DataFrame:
     need = written(
         known.drop("copies", "key").groupBy(*group).applyInArrow(_need, "node binary, path long, i int, j int"), "need"
     )
-    reps = need.select("node").distinct().join(nodes.select("node", "key"), "node")
     sets = (
-        keyed.select("key", "text")
-        .join(reps, "key")
-        .select("node", "text")
+        _texts_of(need, nodes, keyed)
         .mapInArrow(_gram_sets, "node binary, grams binary")
         .groupBy("node")
         .agg(F.first("grams").alias("grams"))

@@ -368,6 +368,41 @@ def test_jaccard_near_copies_equal_brute_force(spark, monkeypatch, large, block)
     assert rows == {docs[i][0]: (docs[root[i]][0], links[i]) for i in range(len(docs))}
 
 
+def test_jaccard_misses_few_pairs_at_every_depth():
+    assert jaccard_join.AGREE <= 2
+    assert all(jaccard_join.missed(0.8, d) < 1e-6 for d in range(1, jaccard_join.MAX_DEPTH + 1))
+    r = np.random.default_rng(3)
+    runs, kids = jaccard_join.RUNS, jaccard_join.CHILDREN
+    a = r.random((100_000, runs, 1 + kids + kids * kids)) < 0.35  # patterns of agreement, at a similarity with many misses
+    met = a[:, :, 0] & np.any([a[:, :, 1 + c] & a[:, :, 1 + kids + kids * c : 1 + kids + kids * (c + 1)].any(axis=2) for c in range(kids)], axis=0)
+    found = met.any(axis=1) & (a[:, :, 0].sum(axis=1) >= jaccard_join.AGREE)
+    assert abs((~found).mean() - jaccard_join.missed(0.35, 3)) < 0.01
+
+
+def test_jaccard_paths_use_tokens_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LARGE", 3)
+    base = cases.words(200, 90)
+    docs = [(i, " ".join(base[: 190 + i] + [f"y{i}"])) for i in range(8)]
+    keyed = cases.documents(spark, docs).selectExpr("doc_id", "doc_id AS key", "text")
+    columns = "doc_id long, key long, node binary, n int, tokens array<long>"
+    nodes = keyed.mapInArrow(jaccard_join._sketch, columns).selectExpr("node", "key", "n", "tokens")
+    rows = cases.got(jaccard_join._buckets(nodes, keyed))
+    got = collections.defaultdict(set)
+    for x in rows:
+        got[x["path"]].add(x["node"])
+    want = collections.defaultdict(set)
+    for _, text in docs:
+        g = jaccard_join.gram_set(text.encode())
+        t = jaccard_join.sampled(g, range(len(jaccard_join._RUN))).tolist()
+        for run in range(12):
+            for c in range(2):
+                for d in range(2):
+                    s = run * 2 + c
+                    want[run, t[run], c, t[12 + s], d, t[36 + s * 2 + d]].add(jaccard_join.xxhash.xxh3_128_digest(g.tobytes()))
+    deep = collections.Counter(frozenset(s) for s in want.values() if len(s) > 3)
+    assert deep and deep == collections.Counter(frozenset(s) for s in got.values() if len(s) > 3)
+
+
 # ---- quality ----
 
 

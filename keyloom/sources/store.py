@@ -81,9 +81,12 @@ class Store:
         out = fs.create(draft, True)
         out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
         out.close()
-        fs.delete(path, False)
-        if not fs.rename(draft, path):
-            raise NotPublished("the pointer could not be moved")
+        # one step, so that a failure leaves the old pointer
+        option = jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.spark.sparkContext._gateway.new_array(option, 1)
+        how[0] = option.OVERWRITE
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), conf).rename(draft, path, how)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -145,3 +145,23 @@ def test_shot_fallback_and_fingerprint(spark):
     got = sorted((r.video_id, r.shot_id, r.start_frame, r.end_frame) for r in artifacts.shots_or_whole(df).collect())
     assert got == [("a", 0, 0, 8), ("b", 1, 0, 4), ("b", 2, 5, 8), ("c", 0, 0, 8)]
     assert fingerprint({"b": 1, "a": "é"}) == fingerprint({"a": "é", "b": 1}) != fingerprint({"a": "e", "b": 1})
+
+
+def test_store_pointer_is_replaced_in_one_step(spark, tmp_path, monkeypatch):
+    from keyloom.sources.store import Store
+
+    store = Store(spark, str(tmp_path))
+    first = store.publish({"t": spark.range(3)})
+    jvm, path, fs = store._fs()
+
+    class NoDelete:
+        exists, create = staticmethod(fs.exists), staticmethod(fs.create)
+
+        def delete(self, *_):
+            raise AssertionError("the old pointer must not be deleted first")
+
+        rename = delete
+
+    monkeypatch.setattr(store, "_fs", lambda: (jvm, path, NoDelete()))
+    second = store.publish({"t": spark.range(5)})
+    assert store.current() == second and second["previous"] == first["version"] and store.read("t").count() == 5

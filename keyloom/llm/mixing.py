@@ -3,29 +3,36 @@
 Each source's documents are dealt by their hash into blocks, disjoint random subsets of nearly equal
 size. A target in words becomes an exact quota of blocks: whole passes over the source, then blocks in
 a random order, of which the last is used in part. A binary tree over the output shards then splits
-the block counts of all sources: at every node the left half draws its number of blocks without
-replacement (a multivariate hypergeometric draw), so every shard gets an exact, random composition.
-Blocks are handed out in their permuted order and rows are shuffled within their shard.
-
-The driver holds one row for each source and each block. Both are bounded: by MAX_SOURCES, a mix being
-a stated list of weights, and by the parameter `blocks`. Documents are never moved by source: they
-are dealt over blocks, so a source that holds a third of all rows is spread over a third of the blocks.
-Only DataFrame functions touch the documents.
+the quotas of all sources: at every node the left half draws its number of blocks from those of the node
+without replacement, by a random order of them, so what it gets of each source is a multivariate
+hypergeometric draw and every shard has an exact, random composition. Each shard then takes the next
+blocks of every source in their permuted order, and rows are shuffled within their shard. What the mix takes
+of a document is the sum of what the shards take.
+
+Only the rows of the few blocks that are used in part are ordered and cumulated; all other rows follow from
+their block, so no text is shuffled before the shards are put together. The driver holds one row for each
+source and each block. Both are bounded: by MAX_SOURCES, a mix being a stated list of weights, and by
+MAX_BLOCKS. Documents are never moved by source: they are dealt over blocks, so a source that holds
+a third of all rows is spread over a third of the blocks. Only DataFrame functions touch the documents.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+import math
+from collections import Counter, defaultdict
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.llm.stage import literal_table, written
 
 MAX_SOURCES = 100_000
+#: Blocks of a mix: at least and at most, and rows that a block should hold in between.
+LEAST_BLOCKS = 4096
+MAX_BLOCKS = 500_000
+ROWS_PER_BLOCK = 250_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -47,28 +54,31 @@ def water_level(sizes: Sequence[int], weights: Sequence[float], volume: float, c
     return [min(c, level * w) for c, w in zip(caps, weights, strict=True)]
 
 
-def splitting_tree(counts: Sequence[int], shards: int, seed: int) -> np.ndarray:
-    """shards x sources matrix of block counts; columns sum to `counts`, row sums differ by one at most."""
-    rng, out = np.random.default_rng(seed), np.zeros((shards, len(counts)), dtype=np.int64)
+def _order(seed: int, *parts: int) -> str:
+    return hashlib.md5(":".join(map(str, (seed, *parts))).encode()).hexdigest()
+
+
+def splitting_tree(tickets: Sequence[tuple[int, ...]], shards: int, seed: int) -> list[Counter]:
+    """For every shard its quota of each source; tickets (source, ...), one for each block.
 
-    def node(left: int, right: int, have: np.ndarray, first: int) -> None:
+    A node draws the tickets of its left half from its own without replacement; shard i of n is due
+    every n-th ticket from the i-th on, so sizes of shards differ by one at most.
+    """
+    due = [(len(tickets) + shards - 1 - i) // shards for i in range(shards)]
+    out: list[Counter] = [Counter()] * shards
+
+    def node(left: int, right: int, have: list, level: int) -> None:
         if right - left == 1:
-            out[left] = have
+            out[left] = Counter(t[0] for t in have)
             return
-        middle, total = (left + right) // 2, int(have.sum())
-        # shard i holds blocks i, i + shards, ...: its exact number of the `total` blocks of this mix
-        size = sum((whole + shards - 1 - i) // shards for i in range(left, middle))
-        drawn = rng.multivariate_hypergeometric(have, size, method="marginals") if total else have
-        node(left, middle, drawn, first)
-        node(middle, right, have - drawn, first + size)
-
-    whole = int(sum(counts))
-    node(0, shards, np.asarray(counts, dtype=np.int64), 0)
-    return out
+        middle = (left + right) // 2
+        size = sum(due[left:middle])
+        drawn = sorted(have, key=lambda t: _order(seed, level, *t))
+        node(left, middle, drawn[:size], level + 1)
+        node(middle, right, drawn[size:], level + 1)
 
-
-def _order(seed: int, *parts: int) -> str:
-    return hashlib.md5(":".join(map(str, (seed, *parts))).encode()).hexdigest()
+    node(0, shards, list(tickets), 2)
+    return out
 
 
 def _draw(blocks: list, quotas: list[int], shards: int, seed: int) -> list[dict]:
@@ -83,15 +93,19 @@ def _draw(blocks: list, quotas: list[int], shards: int, seed: int) -> list[dict]
         for turn, left in enumerate((min(quotas[s], size), max(quotas[s] - size, 0))):
             for block, n in sorted(own, key=lambda x: _order(seed, turn, s, x[0])):
                 if left > 0 and n > 0:
-                    drawn[s].append((turn, block, min(left, n)))
+                    drawn[s].append((turn, block, n, min(left, n)))
                     left -= n
-    tree = splitting_tree([len(drawn.get(s, ())) for s in range(len(quotas))], shards, seed)
+    tickets = [(s, turn, block) for s, parts in drawn.items() for turn, block, _, _ in parts]
+    given = dict.fromkeys(drawn, 0)
     rows: dict[tuple[int, int], dict] = {}
-    for s, parts in drawn.items():
-        shard_of = np.repeat(np.arange(shards), tree[:, s])
-        for shard, (turn, block, n) in zip(shard_of.tolist(), parts, strict=True):
-            row = rows.setdefault((s, block), {"source_no": s, "block": block})
-            row |= {f"quota{turn}": n, f"shard{turn}": shard}
+    for shard, quota in enumerate(splitting_tree(tickets, shards, seed)):
+        for s, n_blocks in quota.items():
+            first = given[s]
+            given[s] += n_blocks
+            for turn, block, size, n in drawn[s][first : given[s]]:
+                row = rows.setdefault((s, block), {"source_no": s, "block": block, "partial": False})
+                row |= {f"quota{turn}": n, f"shard{turn}": shard}
+                row["partial"] |= n < size
     return list(rows.values())
 
 
@@ -102,7 +116,6 @@ def mix(
     volume: float = 1.5,
     cap: float = 2,
     shards: int = 16,
-    blocks: int = 4096,
     seed: int = 1,
     carry: Sequence[str] = (),
 ) -> DataFrame:
@@ -114,28 +127,29 @@ def mix(
     `size` means that the document is cut there, which meets each target exactly and happens to at
     most one document of a source and pass) and the columns named in `carry`.
 
-    A null source is a source of its own. Null and empty texts have size 0 and no copies. Null ids are
-    told apart by their text. Repeated rows are documents of their own. An empty table gives no rows.
+    A null source is a source of its own. Null and empty texts have size 0 and no copies. Rows of one id, or
+    of none, are told apart by their text: reruns agree on any order and partitioning of the rows. Repeated rows are documents of their own. An empty table gives no rows.
     Columns other than doc_id, text and source are read only if `carry` names them.
     """
     if not 1 <= cap <= 2:
         raise ValueError("at most two passes: cap must be from 1 to 2")
     spark = docs.sparkSession
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit(""))))
+    own = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))
     number = lambda start: F.conv(F.substring("digest", start, 15), 16, 10).cast("long")
     narrow = written(
         docs.select(
-            "doc_id", "source", words(F.col("text")).alias("size"), digest.alias("digest"),
+            "doc_id", "source", words(F.col("text")).alias("size"), F.md5(own).alias("digest"),
             F.struct(*carry).alias("carried") if carry else F.lit(None).cast("int").alias("carried"),
         ).select("doc_id", "source", "size", number(1).alias("deal"), number(17).alias("place"), "carried"),
         "mix",
     )
-    found = narrow.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
+    found = narrow.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"over {MAX_SOURCES} sources: group them before mixing")
     found.sort(key=lambda r: (r.source is None, r.source or ""))
     sizes = [r["size"] for r in found]
     total = max(sum(sizes), 1)
+    blocks = min(MAX_BLOCKS, max(LEAST_BLOCKS, math.ceil(sum(r.n for r in found) / ROWS_PER_BLOCK)))
     targets = water_level(sizes, [weights[i % len(weights)] for i in range(len(sizes))], volume, cap)
     sources = literal_table(
         spark,
@@ -150,40 +164,49 @@ def mix(
         .withColumn("block", F.col("deal") % F.col("n_blocks"))
         .drop("named", "source", "n_blocks", "deal")
     )
-    table = dealt.groupBy("source_no", "block").agg(F.sum("size").alias("size")).collect()  # `blocks` + sources at most
-    plan = literal_table(
-        spark,
-        _draw(table, [int(t + 0.5) for t in targets], shards, seed),
-        "source_no int, block bigint, quota0 bigint, shard0 int, quota1 bigint, shard1 int",
+    table = dealt.groupBy("source_no", "block").agg(F.sum("size").alias("size")).collect()  # MAX_BLOCKS + sources at most
+    plan = written(
+        literal_table(
+            spark,
+            _draw(table, [int(t + 0.5) for t in targets], shards, seed),
+            "source_no int, block bigint, partial boolean, quota0 bigint, shard0 int, quota1 bigint, shard1 int",
+        ),
+        "blocks",
     )
-    order = Window.partitionBy("source_no", "block").orderBy("place", "doc_id")
+    put = dealt.join(F.broadcast(plan), ["source_no", "block"], "left")  # one row for each block
+    # rows alike in place, id and size are one text's, so only what is carried with them can differ
+    order = Window.partitionBy("source_no", "block").orderBy("place", "doc_id", "size", F.xxhash64("carried"))
     before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    taken = lambda turn: F.least(
-        F.col("size"), F.greatest(F.lit(0), F.coalesce(F.col(f"quota{turn}"), F.lit(0)) - F.col("before"))
-    )
+    whole = put.filter(~F.coalesce("partial", F.lit(False))).withColumn("before", F.lit(0).cast("long"))
+    part = put.filter("partial").withColumn("before", before)
+    # a block that is used as a whole has its own size as quota, so each row takes all of its words
+    room = lambda turn: F.coalesce(F.col(f"quota{turn}"), F.lit(0)) - F.col("before")
     copy = lambda turn: F.struct(
         F.col(f"shard{turn}").alias("shard"),
-        F.col(f"taken{turn}").alias("words"),
+        F.least("size", F.greatest(F.lit(0), room(turn))).alias("words"),
         F.xxhash64("place", F.lit(seed), F.lit(turn)).alias("shuffle"),
     )
-    out = (
-        dealt.withColumn("before", before)
-        .join(F.broadcast(plan), ["source_no", "block"], "left")  # one row for each block
-        .withColumns({"taken0": taken(0), "taken1": taken(1)})
-    )
-    return out.select(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        (F.col("taken0") + F.col("taken1")).alias("taken"),
-        F.filter(F.array(copy(0), copy(1)), lambda c: c.words > 0).alias("copies"),
-        *(F.col(f"carried.{c}").alias(c) for c in carry),
+    copies = F.filter(F.array(copy(0), copy(1)), lambda c: c.words > 0)
+    return (
+        whole.unionByName(part)
+        .withColumn("copies", copies)
+        .select(
+            "doc_id",
+            "size",
+            "source_size",
+            "target",
+            F.aggregate("copies", F.lit(0).cast("long"), lambda n, c: n + c.words).alias("taken"),
+            "copies",
+            *(F.col(f"carried.{c}").alias(c) for c in carry),
+        )
     )
 
 
-def emit(mixed: DataFrame, shards: int = 16) -> DataFrame:
-    """One row for each copy, rows of a shard together and shuffled within it."""
+def emit(mixed: DataFrame, parts: int = 1) -> DataFrame:
+    """One row for each copy, with its shard, words and part. A shard has `parts` parts of nearly equal size, ranges of
+    `shuffle`; the rows of a part stand together in that order. No copies give no rows."""
     rows = mixed.select("*", F.explode("copies").alias("copy")).drop("copies")
     rows = rows.select("*", "copy.shard", "copy.words", "copy.shuffle").drop("copy")
-    return rows.repartition(shards, "shard").sortWithinPartitions("shard", "shuffle")
+    part = F.shiftrightunsigned("shuffle", 33) * parts
+    rows = rows.withColumn("part", F.shiftright(part, 31).cast("int"))
+    return rows.repartition("shard", "part").sortWithinPartitions("shard", "part", "shuffle")

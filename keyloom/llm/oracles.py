@@ -9,10 +9,11 @@ def _digits(at: int) -> str:
     return f"('0x' || substr(h, {at}, 15))::BIGINT"
 
 
+#: The tree deals tickets (source, pass, block) to halves of shards level by level; a source's blocks then go to its shards in order.
 MIX = rf"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5('1:' || coalesce(doc_id::VARCHAR, md5(text), '')) AS h FROM documents),
+         md5('1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size,
              row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no FROM d GROUP BY source),
 w AS (SELECT *, CASE no % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
@@ -20,21 +21,32 @@ l AS (SELECT *, cap / weight AS ratio,
              (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
       FROM w WINDOW before AS (ORDER BY cap / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 lv AS (SELECT coalesce(arg_min(level, (ratio, no)), 'inf'::DOUBLE) AS level FROM l WHERE ratio >= level),
+nb AS (SELECT least(500000, greatest(4096, ceil(count(*) / 250000)))::BIGINT AS blocks FROM documents),
 t AS (SELECT no, source, source_size, least(cap, lv.level * weight) AS target,
-             greatest(1, 4096 * source_size // greatest((SELECT sum(source_size) FROM s), 1))::BIGINT AS n_blocks FROM l, lv),
+             greatest(1, blocks * source_size // greatest((SELECT sum(source_size) FROM s), 1))::BIGINT AS n_blocks FROM l, lv, nb),
 q AS (SELECT *, floor(target + 0.5)::BIGINT AS quota FROM t),
 dealt AS (SELECT d.doc_id, d.size, q.no, q.source_size, q.target, q.quota, {_digits(1)} % q.n_blocks AS block, {_digits(17)} AS place
           FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
 b AS (SELECT no, block, any_value(quota) AS quota, any_value(source_size) AS source_size, sum(size)::BIGINT AS size FROM dealt GROUP BY ALL),
-b2 AS (SELECT no, block, size, least(quota, source_size) AS q0, greatest(quota - source_size, 0) AS q1,
-              coalesce(sum(size) OVER (PARTITION BY no ORDER BY md5('1:0:' || no || ':' || block) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b0,
-              coalesce(sum(size) OVER (PARTITION BY no ORDER BY md5('1:1:' || no || ':' || block) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b1
-       FROM b),
-b3 AS (SELECT no, block, greatest(0, least(size, q0 - b0)) AS quota0, greatest(0, least(size, q1 - b1)) AS quota1 FROM b2),
-x AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY no, block ORDER BY place, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-      FROM dealt JOIN b3 USING (no, block))
-SELECT doc_id, size, source_size, target,
-       (least(size, greatest(0, quota0 - before)) + least(size, greatest(0, quota1 - before)))::BIGINT AS taken FROM x
+b2 AS (SELECT no, block, size, turn, md5('1:' || turn || ':' || no || ':' || block) AS o,
+              CASE turn WHEN 0 THEN least(quota, source_size) ELSE greatest(quota - source_size, 0) END AS due FROM b, (VALUES (0), (1)) v(turn)),
+tk AS (SELECT no, block, turn, o, greatest(0, least(size, due - coalesce(sum(size) OVER (PARTITION BY no, turn ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS part
+       FROM b2 QUALIFY part > 0),
+tree AS (SELECT no, turn, block, 0 AS lo, 16 AS hi, 2 AS level, count(*) OVER () AS n FROM tk
+         UNION ALL
+         SELECT no, turn, block, CASE WHEN rn <= half THEN lo ELSE (lo + hi) // 2 END, CASE WHEN rn <= half THEN (lo + hi) // 2 ELSE hi END, level + 1, n
+         FROM (SELECT *, row_number() OVER (PARTITION BY lo ORDER BY md5('1:' || level || ':' || no || ':' || turn || ':' || block)) AS rn,
+                      list_sum(list_transform(range(lo, (lo + hi) // 2), lambda i: (n + 15 - i) // 16)) AS half
+               FROM tree WHERE hi - lo > 1)),
+leaf AS (SELECT no, lo AS shard, row_number() OVER (PARTITION BY no ORDER BY lo) AS k FROM tree WHERE hi - lo = 1),
+put AS (SELECT no, block, turn, part, shard FROM (SELECT *, row_number() OVER (PARTITION BY no ORDER BY turn, o) AS k FROM tk) JOIN leaf USING (no, k)),
+b3 AS (SELECT no, block, coalesce(max(part) FILTER (turn = 0), 0) AS quota0, coalesce(max(part) FILTER (turn = 1), 0) AS quota1,
+              max(shard) FILTER (turn = 0) AS shard0, max(shard) FILTER (turn = 1) AS shard1 FROM put GROUP BY ALL),
+x AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY no, block ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM dealt LEFT JOIN b3 USING (no, block)),
+y AS (SELECT *, greatest(0, least(size, coalesce(quota0, 0) - before))::BIGINT AS w0, greatest(0, least(size, coalesce(quota1, 0) - before))::BIGINT AS w1 FROM x)
+SELECT doc_id, size, source_size, target, (w0 + w1)::BIGINT AS taken,
+       CASE WHEN w0 > 0 THEN shard0 END::INT AS shard, CASE WHEN w1 > 0 THEN shard1 END::INT AS shard_again, w1::BIGINT AS taken_again FROM y
 """
 
 

@@ -34,8 +34,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """shard and shard_again: the shards that get the words of the first and the second pass; null if none does."""
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    first, again = F.get("copies", F.lit(0)), F.get("copies", F.lit(1))
+    return mixed.select(
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        "taken",
+        first["shard"].alias("shard"),
+        again["shard"].alias("shard_again"),
+        F.coalesce(again["words"], F.lit(0)).cast("long").alias("taken_again"),
+    )
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 
@@ -22,20 +25,32 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Folders of written tables, by the DataFrame that reads them.
+_FOLDERS: WeakKeyDictionary = WeakKeyDictionary()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to the shared folder as Parquet and read it back: computed once, no lineage."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/keyloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[back] = path
+    return back
 
 
-def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
-    """A few rows that the driver holds, as a table made of one JSON literal: no RDD, no Python worker."""
-    import json
+def dropped(*tables: DataFrame) -> None:
+    """Delete the folders of written tables that nothing reads any more; other tables are left alone."""
+    for table in tables:
+        if path := _FOLDERS.pop(table, None):
+            spark = table.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
-    from pyspark.sql import functions as F
 
-    return spark.range(1).select(
-        F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>"))
-    )
+def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """Rows that the driver holds, as a table made of one JSON literal: no RDD, no Python worker. No rows give no rows.
+
+    The literal is part of the plan, so a table of many rows is best written at once.
+    """
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))

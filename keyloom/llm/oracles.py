@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keyloom.llm.url_filter import PARTS, Reputation
+from keyloom.llm.url_filter import KINDS, PARTS, Reputation
 
 
 def _digits(at: int) -> str:
@@ -105,6 +105,11 @@ def url_filter(rules, setting: Reputation = Reputation()) -> str:
     pattern = PARTS.replace("'", "''")
     table = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}', '{r.text}')" for r in rules)
     z, least, most = setting.z, setting.least_good, setting.max_strength
+    kinds = ", ".join(f"'{k}'" for k in KINDS)
+
+    def bound(a: str, b: str) -> str:
+        n = f"({a} + {b})"
+        return f"({a}) / {n} + {z} * sqrt(({a}) / {n} * (({b}) / {n}) / ({n} + 1))"
 
     def strength(groups: str, p: str) -> str:
         r = (
@@ -114,14 +119,17 @@ def url_filter(rules, setting: Reputation = Reputation()) -> str:
         return f"(SELECT coalesce(least({most}, greatest(1.0, 1 / greatest({r}, 1e-9) - 1)), {most})::DOUBLE AS s FROM {groups})"
 
     return f"""
-WITH p AS (SELECT page_id, lower(coalesce(regexp_extract(url, '{pattern}', 1), '')) AS host,
+WITH p0 AS (SELECT page_id, lower(coalesce(regexp_extract(url, '{pattern}', 1), '')) AS host,
                   coalesce(regexp_extract(url, '{pattern}', 2), '') AS path FROM pages),
+p1 AS (SELECT *, string_split(host, '.') AS labels,
+              CASE WHEN list_contains([{kinds}], string_split(host, '.')[-2]) AND regexp_full_match(string_split(host, '.')[-1], '[a-z][a-z]') THEN 2 ELSE 1 END AS last
+       FROM p0),
+p AS (SELECT page_id, host, path, array_to_string(labels[-last:], '.') AS suffix, array_to_string(labels[-last - 1:], '.') AS domain FROM p1),
 rules(verdict, h, pre, txt) AS (VALUES {table}),
 fit AS (SELECT page_id, txt, verdict FROM (SELECT DISTINCT page_id, host, path FROM p), rules
         WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre)
         QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(txt) DESC, txt) = 1),
-h AS (SELECT host, count(*)::DOUBLE AS n, sum(quality)::DOUBLE AS k, array_to_string(string_split(host, '.')[-2:], '.') AS domain,
-             string_split(host, '.')[-1] AS suffix
+h AS (SELECT host, count(*)::DOUBLE AS n, sum(quality)::DOUBLE AS k, any_value(domain) AS domain, any_value(suffix) AS suffix
       FROM p JOIN labels ON doc_id = page_id WHERE quality IS NOT NULL GROUP BY host),
 m0 AS (SELECT coalesce(sum(k) / sum(n), 0) AS m FROM h),
 sx AS (SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(m) AS m FROM h, m0 GROUP BY suffix),
@@ -133,8 +141,11 @@ dm AS (SELECT domain, (k + s * m) / (n + s) AS m FROM dx, s2),
 hx AS (SELECT host, n, k, m FROM h JOIN dm USING (domain)),
 s3 AS {strength("hx", "m")},
 ab AS (SELECT host, k + s * m AS a, n - k + s * (1 - m) AS b FROM hx, s3),
-bad AS (SELECT host FROM ab WHERE a / (a + b) + {z} * sqrt(a / (a + b) * (b / (a + b)) / (a + b + 1)) < {least})
+host_bad AS (SELECT host, {bound("a", "b")} < {least} AS bad FROM ab),
+domain_bad AS (SELECT domain, {bound("s * m", "s * (1 - m)")} < {least} AS bad FROM dm, s3),
+suffix_bad AS (SELECT suffix, {bound("s * m", "s * (1 - m)")} < {least} AS bad FROM sm, s2)
 SELECT p.page_id, p.host, p.path, f.txt AS rule,
-       coalesce(f.verdict, CASE WHEN bad.host IS NULL THEN 'allow' ELSE 'block' END) AS verdict
-FROM p LEFT JOIN fit f ON f.page_id = p.page_id LEFT JOIN bad ON bad.host = p.host
+       coalesce(f.verdict, CASE WHEN coalesce(b1.bad, b2.bad, b3.bad, false) THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN fit f ON f.page_id = p.page_id LEFT JOIN host_bad b1 ON b1.host = p.host
+LEFT JOIN domain_bad b2 ON b2.domain = p.domain LEFT JOIN suffix_bad b3 ON b3.suffix = p.suffix
 """

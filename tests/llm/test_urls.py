@@ -1,6 +1,7 @@
 """URL filters, with awkward input."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from keyloom.llm import url_filter
 from keyloom.llm.registry import RULES
@@ -69,10 +70,39 @@ def test_bad_hosts_go_and_few_labels_do_not(spark):
 
 def test_posterior_shrinks_to_its_domain(spark):
     rows = [("x.d.com", 0)] * 2 + [("y.d.com", 1)] * 50 + [("z.e.com", 0)] * 2 + [("w.e.com", 0)] * 50
-    known = {r.host: r.mean for r in url_filter.host_reputation(spark.createDataFrame(rows, "host string, good int")).collect()}
+    rows = spark.createDataFrame(rows, "host string, good int")
+    known = {r.name: r.mean for r in url_filter.reputation(rows).collect() if r.level == "host"}
     assert known["x.d.com"] > known["z.e.com"] and known["y.d.com"] > 0.8
 
 
+def test_hosts_without_labels_have_the_verdict_of_domain_or_suffix(spark):
+    good = [(f"h{i}.good{i % 4}.com", 1) for i in range(200)] + [(f"h{i}.fine{i % 3}.co.uk", 1) for i in range(90)]
+    bad = [(f"h{i % 3}.spam.com", 0) for i in range(120)] + [(f"b{i}.bad{i}.zz", 0) for i in range(300)]
+    bad += [(f"h{i % 3}.spam.co.uk", 0) for i in range(90)]
+    kept = [("ok.bad7.zz", 1)] * 40
+    rows = [(n, f"http://{h}/", g) for n, (h, g) in enumerate(good + bad + kept)]
+    unseen = ["new.spam.com", "new.good1.com", "new.other.com", "any.new.zz", "zz", "n.fine1.co.uk", "n.spam.co.uk", "n.new.co.uk", "x.org", ""]
+    urls = [r[:2] for r in rows] + [(1000 + i, f"http://{h}/") for i, h in enumerate(unseen)]
+    got = url_filter.judge_urls(pages(spark, urls), outcomes(spark, [(n, g) for n, _, g in rows])).collect()
+    verdict = {r.host: r.verdict for r in got}
+    assert {h: verdict[h] for h in unseen} == {
+        "new.spam.com": "block", "new.good1.com": "allow", "new.other.com": "allow", "any.new.zz": "block", "zz": "block",
+        "n.fine1.co.uk": "allow", "n.spam.co.uk": "block", "n.new.co.uk": "allow", "x.org": "allow", "": "allow",
+    }
+    assert verdict["ok.bad7.zz"] == "allow" and verdict["h1.spam.com"] == "block"
+
+
+def test_suffix_and_domain(spark):
+    want = {
+        "a.b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "x.com": ("com", "x.com"), "com": ("com", "com"),
+        "a.x.com": ("com", "x.com"), "": ("", ""), "b.co.example": ("example", "co.example"), "q.xco.uk": ("uk", "xco.uk"),
+        "a..": ("", "."), "x.com.\n": ("\n", "com.\n"),
+    }
+    rows = spark.createDataFrame([(h,) for h in want], "host string")
+    host = F.col("host")
+    assert {r[0]: (r[1], r[2]) for r in rows.select(host, url_filter.suffix_of(host), url_filter.domain_of(host)).collect()} == want
+
+
 def test_too_many_rules():
     with pytest.raises(ValueError):
         url_filter.matching_rule(None, None, [Rule("allow", "h", f"/{i}") for i in range(1001)])

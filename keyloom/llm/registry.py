@@ -104,6 +104,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """whole: whether all texts equal to the row's are in its shard; groups are cut only where no shard has room."""
     put = sharding.shard_by_bytes(_table(spark, sf_dir, "documents"), 16)
     return put.select(
         "doc_id",
@@ -113,6 +114,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
         "shard",
         F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
+        "whole",
     )
 
 

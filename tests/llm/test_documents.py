@@ -9,6 +9,7 @@ import zlib
 import cases
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keyloom.llm import chunk_dedup, jaccard_join, line_crf, mixing, packing, sharding, suffix_dedup
 
@@ -73,10 +74,40 @@ def test_water_level_reshares_excess():
 
 def test_splitting_tree_is_exact():
     counts = [7, 0, 33, 100]
-    tree = mixing.splitting_tree(counts, 8, 3)
-    assert tree.sum(axis=0).tolist() == counts
-    assert set(tree.sum(axis=1).tolist()) <= {17, 18} and (tree >= 0).all()
-    assert (tree == mixing.splitting_tree(counts, 8, 3)).all()
+    tickets = [(s, 0, b) for s, n in enumerate(counts) for b in range(n)]
+    tree = mixing.splitting_tree(tickets, 8, 3)
+    assert [sum(t[s] for t in tree) for s in range(4)] == counts
+    assert {t.total() for t in tree} <= {17, 18}
+    assert tree == mixing.splitting_tree(tickets, 8, 3)
+    assert all(t.total() == 0 for t in mixing.splitting_tree([], 3, 1))
+
+
+def test_splitting_tree_draws_hypergeometrically():
+    tickets, halves = [(int(b < 30), b) for b in range(90)], []
+    for seed in range(2000):
+        halves.append(mixing.splitting_tree(tickets, 2, seed)[0][1])
+    # 45 of 90 tickets, 30 of them of one kind: mean 15, variance 45 * 1/3 * 2/3 * 45/89
+    assert abs(np.mean(halves) - 15) < 0.2 and abs(np.var(halves) - 45 * 2 / 9 * 45 / 89) < 0.6
+
+
+def test_mix_reruns_agree_for_one_id_with_many_texts(spark):
+    docs = [(7, " ".join(cases.words(1 + 3 * i % 29, 300 + i))) for i in range(59)]
+    one = mixing.mix(cases.documents(spark, docs).withColumn("source", F.lit("s")), volume=1.3, carry=("text",))
+    two = mixing.mix(cases.documents(spark, docs[::-1]).withColumn("source", F.lit("s")).repartition(5), volume=1.3, carry=("text",))
+    pick = lambda df: sorted((r["text"], r["taken"], str(r["copies"])) for r in cases.got(df))
+    assert pick(one) == pick(two) and any(0 < r["taken"] % r["size"] for r in cases.got(one))
+
+
+def test_mix_takes_what_its_shards_take(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAST_BLOCKS", 6)
+    docs = [(i, " ".join(cases.words(5 + i % 40, i))) for i in range(150)]
+    rows = cases.got(mixing.mix(cases.documents(spark, docs), shards=5))
+    parts = cases.got(mixing.emit(mixing.mix(cases.documents(spark, docs), shards=5), 3))
+    taken = collections.Counter()
+    for r in parts:
+        taken[r["doc_id"]] += r["words"]
+        assert 0 <= r["shard"] < 5 and 0 <= r["part"] < 3
+    assert taken == collections.Counter({r["doc_id"]: r["taken"] for r in rows if r["taken"]})
 
 
 def test_emit_has_a_row_for_each_copy(spark):
@@ -383,8 +414,8 @@ def test_jaccard_paths_use_tokens_of_their_own(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "LARGE", 3)
     base = cases.words(200, 90)
     docs = [(i, " ".join(base[: 190 + i] + [f"y{i}"])) for i in range(8)]
-    keyed = cases.documents(spark, docs).selectExpr("doc_id", "doc_id AS key", "text")
-    columns = "doc_id long, key long, node binary, n int, tokens array<long>"
+    keyed = cases.documents(spark, docs).selectExpr("doc_id", "doc_id AS key", "xxhash64(text) AS hash", "text")
+    columns = "doc_id long, key long, hash long, node binary, n int, tokens array<long>"
     nodes = keyed.mapInArrow(jaccard_join._sketch, columns).selectExpr("node", "key", "n", "tokens")
     rows = cases.got(jaccard_join._buckets(nodes, keyed))
     got = collections.defaultdict(set)
@@ -488,6 +519,47 @@ def test_shards_awkward(spark, shards):
     assert sharding.shard_by_bytes(cases.empty(spark), shards).count() == 0
 
 
+@pytest.mark.parametrize("shares", [(0.33,), (0.02, 0.3, 0.5, 0.9), (0.6,) * 20, (0.999,), (0.97,) * 15])
+def test_groups_stay_whole_while_a_shard_has_room(spark, shares):
+    shards, mean = 8, 40_000
+    copies = [max(2, int(s * mean / 100)) for s in shares]
+    docs = [(n * 10_000 + i, f"{n:03}" + "g" * 96) for n, c in enumerate(copies) for i in range(c)]
+    rest = shards * mean - 100 * len(docs)
+    r = np.random.default_rng(2)
+    while rest > 0:
+        n = int(min(rest, r.integers(20, 400)))
+        docs.append((1_000_000 + rest, "x" * max(0, n - 8) + f"{rest:07}"[: max(0, n - 1)]))
+        rest -= len(docs[-1][1]) + 1
+    total = sum(len(t) + 1 for _, t in docs)
+    rows = cases.got(sharding.shard_by_bytes(cases.documents(spark, docs), shards))
+    text, size, slots, at = dict(docs), collections.Counter(), collections.defaultdict(list), collections.defaultdict(set)
+    for x in rows:
+        size[x["shard"]] += x["size"]
+        slots[x["shard"]].append(x["slot"])
+        at[text[x["doc_id"]]].add(x["shard"])
+    assert len(rows) == len(docs) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert all(abs(size[s] - total / shards) <= max(400, 2 * sharding.HEAVY * total / shards) for s in range(shards))
+    of = [at[f"{n:03}" + "g" * 96] for n in range(len(shares))]
+    heavy = sorted(copies, reverse=True)
+    room, fits = [0] * shards, []
+    for c in heavy:
+        k = room.index(min(room))
+        fits.append((room[k] + c * 100) * shards <= total)
+        room[k] += c * 100 * fits[-1]
+    assert sum(len(s) == 1 for s in of) >= sum(fits)
+    assert all(len(at[text[x["doc_id"]]]) == 1 for x in rows if x["whole"])
+
+
+def test_group_larger_than_a_shard_is_cut(spark):
+    docs = [(i, "hot text " * 20) for i in range(2000)] + [(5000 + i, f"{i} " * 40) for i in range(3000)]
+    rows = cases.got(sharding.shard_by_bytes(cases.documents(spark, docs), 16))
+    size = collections.Counter()
+    for r in rows:
+        size[r["shard"]] += r["size"]
+    assert {r["whole"] for r in rows if r["doc_id"] < 5000} == {False}
+    assert max(size.values()) - min(size.values()) <= 0.05 * sum(size.values()) / 16
+
+
 def test_shards_are_even_and_keep_groups(spark):
     docs = [(i, "x" * (50 + i * 37 % 400) if i % 3 else "hot text " * 20) for i in range(6000)]
     docs += [(10_000 + i, f"copy {i // 2}") for i in range(200)]

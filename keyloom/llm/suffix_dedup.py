@@ -15,8 +15,9 @@ there, their common prefix being shorter than the next value. Common prefixes th
 increasing value, and expansion stops at `least` bytes: what is in an interval then is a repeat.
 
 An anchor with very many different segments, such as a passage that most documents hold, would be too
-much for one task. Its windows are counted by Spark instead, by 128-bit digest, which is exact too but for
-digest collisions, with sums before the shuffle.
+much for one task. Its intervals are expanded by Spark in the same way: a symbol is named by the least place
+that has its block, an interval by the least place in it; each level joins the symbols before the
+occurrences to them and keeps the (symbol, interval) that occur more than once. Names are exact.
 """
 
 from __future__ import annotations
@@ -32,14 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm.chunk_dedup import document_key
-from keyloom.llm.stage import written
+from keyloom.llm.stage import dropped, written
 
 LEAST = 200
 GRAM = 32
 BLOCK = 40
-#: Bytes of segments that a part should hold, and of one anchor above which its windows are counted one by one.
+#: Bytes of segments that a part should hold, and of one anchor above which Spark expands its intervals.
 PART_BYTES = 1_000_000
-HOT_BYTES = 8_000_000
+HOT_BYTES = 2_000_000
 OUT_ROWS = 200_000
 #: Bits of a hash that give way to the gram's place.
 PLACE = 20
@@ -245,38 +246,61 @@ def _part(least: int):
     return run
 
 
-def _windows(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Segments of hot anchors -> (digest, text_key, start) of every window."""
-        for batch in batches:
-            for key, start, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                n = len(raw) - least + 1
-                digest = [xxhash.xxh3_128_digest(raw[i : i + least]) for i in range(n)]
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(segment, bytes) -> (segment, at, block) for every place that has a whole block from there on."""
+    for batch in batches:
+        for segment, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            data = np.frombuffer(_raw(raw), np.uint8)
+            n = len(data) - BLOCK + 1
+            for at in range(0, n, OUT_ROWS):
+                to = min(n, at + OUT_ROWS)
+                blocks = np.lib.stride_tricks.sliding_window_view(data[at : to + BLOCK - 1], BLOCK)
+                flat = pa.py_buffer(np.ascontiguousarray(blocks).tobytes())
+                fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BLOCK), to - at, [None, flat])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(digest, pa.binary()), pa.array([key] * n, pa.binary()),
-                     pa.array(np.arange(start, start + n, dtype=np.int32))],
-                    ["digest", "text_key", "start"],
+                    [pa.array(np.full(to - at, segment, np.int64)), pa.array(np.arange(at, to, dtype=np.int32)),
+                     fixed.cast(pa.binary())],
+                    ["segment", "at", "block"],
                 )
 
-    return run
 
+def _expanded(hot: DataFrame, least: int) -> DataFrame:
+    """(text_key, spans) of repeated windows of hot anchors, level by level.
 
-def _counted(hot: DataFrame, least: int) -> DataFrame:
-    """(text_key, spans) of repeated windows, by counting digests."""
-    windows = hot.select("text_key", "start", "bytes").mapInArrow(
-        _windows(least), "digest binary, text_key binary, start int"
-    )
-    place = F.xxhash64("text_key", "start")
-    again = written(
-        windows.groupBy("digest")
-        .agg(F.min(place).alias("a"), F.max(place).alias("b"))
-        .filter(F.col("a") < F.col("b"))
-        .select("digest"),
-        "windows",
-    )
-    return windows.join(again, "digest").select(
-        "text_key", F.array(F.col("start"), F.col("start") + least).alias("spans")
-    )
+    Equal segments are one, with a note that there are several; all of such a segment is a repeat. Two windows of one
+    anchor are compared wherever they are, as in a part.
+    """
+    if least % BLOCK:
+        raise ValueError(f"the least length must be a multiple of {BLOCK}")
+    held = written(hot.select("anchor", "text_key", "start", "bytes"), "hot-segments")
+    once = held.groupBy("anchor", "bytes").agg(F.count("*").alias("times"))
+    # written: the numbers of segments must not change when a task runs again
+    once = written(once.withColumn("segment", F.monotonically_increasing_id()), "segments")
+    places = once.select("segment", "bytes").mapInArrow(_places, "segment long, at int, block binary")
+    place = F.struct("segment", "at")
+    named = written(places.join(places.groupBy("block").agg(F.min(place).alias("symbol")), "block").select("segment", "at", "symbol"), "symbols")
+
+    def several(occurrences: DataFrame, *by: str) -> DataFrame:
+        """Occurrences of intervals that have more than one, each interval named by its least place."""
+        names = occurrences.groupBy(*by).agg(F.count("*").alias("n"), F.min(place).alias("interval"))
+        # written, so that Spark can split an interval with very many occurrences
+        names = written(names.filter("n > 1").drop("n"), "intervals")
+        return occurrences.join(names, list(by)).select("segment", "at", "interval")
+
+    active = written(several(named, "symbol"), "active")
+    for _ in range(1, least // BLOCK):  # backward extension by the symbols before the occurrences
+        before = active.select("segment", (F.col("at") - BLOCK).alias("at"), F.col("interval").alias("old"))
+        longer = written(before.join(named, ["segment", "at"]), "longer")
+        after = written(several(longer, "symbol", "old"), "active")
+        dropped(active, longer)
+        active = after
+    hits = active.groupBy("segment").agg(F.collect_set("at").alias("at"))  # bounded by the segment
+    times = once.select("anchor", "bytes", "segment", "times").join(hits, "segment", "left")
+    back = held.join(times, ["anchor", "bytes"])
+    whole = F.array(F.col("start"), F.col("start") + F.length("bytes"))
+    single = F.transform(F.coalesce("at", F.array().cast("array<int>")), lambda i: F.array(F.col("start") + i, F.col("start") + i + least))
+    lists = F.when(F.col("times") > 1, F.array(whole)).otherwise(single)
+    return back.select("text_key", F.flatten(lists).alias("spans")).filter(F.size("spans") > 0)
 
 
 def _result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,7 +386,7 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
         .applyInArrow(_part(least), "text_key binary, spans array<int>")
     )
     if any_hot:
-        spans = spans.unionByName(_counted(cut.join(hot, "anchor", "left_semi"), least))
+        spans = spans.unionByName(_expanded(cut.join(hot, "anchor", "left_semi"), least))
     by_text = spans.groupBy("text_key").agg(F.collect_list("spans").alias("spans"))  # bounded by the text
     changed = (
         texts.select("text_key", "text")

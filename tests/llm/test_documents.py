@@ -340,6 +340,8 @@ def test_suffix_dedup_hot_anchor_is_exact(spark, monkeypatch):
     shared = " ".join(cases.words(45, 40))
     docs = [(i, f"{i} " * (i % 7) + shared[i % 5 :] + f" tail {i % 3} " + "q" * (i % 50)) for i in range(40)]
     assert suffix_rows(cases.documents(spark, docs)) == brute_repeats([(i, t.encode()) for i, t in docs])
+    awkward = cases.texts() + [(30, "ab" * 400), (31, "xab" * 300 + "ab"), (32, "é" * 150), (33, "q" + "é" * 130)]
+    assert suffix_rows(cases.documents(spark, awkward)) == brute_repeats([(i, (t or "").encode()) for i, t in awkward])
 
 
 @pytest.mark.parametrize("seed", range(3))

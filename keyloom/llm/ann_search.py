@@ -19,7 +19,8 @@ from keyloom.llm import grid
 
 #: Room for the rounding of the bounds themselves.
 SLACK = 1e-6
-TILE = 4096
+#: Products of a tile, at most.
+TILE = 4_000_000
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -37,7 +38,7 @@ def inner(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def search(
-    vectors: DataFrame, k: int = 20, every: int = 20, *, q_rows: int = 512, c_rows: int = 16384
+    vectors: DataFrame, k: int = 20, every: int = 20, *, q_rows: int = 8192, c_rows: int = 16384
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k largest inner products, in double precision.
 
@@ -55,12 +56,13 @@ def search(
         q_code, q_scale, q_near, q_off = quantised(q)
         exact = np.float32 if q.shape[1] * 127 * 127 < 1 << 24 else np.float64
         floor = np.full(len(q), -np.inf)
-        for at in range(0, len(c), TILE):
-            code, scale, near, off = quantised(c[at : at + TILE])
+        tile = max(k, 64, TILE // max(1, len(q)))
+        for at in range(0, len(c), tile):
+            code, scale, near, off = quantised(c[at : at + tile])
             about = (q_code.astype(exact) @ code.astype(exact).T) * (q_scale[:, None] * scale[None, :])
             bound = q_off[:, None] * (near + off)[None, :] + q_near[:, None] * off[None, :]
             bound += SLACK * (q_near + q_off)[:, None] * (near + off)[None, :]
-            about[(q_id[:, None] == vec[None, at : at + TILE]) & ~null[None, at : at + TILE]] = -np.inf
+            about[(q_id[:, None] == vec[None, at : at + tile]) & ~null[None, at : at + tile]] = -np.inf
             least = min(k, about.shape[1])
             sure = np.partition(about - bound, -least, axis=1)[:, -least] if least == k else np.full(len(q), -np.inf)
             rows, cols = np.nonzero((about + bound >= np.maximum(floor, sure)[:, None]) & (about > -np.inf))

@@ -10,21 +10,27 @@ from pyspark.sql import functions as F
 
 from keyloom.llm import grid
 
-TILE = 4096
+#: Products of a tile, at most.
+TILE = 4_000_000
 EXACT = float(1 << 53)
 LONG = (1 << 63) - 1
 
 
-def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Inner products of integer vectors: in doubles where these are exact, else in Python integers."""
-    if np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * q.shape[1] < EXACT:
-        return q @ c.T
-    as_int = lambda m: np.array([[int(x) for x in row] for row in m], dtype=object)
-    return np.clip(as_int(q).dot(as_int(c).T), -LONG, LONG)
+def _large(m: np.ndarray) -> np.ndarray:
+    """Which vectors have a component so large that doubles might not hold their products with others exactly."""
+    return np.abs(m).max(axis=1, initial=0) ** 2 * m.shape[1] >= EXACT
+
+
+def _exactly(q: np.ndarray, c: np.ndarray) -> int:
+    """An inner product in Python integers; one that no long holds is an error, as scores are never changed."""
+    score = sum(int(a) * int(b) for a, b in zip(q.tolist(), c.tolist(), strict=True))
+    if abs(score) > LONG:
+        raise OverflowError(f"the inner product {score} does not fit into a long: choose a smaller scale")
+    return score
 
 
 def search(
-    vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, *, q_rows: int = 512, c_rows: int = 16384
+    vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, *, q_rows: int = 8192, c_rows: int = 16384
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k largest integer inner products of floor(scale * x).
 
@@ -32,25 +38,27 @@ def search(
     are all rows with another vec_id. Ties go to the smaller vec_id, a null vec_id being the largest and
     never a query. Vectors that are null or hold null or non-finite components take no part, vectors
     of different lengths never meet, and empty vectors score 0. Repeated rows are candidates of their own,
-    and one query. Scores beyond a long are held at its ends. No rows give no rows; other columns are
-    not read.
+    and one query. Scores are exact; one that a long cannot hold is an error. No rows give no rows; other
+    columns are not read.
     """
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
         q, c = np.floor(scale * grid.matrix(left, "vector")), np.floor(scale * grid.matrix(right, "item"))
         q_id, (vec, null) = grid.ids(left, "vec_id")[0], grid.ids(right, "item_id")
         rows, cols, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for at in range(0, len(c), TILE):
-            s = _products(q, c[at : at + TILE])
-            other = (q_id[:, None] != vec[None, at : at + TILE]) | null[None, at : at + TILE]
-            if s.dtype == object:
-                keep = other
-            else:
-                s = np.where(other, s, -np.inf)
-                keep = other & (s >= np.partition(s, -min(k, s.shape[1]), axis=1)[:, [-min(k, s.shape[1])]])
+        q_large, tile = _large(q), max(64, TILE // max(1, len(q)))
+        for at in range(0, len(c), tile):
+            part = c[at : at + tile]
+            other = (q_id[:, None] != vec[None, at : at + tile]) | null[None, at : at + tile]
+            beyond = other & (q_large[:, None] | _large(part)[None, :])
+            # at most 2^53 everywhere else, so exact in doubles
+            s = np.where(other & ~beyond, np.where(q_large[:, None], 0, q) @ np.where(_large(part)[:, None], 0, part).T, -np.inf)
+            keep = (s > -np.inf) & (s >= np.partition(s, -min(k, s.shape[1]), axis=1)[:, [-min(k, s.shape[1])]])
             r, j = np.nonzero(keep)
-            rows, cols = np.r_[rows, r], np.r_[cols, j + at]
-            scores = np.r_[scores, s[r, j].astype(np.int64)]
+            br, bj = np.nonzero(beyond)
+            more = np.array([_exactly(q[x], part[y]) for x, y in zip(br.tolist(), bj.tolist(), strict=True)], np.int64)
+            rows, cols = np.r_[rows, r, br], np.r_[cols, j + at, bj + at]
+            scores = np.r_[scores, s[r, j].astype(np.int64), more]
             best = grid.best_rows(scores, rows, cols, vec, null, k)
             rows, cols, scores = rows[best], cols[best], scores[best]
         cell = left.column("c")[0].as_py()

@@ -71,11 +71,20 @@ def test_few_candidates_give_all(spark):
 
 
 def test_large_components_stay_exact(spark):
-    rows = [(0, [3.0e15, 1.0]), (1, [2.5e15, -7.0]), (2, [1.0e30, 0.0])]
-    got = found(exact_search.search(vectors(spark, rows)))[0]
+    rows = [(0, [2.0e6, 1.0]), (1, [1.5e6, -7.0]), (2, [-1.9e6, 3.0]), (3, [1.0, 2.0]), (4, [2.0e6, 1.0]), (100, [5.0e4, 1.0])]
+    got = found(exact_search.search(vectors(spark, rows)))
     f = lambda v: [int(np.floor(1024 * float(np.float32(x)))) for x in v]
-    dot = lambda a, b: min(max(sum(x * y for x, y in zip(f(a), f(b))), -(2**63 - 1)), 2**63 - 1)
-    assert sorted(x[2] for x in got) == sorted(dot(rows[0][1], v) for _, v in rows[1:])
+    dot = lambda a, b: sum(x * y for x, y in zip(f(a), f(b)))
+    for q in (0, 100):
+        want = sorted(((-dot(dict(rows)[q], v), i) for i, v in rows if i != q))
+        assert got[q] == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
+        assert any(abs(s) > 2**53 for s, _ in want) or q == 100
+
+
+def test_scores_beyond_a_long_are_an_error(spark):
+    rows = [(0, [3.0e15, 1.0]), (1, [2.5e15, -7.0])]
+    with pytest.raises(Exception, match="does not fit into a long"):
+        exact_search.search(vectors(spark, rows)).collect()
 
 
 def test_no_rows(spark):

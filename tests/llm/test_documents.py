@@ -199,6 +199,85 @@ def test_first_copy_within_a_document_stays_whole():
     assert 26 <= len(split(left)) < 100
 
 
+def brute_chunks(raw):
+    """Chunks as (start, end, words): a chunk ends at a word's end whose gear hash is divisible by 3, or after 64 words."""
+    ends, h, out, first, n = [], 0, [], None, 0
+    for i, c in enumerate(raw):
+        h = ((h << 1) + int(chunk_dedup.GEAR[c])) & 0xFFFFFFFF
+        space, after = c in b" \t\n\x0b\x0c\r", i + 1 == len(raw) or raw[i + 1] in b" \t\n\x0b\x0c\r"
+        if not space and after:
+            ends.append((i + 1, h))
+    at = 0
+    for k, (end, h) in enumerate(ends):
+        if first is None:
+            first = at + next(j for j, c in enumerate(raw[at:]) if c not in b" \t\n\x0b\x0c\r")
+        n, at = n + 1, end
+        if h % 3 == 0 or n == 64 or k == len(ends) - 1:
+            out.append((first, end, n))
+            first, n = None, 0
+    return out
+
+
+def brute_strip(docs, least=26):
+    """The rule of the substring dedup by hand, on the chunks' bytes: (id, text) -> removed byte spans."""
+    owner, parts = {}, {}
+    for i, text in docs:
+        raw = text.encode()
+        own = brute_chunks(raw)
+        held = set()
+        for a in range(len(own)):
+            run = next((b for b in range(a + 1, len(own) + 1) if sum(x[2] for x in own[a:b]) >= least), None)
+            if run:
+                held.add((a, run))
+        for b in range(1, len(own) + 1):
+            run = next((a for a in range(b - 1, -1, -1) if sum(x[2] for x in own[a:b]) >= least), None)
+            if run is not None:
+                held.add((run, b))
+        what = lambda a, b: tuple(raw[x[0] : x[1]] for x in own[a:b])  # noqa: B023, E731
+        windows = [(a, b, what(a, b)) for a, b in sorted(held)]
+        parts[i] = (raw, own, windows)
+        for _, _, w in windows:
+            owner[w] = min(owner.get(w, i), i)
+    out = {}
+    for i, (raw, own, windows) in parts.items():
+        gone, first = set(), {}
+        for a, b, w in windows:
+            first.setdefault(w, b)
+            if owner[w] < i or a >= first[w]:
+                gone.update(range(a, b))
+        spans = []
+        for k in sorted(gone):
+            start, end = own[k][0], own[k + 1][0] if k + 1 < len(own) else len(raw)
+            if spans and spans[-1][1] == start:
+                spans[-1] = (spans[-1][0], end)
+            else:
+                spans.append((start, end))
+        out[i] = spans
+    return out
+
+
+def test_substring_dedup_equals_brute_force(spark):
+    r = np.random.default_rng(8)
+    stock, passages = cases.words(40, 500), [cases.words(int(n), 600 + int(n)) for n in r.integers(27, 120, 12)]
+    docs = []
+    for i in range(60):
+        parts = []
+        for _ in range(int(r.integers(1, 6))):
+            kind = r.integers(4)
+            if kind == 0:
+                parts += [stock[k] for k in r.integers(0, 40, int(r.integers(5, 60)))]
+            elif kind == 1:
+                parts += cases.words(int(r.integers(1, 90)), 1000 + 10 * i)
+            else:
+                p = passages[r.integers(len(passages))]
+                parts += p[int(r.integers(3)) :] if kind == 2 else p
+        docs.append((i, " ".join(parts) + ("\n é " if i % 5 == 0 else "")))
+    docs += [(70, "\n".join(cases.words(400, 71)) + " x" * 200), (71, docs[3][1]), (72, " " * 50), (73, "")]
+    got = {x["doc_id"]: [(s["start"], s["end"]) for s in x["dedup"]["removed"]] for x in cases.got(chunk_dedup.dedup(cases.documents(spark, docs)))}
+    want = brute_strip(docs)
+    assert got == want and sum(map(bool, want.values())) > 20
+
+
 # ---- packing ----
 
 

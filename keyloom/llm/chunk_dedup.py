@@ -1,7 +1,7 @@
 """Substring dedup by content-defined chunks.
 
 A gear rolling hash runs over a text's bytes: each step shifts the hash by one bit and adds the random
-number of the next byte, so that it depends on the last 32 bytes only. A chunk ends at the end of a
+number of the next byte, in 16 bits, so that it depends on the last 16 bytes only. A chunk ends at the end of a
 word whose hash is divisible by `avg_words`. Boundaries move with the content: an insertion changes the
 chunks around it and no others. From every chunk on and up to every chunk there is a window: the shortest
 run of chunks with `min_words` words or more. Its digest of 80 bits stands for the whole run, so that windows are alike only
@@ -30,8 +30,8 @@ from keyloom.llm.stage import written
 AVG_WORDS = 3
 MIN_WORDS = 26
 MAX_WORDS = 64
-#: Random numbers of the 256 byte values, by rule: the first 4 bytes of a hash of the value.
-GEAR = np.array([xxhash.xxh3_64_intdigest(bytes([b]), seed=7) & 0xFFFFFFFF for b in range(256)], np.uint32)
+#: Random numbers of the 256 byte values, by rule: the last 2 bytes of a hash of the value.
+GEAR = np.array([xxhash.xxh3_64_intdigest(bytes([b]), seed=7) & 0xFFFF for b in range(256)], np.uint16)
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 BATCH = 2_000_000
@@ -40,11 +40,11 @@ MARK = np.dtype([("digest", "<i8"), ("check", "<i2"), ("rest", "V6")])
 
 
 def gear_hash(raw: np.ndarray) -> np.ndarray:
-    """The gear hash after every byte: sum of GEAR[byte j before] << j over the last 32 bytes, by doubling."""
+    """The gear hash after every byte: sum of GEAR[byte j before] << j over the last 16 bytes, by doubling."""
     h = GEAR[raw]
-    for shift in (1, 2, 4, 8, 16):
+    for shift in (1, 2, 4, 8):
         if len(h) > shift:
-            h[shift:] += h[:-shift] << np.uint32(shift)
+            h[shift:] += h[:-shift] << np.uint16(shift)
     return h
 
 
@@ -56,7 +56,7 @@ def chunks(raw: bytes, avg_words: int = AVG_WORDS) -> tuple[np.ndarray, np.ndarr
     starts, ends = np.nonzero(inside[:-1] & ~inside[1:])[0], np.nonzero(~inside[:-1] & inside[1:])[0]
     if not len(starts):
         return starts, ends, ends
-    cut = gear_hash(data.copy())[ends - 1] % np.uint32(avg_words) == 0
+    cut = gear_hash(data.copy())[ends - 1] % np.uint16(avg_words) == 0
     cut[-1] = True
     at = np.nonzero(cut)[0]
     gaps = np.diff(np.r_[-1, at])

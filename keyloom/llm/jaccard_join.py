@@ -4,7 +4,7 @@ Documents are sets of word 5-grams. Rows with equal sets become one node. In eac
 node samples one token of its set by the least hash of the run, so that two nodes sample the same
 token with the chance of their similarity. A bucket, all nodes on one path of sampled tokens, that is
 too large is split again into CHILDREN paths, each by a token that no other path of the node uses, up to
-MAX_DEPTH tokens; these further tokens are sampled for nodes of large buckets only. Buckets are compared by brute force: candidates by their paths and sizes first, then
+MAX_DEPTH tokens. Buckets are compared by brute force: candidates by their paths and sizes first, then
 exactly on their sets, as products of 0/1 matrices. A bucket that is still too large is compared in
 pairs of blocks, exactly, so no cap drops anything.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.chunk_dedup import SPACE, document_key
 from keyloom.llm.components import components
-from keyloom.llm.stage import written
+from keyloom.llm.stage import dropped, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -84,11 +84,13 @@ def gram_set(raw: bytes, width: int = WORDS) -> np.ndarray:
     return np.unique(mixed(gram + np.uint64(n)))
 
 
-def sampled(grams: np.ndarray, runs: range = range(RUNS)) -> np.ndarray:
-    """The token that each run samples."""
+def sampled(grams: np.ndarray) -> np.ndarray:
+    """32 bits of the token that each path samples: those of the runs, then those of each depth. Tokens that agree by
+    chance put nodes in one bucket, where they are compared exactly."""
     if not len(grams):
-        return np.zeros(len(runs), np.int64)
-    return np.array([(grams * _RUN[r]).min() for r in runs], np.uint64).view(np.int64)
+        return np.zeros(len(_RUN), np.int32)
+    least = np.array([(grams * r).min() for r in _RUN], np.uint64)
+    return (mixed(least) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def missed(similarity: float, depth: int) -> float:
@@ -108,17 +110,19 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[bytes]:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         nodes, sizes, tokens = [], [], []
-        for raw in _texts(batch, 2):
+        for raw in _texts(batch, 3):
             grams = gram_set(raw)
             nodes.append(xxhash.xxh3_128_digest(grams.tobytes()))
             sizes.append(len(grams))
             tokens.append(sampled(grams))
-        flat = pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64))
-        offsets = pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * RUNS)
+        both = np.stack(tokens) if tokens else np.zeros((0, len(_RUN)), np.int32)
+        lists = lambda part: pa.ListArray.from_arrays(
+            pa.array(np.arange(len(part) + 1, dtype=np.int32) * part.shape[1]), pa.array(part.ravel())
+        )
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()),
-             pa.ListArray.from_arrays(offsets, flat)],
-            ["doc_id", "key", "node", "n", "tokens"],
+            [*(batch.column(i) for i in range(3)), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()),
+             lists(both[:, :RUNS]), lists(both[:, RUNS:])],
+            ["doc_id", "key", "hash", "node", "n", "tokens", "more"],
         )
 
 
@@ -137,22 +141,6 @@ def _gram_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], ["node", "grams"])
 
 
-def _further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, text) -> (node, more): the tokens of the paths after the first, where the text really is of that node."""
-    for batch in batches:
-        nodes, more = [], []
-        for node, raw in zip(batch.column(0).to_pylist(), _texts(batch, 1), strict=True):
-            grams = gram_set(raw)
-            if xxhash.xxh3_128_digest(grams.tobytes()) == node:
-                nodes.append(node)
-                more.append(sampled(grams, range(RUNS, len(_RUN))))
-        flat = pa.array(np.concatenate(more) if more else np.zeros(0, np.int64))
-        offsets = pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * sum(FURTHER))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(offsets, flat)], ["node", "more"]
-        )
-
-
 def _shared(codes: list[np.ndarray], weights: np.ndarray | None = None) -> np.ndarray:
     """How many values each two of the given arrays of distinct values have in common."""
     m = len(codes)
@@ -192,6 +180,7 @@ def _candidates(table: pa.Table) -> np.ndarray:
     return ok & (_shared([p[p < path] for p in _lists(table, "paths")]) == 0)
 
 
+COLUMNS_OF_SKETCH = "doc_id long, key long, hash long, node binary, n int, tokens array<int>, more array<int>"
 NEED = pa.schema([("node", pa.binary()), ("path", pa.int64()), ("i", pa.int32()), ("j", pa.int32())])
 
 
@@ -249,24 +238,21 @@ def _texts_of(some: DataFrame, nodes: DataFrame, keyed: DataFrame) -> DataFrame:
     return keyed.select("key", "text").join(reps, "key").select("node", "text")
 
 
-def _buckets(nodes: DataFrame, keyed: DataFrame) -> DataFrame:
+def _buckets(nodes: DataFrame) -> DataFrame:
     """(node, path, count): every bucket that holds two nodes or more."""
     first = nodes.select("node", F.posexplode("tokens").alias("run", "token"))
     rows = written(_with_counts(first.select("node", "run", F.xxhash64("run", "token").alias("path"))), "buckets")
-    out, tokens = [], None
+    out = []
     for depth in range(1, MAX_DEPTH + 1):
         large = rows.filter(F.col("count") > LARGE)
         if depth == MAX_DEPTH or not large.limit(1).count():
             out.append(rows)
             break
         out.append(rows.filter(F.col("count") <= LARGE))
-        if tokens is None:
-            more = _texts_of(large, nodes, keyed).mapInArrow(_further, "node binary, more array<long>")
-            tokens = written(more.groupBy("node").agg(F.first("more").alias("more")), "further")
         base = F.lit(sum(FURTHER[: depth - 1]))
         child = lambda c: F.col("run") * CHILDREN + c
         paths = (F.struct(child(c).alias("run"), F.xxhash64("path", F.lit(c), F.get("more", base + child(c))).alias("path")) for c in range(CHILDREN))
-        split = large.join(tokens, "node").select("node", F.explode(F.array(*paths)).alias("new")).select("node", "new.*")
+        split = large.join(nodes.select("node", "more"), "node").select("node", F.explode(F.array(*paths)).alias("new")).select("node", "new.*")
         rows = written(_with_counts(split), "buckets")
     found = out[0]
     for more in out[1:]:
@@ -292,8 +278,9 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
 
 
 def similar(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, links), one row per row of `docs` (doc_id, text).
+    """(doc_id, key, hash, class_id, links), one row per row of `docs` (doc_id, text).
 
+    key is the doc_id or its stand-in (document_key) and hash the xxhash64 of the text, by which a row is found again.
     Two documents are linked if the Jaccard similarity of their sets of five-word grams is 0.8 or more;
     links counts the other rows that a row is linked to, class_id is the least doc_id of all that links
     lead to. Words are separated by ASCII white space and not folded. A text of one to four words is one
@@ -301,9 +288,11 @@ def similar(docs: DataFrame) -> DataFrame:
     comes after all other ids and is replaced by a number made from the text where a class has no other.
     Repeated rows are documents of their own. An empty table gives no rows; other columns are not read.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), document_key().alias("key"), "text")
+    keyed = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), document_key().alias("key"), F.xxhash64("text").alias("hash"), "text"
+    )
     sketches = written(
-        keyed.mapInArrow(_sketch, "doc_id long, key long, node binary, n int, tokens array<long>"), "sketches"
+        keyed.mapInArrow(_sketch, COLUMNS_OF_SKETCH), "sketches"
     )
     nodes = written(
         sketches.groupBy("node").agg(
@@ -311,10 +300,11 @@ def similar(docs: DataFrame) -> DataFrame:
             F.count("*").alias("copies"),
             F.first("n").alias("n"),
             F.first("tokens").alias("tokens"),
+            F.first("more").alias("more"),
         ),
         "nodes",
     )
-    rows = _buckets(nodes, keyed)
+    rows = _buckets(nodes)
     paths = rows.groupBy("node").agg(F.array_sort(F.collect_set("path")).alias("paths"))  # some dozens for a node
     group = ["path", "i", "j"]
     known = rows.distinct().join(paths, "node").join(nodes.select("node", "key", "copies", "n", "tokens"), "node")
@@ -332,6 +322,7 @@ def similar(docs: DataFrame) -> DataFrame:
     found = written(
         full.groupBy(*group).applyInArrow(_verify, "node binary, links long, root binary"), "found"
     )
+    dropped(known, need)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     classes = nodes.select("node", "key", "copies").join(links, "node", "left").join(roots, "node", "left")
@@ -340,4 +331,4 @@ def similar(docs: DataFrame) -> DataFrame:
     class_ids = written(classes.groupBy("root").agg(F.min("key").alias("class_id")), "class-ids")
     links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")
     classes = written(classes.join(class_ids, "root").select("node", "class_id", links), "linked")
-    return sketches.select("doc_id", "key", "node").join(classes, "node").select("doc_id", "key", "class_id", "links")
+    return sketches.select("doc_id", "key", "hash", "node").join(classes, "node").select("doc_id", "key", "hash", "class_id", "links")

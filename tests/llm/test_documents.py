@@ -496,16 +496,15 @@ def test_jaccard_paths_use_tokens_of_their_own(spark, monkeypatch):
     base = cases.words(200, 90)
     docs = [(i, " ".join(base[: 190 + i] + [f"y{i}"])) for i in range(8)]
     keyed = cases.documents(spark, docs).selectExpr("doc_id", "doc_id AS key", "xxhash64(text) AS hash", "text")
-    columns = "doc_id long, key long, hash long, node binary, n int, tokens array<long>"
-    nodes = keyed.mapInArrow(jaccard_join._sketch, columns).selectExpr("node", "key", "n", "tokens")
-    rows = cases.got(jaccard_join._buckets(nodes, keyed))
+    nodes = keyed.mapInArrow(jaccard_join._sketch, jaccard_join.COLUMNS_OF_SKETCH)
+    rows = cases.got(jaccard_join._buckets(nodes))
     got = collections.defaultdict(set)
     for x in rows:
         got[x["path"]].add(x["node"])
     want = collections.defaultdict(set)
     for _, text in docs:
         g = jaccard_join.gram_set(text.encode())
-        t = jaccard_join.sampled(g, range(len(jaccard_join._RUN))).tolist()
+        t = jaccard_join.sampled(g).tolist()
         for run in range(12):
             for c in range(2):
                 for d in range(2):

@@ -278,7 +278,6 @@ def _expanded(hot: DataFrame, least: int) -> DataFrame:
     once = written(once.withColumn("segment", F.monotonically_increasing_id()), "segments")
     places = once.select("segment", "bytes").mapInArrow(_places, "segment long, at int, block binary")
     place = F.struct("segment", "at")
-    named = written(places.join(places.groupBy("block").agg(F.min(place).alias("symbol")), "block").select("segment", "at", "symbol"), "symbols")
 
     def several(occurrences: DataFrame, *by: str) -> DataFrame:
         """Occurrences of intervals that have more than one, each interval named by its least place."""
@@ -287,13 +286,13 @@ def _expanded(hot: DataFrame, least: int) -> DataFrame:
         names = written(names.filter("n > 1").drop("n"), "intervals")
         return occurrences.join(names, list(by)).select("segment", "at", "interval")
 
-    active = written(several(named, "symbol"), "active")
+    active = written(several(places, "block"), "active")
+    symbols = active.withColumnRenamed("interval", "symbol")  # a block that occurs once is in no repeat
     for _ in range(1, least // BLOCK):  # backward extension by the symbols before the occurrences
         before = active.select("segment", (F.col("at") - BLOCK).alias("at"), F.col("interval").alias("old"))
-        longer = written(before.join(named, ["segment", "at"]), "longer")
-        after = written(several(longer, "symbol", "old"), "active")
-        dropped(active, longer)
-        active = after
+        longer = written(before.join(symbols, ["segment", "at"]), "longer")
+        active = written(several(longer, "symbol", "old"), "active")
+        dropped(longer)
     hits = active.groupBy("segment").agg(F.collect_set("at").alias("at"))  # bounded by the segment
     times = once.select("anchor", "bytes", "segment", "times").join(hits, "segment", "left")
     back = held.join(times, ["anchor", "bytes"])
@@ -387,7 +386,8 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     )
     if any_hot:
         spans = spans.unionByName(_expanded(cut.join(hot, "anchor", "left_semi"), least))
-    by_text = spans.groupBy("text_key").agg(F.collect_list("spans").alias("spans"))  # bounded by the text
+    by_text = written(spans.groupBy("text_key").agg(F.collect_list("spans").alias("spans")), "spans")  # bounded by the text
+    dropped(again, cut, hot)
     changed = (
         texts.select("text_key", "text")
         .join(by_text, "text_key")

@@ -153,7 +153,10 @@ q AS (SELECT b.item_id AS query_id, e.embedding AS qv FROM benchmark b JOIN embe
 dense AS (SELECT query_id, vec_id AS frame_id, label, list_inner_product(qv::DOUBLE[], embedding::DOUBLE[]) AS raw_score,
           row_number() OVER (PARTITION BY query_id ORDER BY raw_score DESC, frame_id) AS rank
           FROM embeddings, q QUALIFY rank <= {K})"""
-_TOKENS = f"regexp_extract_all(translate(lower(text), '{text.FOLD_FROM}', '{text.FOLD_TO}'), '[a-z0-9]+')"
+_PLAIN = f"translate(regexp_replace(lower(text), '{text.MARKS}', '', 'g'), '{text.FOLD_FROM}', '{text.FOLD_TO}')"
+for _letter, _two in text.PAIRS.items():
+    _PLAIN = f"replace({_PLAIN}, '{_letter}', '{_two}')"
+_TOKENS = f"regexp_extract_all({_PLAIN}, '{text.TOKEN}')"
 _LEXICAL = f"""
 qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({_TOKENS}) AS term FROM benchmark)
        GROUP BY ALL),

@@ -6,6 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Words and different words that a text needs to support a summary.
+MIN_SUMMARY_WORDS, MIN_DIFFERENT_WORDS = 100, 20
+
+
+def strip(c: Column) -> Column:
+    """A text without white space at its ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def collapse(c: Column) -> Column:
     """White space runs as one blank, none at the ends."""
     return F.trim(F.regexp_replace(c, r"\s+", " "))
@@ -17,17 +26,20 @@ def words(c: Column) -> Column:
 
 
 def lower_tokens(c: Column) -> Column:
-    return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
+    """Lower-case runs of letters and digits of any script."""
+    return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def is_repetitive(c: Column, least: int = 100, few: int = 20) -> Column:
+def is_repetitive(c: Column, least: int = MIN_SUMMARY_WORDS, few: int = MIN_DIFFERENT_WORDS) -> Column:
     """At least `least` tokens, fewer than `few` different ones."""
     t = lower_tokens(c)
     return (F.size(t) >= least) & (F.size(F.array_distinct(t)) < few)
 
 
-def is_informative(c: Column, few: int = 20) -> Column:
-    return F.size(F.array_distinct(lower_tokens(c))) >= few
+def is_informative(c: Column, least: int = MIN_SUMMARY_WORDS, few: int = MIN_DIFFERENT_WORDS) -> Column:
+    """At least `least` tokens, `few` or more different ones."""
+    t = lower_tokens(c)
+    return (F.size(t) >= least) & (F.size(F.array_distinct(t)) >= few)
 
 
 def numbers(c: Column) -> Column:

@@ -44,18 +44,22 @@ def overlapping(a: DataFrame, b: DataFrame, on: list[str], a_span: tuple[str, st
 
 
 def in_any_window(rows: DataFrame, windows: DataFrame, on: list[str], span: tuple[str, str], window: tuple[str, str], size: float):
-    """Rows that overlap some window of their key: a semi join."""
+    """Rows that overlap some window of their key, each as often as it stands in `rows`: a semi join.
+
+    Equal rows are one row with a number while they are spread over their bins.
+    """
     f = lambda c: F.floor(F.col(c) / size)
     w = windows.select(*on, F.col(window[0]).alias("_from"), F.col(window[1]).alias("_to"))
     w = w.withColumn("_wbin", F.explode(F.sequence(F.floor(F.col("_from") / size), F.floor(F.col("_to") / size))))
     w = w.select(*(F.col(c).alias(f"_w_{c}") for c in on), "_from", "_to", "_wbin")
-    r = rows.withColumn("_id", F.struct("*")).withColumn("_bin", F.explode(F.sequence(f(span[0]), f(span[1]))))
+    once = rows.groupBy(*rows.columns).agg(F.count("*").cast("int").alias("_times"))
+    r = once.withColumn("_id", F.struct("*")).withColumn("_bin", F.explode(F.sequence(f(span[0]), f(span[1]))))
     same = [F.col(c) == F.col(f"_w_{c}") for c in on] + [F.col("_bin") == F.col("_wbin")]
-    meets = (F.col(span[0]) <= F.col("_to")) & (F.col(span[1]) >= F.col("_from"))
-    cond: Column = meets
+    cond: Column = (F.col(span[0]) <= F.col("_to")) & (F.col(span[1]) >= F.col("_from"))
     for s in same:
         cond = cond & s
-    return r.join(w, cond, "left_semi").select("_id.*").distinct()
+    met = r.join(w, cond, "left_semi").select("_id.*").distinct()
+    return met.withColumn("_nth", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).drop("_times", "_nth")
 
 
 def neighbours(frames: DataFrame, centres: DataFrame, before: int, after: int, by: str, *order: str) -> DataFrame:

@@ -387,8 +387,8 @@ ORACLES = {
         path <> '' AND NOT regexp_matches(path, '(^/)|(^|/)\.\.?(/|$)|//|/$|^[A-Za-z][A-Za-z0-9+.\-]*:|\\') AS safe FROM p""",
     "caption_time": "SELECT event_id, round(((epoch_us(ts) // 1000) % 86400000) / 1000.0::DOUBLE, 3) AS seconds FROM events",
     "json_field": "SELECT event_id, json_extract_string(props, '$.k') AS k, len(json_keys(props))::INT AS n FROM events",
-    "token_repetition": """WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents)
-        SELECT doc_id, len(t) >= 100 AND len(list_distinct(t)) < 20 AS noise, len(list_distinct(t)) >= 20 AS informative FROM t""",
+    "token_repetition": """WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM documents)
+        SELECT doc_id, len(t) >= 100 AND len(list_distinct(t)) < 20 AS noise, len(t) >= 100 AND len(list_distinct(t)) >= 20 AS informative FROM t""",
     "number_guard": """WITH c AS (SELECT doc_id, text, regexp_replace(text, '^([^0-9]*)[0-9]+', '\\1') AS c FROM documents)
         SELECT doc_id, NOT starts_with(trim(c), '{') AND length(c) <= greatest(2 * length(text), length(text) + 80)
         AND list_sort(regexp_extract_all(c, '[0-9]+')) = list_sort(regexp_extract_all(text, '[0-9]+')) AS ok FROM c""",

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.plans import audits, retrieval, timeline
+from keyloom.plans import audits, handover, retrieval, timeline
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-for module in (retrieval, timeline, audits):
+for module in (retrieval, timeline, audits, handover):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES

@@ -23,7 +23,7 @@ class ObjectConstraint:
     label: str
     op: str = "gte"
     count: int = 1
-    min_confidence: float = 0.0
+    min_confidence: float = 0.5
     mode: str = "HARD"
 
     def __post_init__(self):
@@ -107,12 +107,35 @@ def query_table(spark: SparkSession, requests: Sequence[SearchRequest]) -> DataF
     return spark.createDataFrame(rows, "query_id string, variant_id string, text string")
 
 
-FILE = re.compile(r"^([A-Za-z0-9_-]+)-(kis|qa|trake)(\.txt|\.csv)?$")
+FILE = re.compile(r"([A-Za-z0-9][A-Za-z0-9_-]*-(kis|qa|trake))(\.txt|\.csv)?", re.IGNORECASE)
 
 
-def submission_name(name: str) -> str:
-    """The CSV name of a query file."""
-    found = FILE.match(name)
-    if not found:
-        raise ValueError(f"not a query file: {name!r}")
-    return f"{found[1]}-{found[2]}.csv"
+def submission_name(name: str, kind: str | None = None) -> str:
+    """The CSV name of a query file, whose kind must be `kind`, if one is given."""
+    found = FILE.fullmatch(name)
+    if not found or (kind and found[2].lower() != kind):
+        raise ValueError(f"not a query file{f' of kind {kind}' if kind else ''}: {name!r}")
+    return f"{found[1]}.csv"
+
+
+def policy_from(settings: Mapping[str, str], prefix: str = "") -> RankingPolicy:
+    """A ranking policy from named settings, such as those of the environment; what is not named keeps its default."""
+    get = lambda name, kind, default: kind(settings.get(f"{prefix}RANKING_{name}", default))
+    plain = get("FUSION_DEFAULT_WEIGHT", float, 1.0)
+    return RankingPolicy(
+        weights={b: get(f"FUSION_{b.upper()}_WEIGHT", float, plain) for b in (*DENSE, *LEXICAL)},
+        variants={v: get(f"QUERY_{v.upper()}_WEIGHT", float, 1.0) for v in ("q0", "q1")},
+        rrf_k=get("NORMALIZATION_RRF_K", int, 60),
+        frames_per_interval=get("ASR_MAX_FRAMES_PER_INTERVAL", int, 50),
+    )
+
+
+def warnings(policy: RankingPolicy, methods: Mapping[str, str], counts: Mapping[str, int], failed: Sequence[tuple[str, str, str]]) -> list[str]:
+    """How a query was answered, as key=value texts, each once: methods, policy, counts, and (branch, variant, code) of branches
+    that did not succeed."""
+    lines = [f"{k}={v}" for k, v in methods.items()]
+    lines.append(f"normalization_rrf_k={policy.rrf_k}")
+    lines.append("query_variant_weights=" + ",".join(f"{k}:{v}" for k, v in sorted(policy.variants.items())))
+    lines += [f"asr_{k}={v}" for k, v in sorted(counts.items())]
+    lines += [f"branch={b};query_variant_id={v};code={c}" for b, v, c in failed]
+    return list(dict.fromkeys(lines))

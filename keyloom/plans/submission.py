@@ -20,6 +20,11 @@ def first_answers(results: DataFrame, by: str, *order) -> DataFrame:
     return results.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= MOST_ROWS)
 
 
+def competition_rows(results: DataFrame, by: str, *order, columns: tuple[str, ...] = ("video_id", "frame_id")) -> DataFrame:
+    """(by, place, row): the first answers of each query, each as a JSON text of the given columns."""
+    return first_answers(results, by, *order).select(by, "place", F.to_json(F.struct(*columns)).alias("row"))
+
+
 def invalid_answers(answers: DataFrame) -> DataFrame:
     """Rows (query_id, answer) that break the rules: blank or too long."""
     a = F.trim(F.coalesce("answer", F.lit("")))

@@ -242,17 +242,19 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     """(node, path, count): every bucket that holds two nodes or more."""
     first = nodes.select("node", F.posexplode("tokens").alias("run", "token"))
     rows = written(_with_counts(first.select("node", "run", F.xxhash64("run", "token").alias("path"))), "buckets")
-    out = []
+    out, tokens = [], None
     for depth in range(1, MAX_DEPTH + 1):
         large = rows.filter(F.col("count") > LARGE)
         if depth == MAX_DEPTH or not large.limit(1).count():
             out.append(rows)
             break
         out.append(rows.filter(F.col("count") <= LARGE))
+        if tokens is None:  # of the nodes of large buckets only; what is split later are some of these
+            tokens = written(nodes.select("node", "more").join(large.select("node").distinct(), "node", "left_semi"), "further")
         base = F.lit(sum(FURTHER[: depth - 1]))
         child = lambda c: F.col("run") * CHILDREN + c
         paths = (F.struct(child(c).alias("run"), F.xxhash64("path", F.lit(c), F.get("more", base + child(c))).alias("path")) for c in range(CHILDREN))
-        split = large.join(nodes.select("node", "more"), "node").select("node", F.explode(F.array(*paths)).alias("new")).select("node", "new.*")
+        split = large.join(tokens, "node").select("node", F.explode(F.array(*paths)).alias("new")).select("node", "new.*")
         rows = written(_with_counts(split), "buckets")
     found = out[0]
     for more in out[1:]:

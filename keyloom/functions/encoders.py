@@ -7,6 +7,8 @@ batches reach it through Arrow.
 from __future__ import annotations
 
 import hashlib
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -36,6 +38,27 @@ def hashed_encoder(dimension: int = 64) -> Callable[[], Encode]:
     return make
 
 
+def counting_encoder(dimension: int = 64) -> Callable[[], Encode]:
+    """A stand-in that SQL can state too: counts of words by the first byte of their MD5, scaled to length 127 and floored.
+
+    Products of such vectors are whole numbers, so their sums do not depend on the order. No words give the zero vector.
+    """
+
+    def make() -> Encode:
+        def encode(texts: Sequence[str]) -> list[list[float]]:
+            out = np.zeros((len(texts), dimension))
+            for row, text in zip(out, texts, strict=True):
+                for word, n in Counter(re.findall(r"[^ \t\n\r\f\v]+", text.lower())).items():
+                    row[hashlib.md5(word.encode()).digest()[0] % dimension] += n
+                if row.any():
+                    row[:] = np.floor(127 * row / np.sqrt(row @ row))
+            return out.tolist()
+
+        return encode
+
+    return make
+
+
 def encode(c: Column, make: Callable[[], Encode]) -> Column:
     """Vectors of a text column."""
 

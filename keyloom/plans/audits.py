@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from keyloom.functions import ids, strings
 from keyloom.operators import quality, ranking, sequences, vectors
-from keyloom.sources import artifacts
+from keyloom.sources import artifacts, store
 from keyloom.sources.tables import table
 
 CONSTRAINTS = [
@@ -141,7 +141,7 @@ def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with the rows of their newest order's balance put in place of the old ones."""
     old = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
     new = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("c_acctbal"))
-    return old.join(new, "c_custkey", "left_anti").unionByName(new)
+    return store.upsert(old, new, ["c_custkey"])
 
 
 def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,11 +153,9 @@ def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def union_distinct_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     families = {"documents": "doc_id", "labels": "doc_id", "embeddings": "vec_id", "pages": "page_id", "benchmark": "item_id"}
-    out = None
-    for name, key in families.items():
-        part = table(spark, sf_dir, name).select(F.col(key).cast("long").alias("id"))
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    id_ = F.lit(None).cast("string").alias("video_id")  # the file's stem stands for it
+    named = {name: table(spark, sf_dir, name).select(id_, F.col(key).cast("string").alias("stem")) for name, key in families.items()}
+    return artifacts.discover(named).select(F.col("video_id").cast("long").alias("id"))
 
 
 def frame_id_build(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +181,7 @@ def caption_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events")
-    return rows.select("event_id", F.get_json_object("props", "$.k").alias("k"), F.size(F.map_keys(F.from_json("props", "map<string,string>"))).alias("n"))
+    return rows.select("event_id", strings.json_field(F.col("props"), "k").alias("k"), F.size(F.map_keys(F.from_json("props", "map<string,string>"))).alias("n"))
 
 
 def token_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:

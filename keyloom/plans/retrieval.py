@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.operators import evidence, ranking, text, vectors
+from keyloom.plans import submission
 from keyloom.sources.tables import table
 
 K = 50
@@ -119,8 +120,8 @@ def kis_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def submission_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 100 answers of each query as lines of a headerless CSV."""
-    rows = kis_end_to_end(spark, sf_dir).filter(F.col("rank") <= 100)
-    return rows.select("query_id", "rank", F.concat_ws(",", "video_id", F.col("frame_id").cast("string")).alias("line"))
+    rows = submission.first_answers(kis_end_to_end(spark, sf_dir), "query_id", F.asc("rank"))
+    return rows.select("query_id", F.col("place").alias("rank"), F.concat_ws(",", "video_id", F.col("frame_id").cast("string")).alias("line"))
 
 
 def primary_selection(spark: SparkSession, sf_dir: str) -> DataFrame:

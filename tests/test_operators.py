@@ -315,3 +315,12 @@ def test_encoders(spark):
 def test_mean_pool_is_unit(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0])], "k int, vector array<double>")
     assert [round(r.value, 6) for r in vectors.mean_pool(df, "k").collect()] == [0.707107, 0.707107]
+
+
+def test_counting_encoder_of_repeated_and_missing_words(spark):
+    from keyloom.functions import encoders
+
+    texts = spark.createDataFrame([(1, "a a B"), (2, ""), (3, None), (4, "b A a")], "id int, text string")
+    got = {r.id: r.v for r in texts.select("id", encoders.encode(F.col("text"), encoders.counting_encoder(16)).alias("v")).collect()}
+    assert got[1] == got[4] and sorted(x for x in got[1] if x) == [56.0, 113.0]  # floor(127 / sqrt(5)), floor(254 / sqrt(5))
+    assert set(got[2]) == set(got[3]) == {0.0}

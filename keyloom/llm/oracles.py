@@ -149,3 +149,43 @@ SELECT p.page_id, p.host, p.path, f.txt AS rule,
 FROM p LEFT JOIN fit f ON f.page_id = p.page_id LEFT JOIN host_bad b1 ON b1.host = p.host
 LEFT JOIN domain_bad b2 ON b2.domain = p.domain LEFT JOIN suffix_bad b3 ON b3.suffix = p.suffix
 """
+
+
+#: Items' terms against all texts, in integers but for the weight of a term.
+LEXICAL = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (SELECT count(*) AS n, sum(len(t))::BIGINT AS l FROM t WHERE len(t) > 0),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM t) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+      FROM (SELECT term, count(*) AS df FROM p GROUP BY term), s),
+d AS (SELECT r, doc_id, 10 + (90 * len(t) * n) // l AS m FROM t, s WHERE len(t) > 0),
+x AS (SELECT item_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM q JOIN w USING (term) JOIN p USING (term) JOIN d USING (r) GROUP BY ALL HAVING score > 0)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM x JOIN d USING (r) QUALIFY rank <= 10
+"""
+
+
+def clusters(k: int = 40, rounds: int = 5, scale: int = 256, dim: int = 64, salt: str = "2:") -> str:
+    """All distances of every round, ties to the smaller centroid; means are floors of whole numbers."""
+    step = """
+a{n} AS MATERIALIZED (SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d
+  FROM (SELECT v.r, p.c, list_sum(list_transform(list_zip(v.e, p.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{p} p) GROUP BY r)"""
+    move = """,
+m{n} AS (SELECT c, list(x ORDER BY pos) AS e FROM (
+  SELECT c, pos, ((s - ((s % n) + n) % n) // n)::BIGINT AS x FROM (
+    SELECT c, pos, sum(x)::BIGINT AS s, count(*) AS n
+    FROM (SELECT c, unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM a{n} JOIN v USING (r)) GROUP BY c, pos)) GROUP BY c),
+c{n} AS MATERIALIZED (SELECT c, coalesce(m.e, p.e) AS e FROM c{p} p LEFT JOIN m{n} m USING (c)),"""
+    body = "".join(step.format(n=n, p=n - 1) + (move.format(n=n, p=n - 1) if n <= rounds else "") for n in range(1, rounds + 2))
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{salt}' || vec_id)) - 1 AS c, e FROM v QUALIFY c < {k}),{body}
+SELECT vec_id, c::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(p.e, ',')) AS centroid_sha256
+FROM a{rounds + 1} JOIN v USING (r) JOIN c{rounds} p USING (c)
+"""

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and their SQL."""
+"""The registered queries of the thirteen operators and their SQL."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from keyloom.llm import (
     ann_search,
     chunk_dedup,
+    clustering,
     exact_search,
     jaccard_join,
     line_crf,
@@ -16,6 +17,8 @@ from keyloom.llm import (
     packing,
     sharding,
     suffix_dedup,
+    suffix_tree,
+    term_pipeline,
     url_filter,
 )
 from keyloom.llm.url_filter import Rule
@@ -118,6 +121,19 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_pipeline.search(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"), k=10)
+
+
+def op12_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(_table(spark, sf_dir, "embeddings"), k=40, rounds=5)
+
+
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return suffix_tree.score(docs, suffix_tree.train(docs))
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_substring_dedup": op2_substring_dedup,
@@ -129,6 +145,9 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_quality": op9_quality,
     "op10_shard": op10_shard,
+    "op11_lexical": op11_lexical,
+    "op12_cluster": op12_cluster,
+    "op13_lm_score": op13_lm_score,
 }
 ORACLES: dict[str, str] = {
     "op1_mix": oracles.MIX,
@@ -137,4 +156,6 @@ ORACLES: dict[str, str] = {
     "op6_jaccard": oracles.JACCARD,
     "op7_url_filter": oracles.url_filter(RULES),
     "op8_topk": oracles.TOPK,
+    "op11_lexical": oracles.LEXICAL,
+    "op12_cluster": oracles.clusters(),
 }

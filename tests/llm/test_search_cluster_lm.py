@@ -252,6 +252,14 @@ def test_language_model_scores(spark):
     assert sum(r["score"] for r in new) > sum(r["base_score"] for r in new)
 
 
+def test_words_of_long_texts_are_hashed_in_pieces(monkeypatch):
+    raw = [b"some words and others", b"", b"  ", b"x" * 40 + b" some words", b"end"]
+    whole = suffix_tree.words(raw)
+    monkeypatch.setattr(suffix_tree, "PIECE", 6)
+    cut = suffix_tree.words(raw)
+    assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all() and whole[1].tolist() == [0, 0, 0, 0, 3, 3, 3, 4]
+
+
 def test_language_model_without_training_texts(spark):
     none = suffix_tree.train(empty(spark))
     assert suffix_tree.score(empty(spark), none).count() == 0

@@ -130,8 +130,7 @@ def op12_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return suffix_tree.score(docs, suffix_tree.train(docs))
+    return suffix_tree.score(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {

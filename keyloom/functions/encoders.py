@@ -13,9 +13,12 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+#: Times that a task halves its batches for want of memory.
+MAX_HALVINGS = 3
 Encode = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
 
@@ -88,6 +91,50 @@ def expand(df: DataFrame, make: Callable[[], Callable[[pd.DataFrame], pd.DataFra
     return df.mapInPandas(run, schema)
 
 
+class NotEncoded(RuntimeError):
+    """A model gave something else than one row for each row, or had no memory for the smallest batch."""
+
+
+def _out_of_memory(error: Exception) -> bool:
+    return isinstance(error, MemoryError) or "out of memory" in str(error).lower()
+
+
+def in_shrinking_batches(
+    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, rows: int = 1024, seen: Observation | None = None
+) -> DataFrame:
+    """What a model makes of all rows, in batches that shrink: `schema` and `halvings int`.
+
+    The model gets at most `rows` rows at once and gives one row for each, in order. Where it runs out of memory (a MemoryError, or an
+    error that says so) the batch is halved and what is left of the rows is tried again, MAX_HALVINGS times in a task; then
+    the error stands. Rows that were made before are neither made again nor lost. `halvings` is how often a row's batch had been
+    halved; `seen` observes rows and the most halvings, so that a run tells that its batches were too large.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, size, halvings = make(), max(1, rows), 0
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, size)
+                try:
+                    made = model(part)
+                except Exception as error:
+                    if not _out_of_memory(error) or halvings == MAX_HALVINGS or size == 1:
+                        raise
+                    size, halvings = (size + 1) // 2, halvings + 1
+                    continue
+                if made.num_rows != part.num_rows:
+                    raise NotEncoded(f"{made.num_rows} rows for {part.num_rows}")
+                names = [*made.schema.names, "halvings"]
+                yield pa.RecordBatch.from_arrays([*made.columns, pa.array([halvings] * made.num_rows, pa.int32())], names)
+                at += part.num_rows
+
+    out = df.mapInArrow(run, f"{schema}, halvings int")
+    if seen is None:
+        return out
+    return out.observe(seen, F.count("*").alias("rows"), F.coalesce(F.max("halvings"), F.lit(0)).alias("most_halvings"))
+
+
 def similar_texts(a: Column, b: Column, least: float = 0.94) -> Column:
     """Near duplicates: equal words in any order, or a sequence-matcher ratio of `least` or more on folded words."""
 

@@ -94,10 +94,14 @@ def packed_words(c: Column, most: int) -> Column:
     return F.aggregate(pieces, start, step, end)
 
 
+#: Fixed value: how the last word of a sentence ends; quotes and brackets may close after the stop.
+SENTENCE_END = r"[.!?…][\"'”’)]*$"
+
+
 def extract_summary(c: Column, low: int = 101, high: int = 180) -> Column:
     """Up to the last sentence end among words `low` to `high`, else the first `high` words."""
     w = words(c)
-    ends = F.filter(F.sequence(F.lit(low), F.lit(high)), lambda i: F.coalesce(F.get(w, i - 1).rlike(r"[.!?]$"), F.lit(False)))
+    ends = F.filter(F.sequence(F.lit(low), F.lit(high)), lambda i: F.coalesce(F.get(w, i - 1).rlike(SENTENCE_END), F.lit(False)))
     cut = F.coalesce(F.array_max(ends), F.lit(high))
     return F.when(F.size(w) <= high, F.array_join(w, " ")).otherwise(F.array_join(F.slice(w, F.lit(1), cut), " "))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -76,3 +76,58 @@ def neighbours(frames: DataFrame, centres: DataFrame, before: int, after: int, b
     ]
     near = marked.select("frame_id", by, F.array(*looks).alias("looks")).withColumn("look", F.explode("looks"))
     return near.filter(F.col("look.centre").isNotNull()).select("look.centre", "frame_id", by, "look.step")
+
+
+def map_ranked(
+    hits: DataFrame,
+    frames: DataFrame,
+    by: list[str],
+    on: list[str],
+    span: tuple[str, str],
+    at: str,
+    limit: int,
+    size: float,
+    seen: Observation | None = None,
+    k: int = 60,
+) -> DataFrame:
+    """(by..., interval_id, frame_id, at, rank, normalized_score, raw_score): ranked intervals as ranked frames, with accounting.
+
+    hits (by..., interval_id, rank, raw_score, on..., span) and frames (frame_id, on..., at). Every interval gives its
+    frames, the `limit` nearest to its middle if it has more, each with an equal part of the interval's reciprocal rank
+    and raw score; frames are ranked anew within `by` by interval rank, time and id. Intervals without a frame are lost.
+
+    `seen` observes in the same pass: input, mapped and lost intervals, truncated ones, frames that were cut off,
+    output frames and the most frames that an interval has. Nothing is counted where no row runs through.
+    """
+    b = lambda c: F.floor(F.col(c) / size)
+    left = hits.withColumnRenamed("rank", "interval_rank").withColumn("_bin", F.explode(F.sequence(b(span[0]), b(span[1]))))
+    places = frames.select("frame_id", *(F.col(c).alias(f"_f_{c}") for c in on), F.col(at).alias("at"), b(at).alias("_at"))
+    same = (F.col("_bin") == F.col("_at")) & F.col("at").between(F.col(span[0]), F.col(span[1]))
+    for c in on:
+        same = same & (F.col(c) == F.col(f"_f_{c}"))
+    one = [*by, "interval_id"]
+    middle = (F.col(span[0]) + F.col(span[1])) / 2
+    order = Window.partitionBy(*one).orderBy(F.col("frame_id").isNull(), F.abs(F.col("at") - middle), "at", "frame_id")
+    pairs = left.join(places, same, "left").select("*", F.row_number().over(order).alias("_nth"))
+    pairs = pairs.withColumn("_all", F.count("frame_id").over(Window.partitionBy(*one)))
+    # an interval's empty bins are left out; of one without any frame a single row stays, to be counted
+    pairs = pairs.filter(F.col("frame_id").isNotNull() | ((F.col("_all") == 0) & (F.col("_nth") == 1)))
+    if seen is not None:
+        first, kept = F.col("_nth") == 1, F.col("frame_id").isNotNull()
+        pairs = pairs.observe(
+            seen,
+            F.count_if(first).alias("input"),
+            F.count_if(first & kept).alias("mapped"),
+            F.count_if(~kept).alias("lost"),
+            F.count_if(first & (F.col("_all") > limit)).alias("truncated"),
+            F.count_if(F.col("_nth") > limit).alias("cut_frames"),
+            F.count_if(kept & (F.col("_nth") <= limit)).alias("output"),
+            F.coalesce(F.max("_all"), F.lit(0)).alias("most"),
+        )
+    share = F.least("_all", F.lit(limit))
+    mapped = pairs.filter(F.col("frame_id").isNotNull() & (F.col("_nth") <= limit)).select(
+        *one, "frame_id", "at", "interval_rank",
+        (1.0 / (k + F.col("interval_rank")) / share).alias("normalized_score"), (F.col("raw_score") / share).alias("raw_score"),
+    )
+    again = F.row_number().over(Window.partitionBy(*by).orderBy("interval_rank", "at", "frame_id", "interval_id"))
+    return mapped.withColumn("rank", again).drop("interval_rank")

@@ -58,8 +58,12 @@ def compare_counts(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 def digest(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row (n, xor, sums of 32-bit lanes): equal for equal multisets of rows in any order."""
-    row = F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns)), 256)
+    """One row (n, xor, sums of 32-bit lanes): equal for equal multisets of rows in any order.
+
+    A row is hashed as its fields' lengths and texts, a null field as `-`, so no two different rows are spelt alike.
+    """
+    spelt = (F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("-")) for x in (F.col(c).cast("string") for c in columns))
+    row = F.sha2(F.concat(*spelt), 256)
     lane = lambda i: F.conv(F.substring(row, 1 + 8 * i, 8), 16, 10).cast("long")
     hashed = df.select(*(lane(i).alias(f"l{i}") for i in range(4)))
     return hashed.agg(

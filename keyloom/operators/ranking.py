@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyloom.operators.contracts import require_none
+
 RRF_K = 60
 #: Constraints of one query, which every task gets.
 MAX_CONSTRAINTS = 100
@@ -72,6 +74,37 @@ def fuse(hits: DataFrame, weights: Mapping[str, float], by: tuple[str, ...] = ("
     )
 
 
+def usable(hits: DataFrame, statuses: DataFrame, on: list[str]) -> DataFrame:
+    """Hits of results that may be fused: of status SUCCESS or DEGRADED. statuses (on..., status), one row each; without a row none."""
+    return hits.join(statuses.filter(F.col("status").isin("SUCCESS", "DEGRADED")).select(*on), on, "left_semi")
+
+
+def metadata_conflicts(hits: DataFrame, fields: list[str], by: tuple[str, ...] = ("query_id", "frame_id")) -> DataFrame:
+    """(by..., fields): frames whose hits do not agree in some of the fields, with the names of these in order. Null is a value."""
+    marked = lambda c: F.coalesce(F.to_json(F.struct(F.col(c).alias("v"))), F.lit("-"))
+    low_high = hits.groupBy(*by).agg(*(f(marked(c)).alias(f"_{n}_{c}") for c in fields for n, f in (("low", F.min), ("high", F.max))))
+    names = F.array(*(F.when(F.col(f"_low_{c}") != F.col(f"_high_{c}"), F.lit(c)) for c in sorted(fields)))
+    return low_high.select(*by, F.array_compact(names).alias("fields")).filter(F.size("fields") > 0)
+
+
+def fuse_with_evidence(
+    hits: DataFrame, weights: Mapping[str, float], fields: list[str], by: tuple[str, ...] = ("query_id", "frame_id")
+) -> DataFrame:
+    """(by..., fields..., final_score, branch_scores, evidence): as `fuse`, with what each frame's score is made of.
+
+    hits (by..., branch, variant_id, rank, raw_score, normalized_score, fields...). evidence: a frame's hits (branch, variant_id, rank,
+    raw_score, normalized_score) in the order of branch, variant and rank, at most one for each branch, variant and rank. Hits of one
+    frame with different fields are an error, and so is a hit without a normalized score or a score that is not finite.
+    """
+    require_none(hits.filter(F.col("normalized_score").isNull()).select(*by, "branch"), "hits without a normalized score")
+    require_none(metadata_conflicts(hits, fields, by).select(*by, F.array_join("fields", ",").alias("fields")), "frames of conflicting metadata")
+    one = F.struct("branch", "variant_id", "rank", "raw_score", "normalized_score")
+    with_hits = hits.groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("evidence"), *(F.first(c).alias(c) for c in fields))
+    fused = fuse(hits, weights, by).drop("n_evidence")
+    require_none(fused.filter(F.isnan("final_score") | (F.abs("final_score") == F.lit(float("inf")))).select(*by), "scores that are not finite")
+    return fused.join(with_hits, list(by)).select(*by, *fields, "final_score", "branch_scores", "evidence")
+
+
 def capped_contributions(hits: DataFrame, weight: float, cap: float, by: list[str], *order: Column) -> DataFrame:
     """contribution = what is left of `cap` within `by`, in the given order, at most score * weight."""
     w = Window.partitionBy(*by).orderBy(*order)
@@ -142,6 +175,28 @@ def dedup_source_frames(frames: DataFrame, by: list[str]) -> DataFrame:
     return groups.select(*by, "frame_id", "final_score", F.col("_near.frame_id").alias("near_frames"))
 
 
+def dedup_again(frames: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., frame_id, final_score, near): the best frame of every group, with near frames that it has from before.
+
+    frames (by..., frame_id, final_score, near), near an array of (frame_id, final_score), null for none. The best (score
+    descending, id ascending) keeps its own near frames and takes the other frames of the group; their near frames go.
+    Of one id the entry of the group stands. Near frames are ordered by score and id. Applied to its own result it changes nothing.
+    """
+    w = Window.partitionBy(*by).orderBy(F.desc("final_score"), "frame_id")
+    nth = frames.withColumn("_nth", F.row_number().over(w))
+    rest = F.collect_list(F.when(F.col("_nth") > 1, F.struct("frame_id", "final_score")))
+    groups = nth.groupBy(*by).agg(
+        F.min_by("frame_id", "_nth").alias("frame_id"), F.max("final_score").alias("final_score"), rest.alias("_rest"),
+        F.min_by(F.coalesce("near", F.array().cast(frames.schema["near"].dataType)), "_nth").alias("_near"),
+    )
+    rest = F.filter("_rest", lambda x: x["frame_id"] != F.col("frame_id"))
+    old = F.filter("_near", lambda x: (x["frame_id"] != F.col("frame_id")) & ~F.exists("_others", lambda y: y["frame_id"] == x["frame_id"]))
+    groups = groups.withColumn("_others", rest)
+    ordered = F.array_sort(F.transform(F.concat("_others", old), lambda x: F.struct((-x["final_score"]).alias("s"), x["frame_id"].alias("f"))))
+    near = F.transform(ordered, lambda x: F.struct(x["f"].alias("frame_id"), (-x["s"]).alias("final_score")))
+    return groups.select(*by, "frame_id", "final_score", near.alias("near"))
+
+
 def severity(status: Column) -> Column:
     return F.when(status == "FAILED", 3).when(status == "DEGRADED", 2).when(status == "SUCCESS", 1).otherwise(0)
 

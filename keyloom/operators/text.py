@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import unicodedata
-from collections import defaultdict
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-K1, B = 1.2, 0.75
+from keyloom.operators import postings
+from keyloom.operators.postings import B, K1  # noqa: F401
+from keyloom.sources import shared
+
 #: Letters without a canonical decomposition and what they fold to; those that become two letters.
 OTHER_FOLDS = {"đ": "d", "ø": "o", "ł": "l", "ı": "i"}
 PAIRS = {"ß": "ss", "æ": "ae", "œ": "oe"}
@@ -30,9 +29,6 @@ def _folds() -> dict[str, str]:
 _FOLDS = _folds()
 FOLD_FROM, FOLD_TO = "".join(_FOLDS), "".join(_FOLDS.values())
 MARKS, TOKEN = r"\p{M}+", r"[\p{L}\p{N}]+"
-#: (query, term) rows of one batch of queries, which every task gets, and cells of a block of documents and terms.
-MAX_TERMS = 500_000
-CELLS = 4_000_000
 
 
 def analyse(text: Column) -> Column:
@@ -59,83 +55,27 @@ def query_terms(queries: DataFrame, vocabulary: DataFrame | None = None) -> Data
     return terms.join(near, "term").groupBy("query_id", F.col("word").alias("term")).agg(F.sum(F.col("qtf") * F.col("boost")).alias("qtf"))
 
 
+def index(docs: DataFrame, path: str) -> None:
+    """Write the inverted index of docs (doc_id, text): every text is analysed once. Null texts have no tokens."""
+    postings.build(docs.select("doc_id", analyse(F.col("text")).alias("tokens")), path)
+
+
+def search(queries: DataFrame, path: str, k: int, fuzzy: bool = False) -> DataFrame:
+    """(query_id, doc_id, rank, raw_score) of queries (query_id, text) against an index: see bm25_top_k."""
+    words = postings.vocabulary(queries.sparkSession, path).select(F.col("term").alias("word")) if fuzzy else None
+    return postings.search(query_terms(queries, words), path, k)
+
+
 def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int, fuzzy: bool = False) -> DataFrame:
     """(query_id, doc_id, rank, raw_score): the k documents of highest BM25 for each query, ties to the smaller id.
 
     queries (query_id, text) match a document if they share a token, or with `fuzzy` one within the edit distance that
-    it allows. idf = ln(1 + (N - df + 0.5) / (df + 0.5)). Null texts have no tokens; no matches give no rows.
-
-    The terms of a batch of queries are of checked number and go to every task, with df as counted in one pass over
-    the documents. In another, every task scores its documents in blocks, as a product of their term saturations
-    and the queries' weights, and keeps k of them for each query; only these are shuffled.
+    it allows. idf = ln(1 + (N - df + 0.5) / (df + 0.5)). Null texts have no tokens; no matches give no rows. The texts are
+    indexed first; where many batches search the same texts, keep the index (`index`, `search`).
     """
-    words = docs.select(F.explode(analyse(F.col("text"))).alias("word")).distinct() if fuzzy else None
-    terms = query_terms(queries, words)
-    asked = terms.limit(MAX_TERMS + 1).collect()
-    if len(asked) > MAX_TERMS:
-        raise ValueError(f"over {MAX_TERMS} terms: search for fewer queries at once")
-    tokens = docs.select("doc_id", F.coalesce(analyse(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
-    # one pass: the empty term stands for the corpus; counts are summed before they are shuffled
-    each = F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(""))))
-    known = terms.select("term").distinct().unionAll(queries.sparkSession.range(1).select(F.lit("").alias("term")))
-    counted = tokens.select(each.alias("term"), F.size("tokens").alias("dl")).join(F.broadcast(known), "term", "left_semi")  # at most MAX_TERMS
-    counts = {r.term: r for r in counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("words")).collect()}
-    n = counts[""].df if "" in counts else 0
-    average = (counts[""].words / n if n else 0) or 1.0
-
-    terms_of, ids = {t: i for i, t in enumerate(sorted(t for t in counts if t))}, sorted({r.query_id for r in asked})
-    column = {q: i for i, q in enumerate(ids)}
-    idf = np.array([np.log(1 + (n - counts[t].df + 0.5) / (counts[t].df + 0.5)) for t in terms_of])
-    weight = np.zeros((len(terms_of), len(ids)))
-    for r in asked:
-        if r.term in terms_of:
-            weight[terms_of[r.term], column[r.query_id]] = r.qtf * idf[terms_of[r.term]]
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list] = defaultdict(list)
-        rows = max(1, CELLS // max(1, len(terms_of) + len(ids)))
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                lists = part.column(1)
-                length = np.diff(lists.offsets.to_numpy())
-                coded = pa.array(lists.flatten()).dictionary_encode()
-                code = np.array([terms_of.get(t, -1) for t in coded.dictionary.to_pylist()], np.int64)
-                flat = code[coded.indices.to_numpy(zero_copy_only=False)] if len(code) else np.zeros(0, np.int64)
-                own = np.repeat(np.arange(len(length)), length)[flat >= 0]
-                pair, times = np.unique(own * len(terms_of) + flat[flat >= 0], return_counts=True)
-                room = (K1 * (1 - B + B * length / average))[pair // len(terms_of)]
-                tf = np.zeros(len(length) * len(terms_of))
-                tf[pair] = times * (K1 + 1) / (times + room)
-                tf = tf.reshape(len(length), len(terms_of))
-                score = np.floor((tf @ weight) * 1e6 + 0.5) / 1e6
-                doc = np.array(part.column(0).to_pylist(), object)
-                for q in range(len(ids)):
-                    hit = np.nonzero(score[:, q] > 0)[0]
-                    if len(hit) > k:
-                        least = np.partition(score[hit, q], -k)[-k]
-                        hit = hit[score[hit, q] >= least]
-                    found[q] += zip((-score[hit, q]).tolist(), doc[hit].tolist(), strict=True)
-                    if len(found[q]) > 4 * k:
-                        found[q] = sorted(found[q])[:k]
-        for q, pairs in found.items():
-            pairs = sorted(pairs)[:k]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([q] * len(pairs), pa.int32()), pa.array([d for _, d in pairs], kind), pa.array([-s for s, _ in pairs], pa.float64())],
-                ["q", "doc_id", "raw_score"],
-            )
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    field = docs.schema["doc_id"].dataType
-    kind = to_arrow_type(field)
-    if not len(terms_of):
-        tokens = tokens.limit(0)
-    lists = tokens.mapInArrow(best, f"q int, doc_id {field.simpleString()}, raw_score double")
-    order = Window.partitionBy("q").orderBy(F.desc("raw_score"), "doc_id")
-    names = queries.sparkSession.createDataFrame(list(enumerate(ids)), f"q int, query_id {queries.schema['query_id'].dataType.simpleString()}")
-    top = lists.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return top.join(F.broadcast(names), "q").select("query_id", "doc_id", "raw_score", "rank")  # one row for each query
+    path = shared.fresh(docs.sparkSession, "bm25")
+    index(docs, path)
+    return search(queries, path, k, fuzzy)
 
 
 def edits_allowed(term: Column) -> Column:

@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Query vectors that are sent to every task at once; a larger batch is worked on in blocks of as many.
 QUERY_BLOCK = 2048
+#: Numbers of a matrix that a task makes at once.
+TILE = 4_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -59,55 +66,83 @@ def against(queries: DataFrame, items: DataFrame) -> DataFrame:
     return items.withColumn("_block", F.explode(numbers)).join(q, "_block").drop("_block")
 
 
-def _best_in_batches(queries: list, items: DataFrame, k: int, item_id: str) -> DataFrame:
-    """Each Arrow batch of items as one matrix product; the k best of each query in the batch go on.
+def best_of(q: np.ndarray, x: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, score): of the rows x, the k of largest inner product with each query q, ties to the smaller place.
 
-    Products only choose candidates, with room for rounding; scores are then summed from the first component
-    on, so equal vectors have equal scores wherever they stand.
+    Products of bounded tiles only choose candidates, with room for rounding; scores are then summed from the first component
+    on, in slices of bounded size, so equal vectors have equal scores wherever they stand and ties cost no memory.
     """
-    import numpy as np
-    import pyarrow as pa
+    size, length = np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)
+    i, j, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    width = max(k, TILE // max(1, len(q)))
+    for at in range(0, len(x), width):
+        part = x[at : at + width]
+        about, least = q @ part.T, min(k, len(part))
+        room = 1e-9 * size[:, None] * length[None, at : at + width]
+        floor = np.partition(about - room, -least, axis=1)[:, [-least]]
+        rows, cols = np.nonzero(about + room >= floor)
+        for cut in range(0, len(rows), max(1, TILE // max(1, q.shape[1]))):
+            r, c = (v[cut : cut + max(1, TILE // max(1, q.shape[1]))] for v in (rows, cols))
+            i, j = np.r_[i, r], np.r_[j, at + c]
+            score = np.r_[score, np.add.accumulate(q[r] * part[c], axis=1)[:, -1]]
+            order = np.lexsort((place[j], -score, i))
+            first = np.searchsorted(i[order], i[order])
+            order = order[np.arange(len(order)) - first < k]
+            i, j, score = i[order], j[order], score[order]
+    return i, j, score
+
+
+def places(ids: pa.Array) -> np.ndarray:
+    """The place of each id in the order of all."""
+    out = np.empty(len(ids), np.int64)
+    out[pa.compute.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+    return out
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """A list column of equal lengths in double precision."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
 
+def _best_in_batches(queries: list, items: DataFrame, k: int, item_id: str) -> DataFrame:
+    """Each Arrow batch of items as matrix products; the k best of each query in the batch go on."""
     q = np.array([r[1] for r in queries], np.float64)
     q_ids = np.array([r[0] for r in queries])
-    size = np.linalg.norm(q, axis=1)
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(1)
-            x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-            if not len(x):
-                continue
-            about, least = q @ x.T, min(k, len(x))
-            room = 1e-9 * size[:, None] * np.linalg.norm(x, axis=1)[None, :]
-            floor = np.partition(about - room, -least, axis=1)[:, [-least]]
-            i, j = np.nonzero(about + room >= floor)
-            score = np.add.accumulate(q[i] * x[j], axis=1)[:, -1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(q_ids[i]), batch.column(0).take(pa.array(j)), pa.array(score)], ["_query", item_id, "raw_score"]
-            )
+            if batch.num_rows:
+                i, j, score = best_of(q, matrix(batch.column(1)), places(batch.column(0)), k)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(q_ids[i]), batch.column(0).take(pa.array(j)), pa.array(score)], ["_query", item_id, "raw_score"]
+                )
 
     kind = items.schema[item_id].dataType.simpleString()
     return items.select(item_id, "vector").mapInArrow(run, f"_query long, {item_id} {kind}, raw_score double")
 
 
+def query_blocks(queries: DataFrame, query_id: str) -> Iterator[list]:
+    """Rows (query_id as long, vector) of a batch of queries, about QUERY_BLOCK at a time."""
+    held = queries.select(F.col(query_id).cast("long"), "vector")
+    n = math.ceil(held.count() / QUERY_BLOCK)
+    block = F.pmod(F.xxhash64(query_id), F.lit(max(1, n)))
+    for number in range(n):
+        yield (held.filter(block == number) if n > 1 else held).collect()
+
+
 def top_k(
     queries: DataFrame, items: DataFrame, k: int, *, query_id: str = "query_id", item_id: str = "item_id"
 ) -> DataFrame:
     """The k items of largest inner product for each query, ties to the smaller item.
 
     `queries` (query_id, vector) is a stated batch of query vectors, `items` (item_id, vector, ...) the corpus,
-    read once. A batch of at most QUERY_BLOCK vectors goes to every task, which multiplies whole
-    Arrow batches; a larger one is joined in blocks. All vectors have one length and none is null. Columns of
-    the items are joined back to the k rows of each query.
+    read once for every QUERY_BLOCK queries, which go to every task; a task keeps k rows a query of each Arrow batch. All
+    vectors have one length and none is null. Columns of the items are joined back to the k rows of each query.
     """
-    held = queries.select(F.col(query_id).cast("long"), "vector").limit(QUERY_BLOCK + 1).collect()
-    if len(held) <= QUERY_BLOCK and held:
-        pairs = _best_in_batches(held, items, k, item_id).withColumnRenamed("_query", query_id)
-    else:
-        q = queries.select(F.col(query_id), F.col("vector").alias("_q"))
-        pairs = against(q, items.select(item_id, "vector"))
-        pairs = pairs.select(query_id, item_id, dot(F.col("_q"), F.col("vector")).alias("raw_score"))
+    found = [_best_in_batches(block, items, k, item_id) for block in query_blocks(queries, query_id) if block]
+    kinds = f"_query long, {item_id} {items.schema[item_id].dataType.simpleString()}, raw_score double"
+    pairs = reduce(DataFrame.unionAll, found) if found else items.sparkSession.createDataFrame([], kinds)
+    pairs = pairs.withColumnRenamed("_query", query_id)
     order = Window.partitionBy(query_id).orderBy(F.desc("raw_score"), F.asc(item_id))
     best = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     rest = [c for c in items.columns if c not in (item_id, "vector")]

@@ -366,7 +366,7 @@ ORACLES = {
         = (floor(l_extendedprice * (1 - l_discount) * 100) / 100)::FLOAT AS same FROM lineitem""",
     "inventory_changed": """SELECT c_custkey, c_acctbal, c_mktsegment FROM customer
         WHERE c_mktsegment = 'BUILDING' OR c_acctbal <> abs(c_acctbal)""",
-    "content_digest": "WITH d AS (SELECT sha256(concat_ws(chr(31), doc_id::VARCHAR, text, lang, source)) AS h FROM documents) SELECT count(*) AS n, "
+    "content_digest": "WITH d AS (SELECT sha256(concat(" + ", ".join(f"coalesce(length({c}) || ':' || {c}, '-')" for c in ("doc_id::VARCHAR", "text", "lang", "source")) + ")) AS h FROM documents) SELECT count(*) AS n, "
     + ", ".join(f"sum({_HEX.format(1 + 8 * i)})::BIGINT AS sum{i}, bit_xor({_HEX.format(1 + 8 * i)}) AS xor{i}" for i in range(4))
     + " FROM d",
     "branch_status_rollup": """SELECT user_id, epoch(date_trunc('hour', ts))::BIGINT AS hour,
@@ -395,7 +395,7 @@ ORACLES = {
         t AS (SELECT doc_id, (i // 170)::INT AS chunk, array_to_string(w[i + 1 : i + 170], ' ') AS t FROM c)
         SELECT doc_id, chunk, length(t)::INT AS n, md5(t) AS digest FROM t""",
     "extractive_summary": f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-        e AS (SELECT doc_id, w, coalesce(list_max(list_filter(range(101, 181), lambda i: regexp_matches(coalesce(w[i], ''), '[.!?]$'))), 180) AS cut FROM w),
+        e AS (SELECT doc_id, w, coalesce(list_max(list_filter(range(101, 181), lambda i: regexp_matches(coalesce(w[i], ''), '{strings.SENTENCE_END.replace("'", "''")}'))), 180) AS cut FROM w),
         s AS (SELECT doc_id, array_to_string(if(len(w) <= 180, w, w[1:cut]), ' ') AS s FROM e)
         SELECT doc_id, md5(s) AS digest, length(s)::INT AS n FROM s""",
     "artifact_validity": """WITH m AS (SELECT d.doc_id, trim(regexp_replace(text, '[0-9]', '', 'g')) AS text, lang, label, embedding,

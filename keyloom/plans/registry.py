@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.plans import audits, handover, retrieval, search, timeline
+from keyloom.plans import audits, building, handover, retrieval, search, timeline
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-for module in (retrieval, search, timeline, audits, handover):
+for module in (retrieval, search, timeline, audits, handover, building):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.operators import evidence, ranking, text, vectors
+from keyloom.operators import vector_index as vectors_index
 from keyloom.plans import submission
+from keyloom.sources import shared
 from keyloom.sources.tables import table
 
-K = 50
+K, FUZZY_K = 50, 10
 WEIGHTS = {"visual_dense": 2.0, "ocr_bm25": 0.5}
 VARIANTS = {"q0": 1.0, "q1": 0.6}
 CAP, SUMMARY_WEIGHT = 0.05, 1.0
@@ -30,16 +32,22 @@ def dense_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.top_k(queries, items, K, item_id="frame_id")
 
 
-def lexical_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def text_index(docs: DataFrame, name: str) -> str:
+    """The inverted index of docs (doc_id, text), built once for the files that they are read from."""
+    return shared.derived(docs, f"bm25-{name}", lambda path: text.index(docs, path))
+
+
+def lexical_hits(spark: SparkSession, sf_dir: str, fuzzy: bool = False) -> DataFrame:
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    found = text.bm25_top_k(queries, table(spark, sf_dir, "documents").select("doc_id", "text"), K)
-    return found.withColumnRenamed("doc_id", "frame_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return text.search(queries, text_index(docs, "documents"), K, fuzzy).withColumnRenamed("doc_id", "frame_id")
 
 
-def branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def branches(spark: SparkSession, sf_dir: str, lexical: DataFrame | None = None) -> DataFrame:
     """All branches' hits with reciprocal ranks."""
+    lexical = lexical_hits(spark, sf_dir) if lexical is None else lexical
     dense = dense_hits(spark, sf_dir).select("query_id", "frame_id", "rank", F.lit("visual_dense").alias("branch"))
-    lexical = lexical_hits(spark, sf_dir).select("query_id", "frame_id", "rank", F.lit("ocr_bm25").alias("branch"))
+    lexical = lexical.select("query_id", "frame_id", "rank", F.lit("ocr_bm25").alias("branch"))
     return ranking.normalise(dense.unionByName(lexical))
 
 
@@ -52,6 +60,21 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", "frame_id", "rank", F.round("raw_score", 6).alias("raw_score"))
 
 
+def vector_index(spark: SparkSession, sf_dir: str) -> str:
+    """The coarse index of all vectors, built once for the file that they are read from."""
+    items = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    return shared.derived(items, "vectors", lambda path: vectors_index.build(items, path))
+
+
+def dense_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dense search of the query batch by the coarse index: the cells that hold 95 % of a sample's neighbours."""
+    emb = table(spark, sf_dir, "embeddings")
+    queries = table(spark, sf_dir, "benchmark").join(emb, F.col("item_id") == F.col("vec_id"))
+    queries = queries.select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vector"))
+    hits = vectors_index.top_k(queries, vector_index(spark, sf_dir), K)
+    return hits.select("query_id", F.col("item_id").alias("frame_id"), "rank", F.round("raw_score", 6).alias("raw_score"))
+
+
 def dense_kis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense known-item search: top-k, reciprocal ranks, one-branch fusion, total order."""
     hits = dense_hits(spark, sf_dir)
@@ -91,17 +114,19 @@ def weighted_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def boosts(spark: SparkSession, sf_dir: str, lexical: DataFrame | None = None) -> DataFrame:
     """Capped sum of each video's lexical hits per query."""
-    hits = ranking.normalise(lexical_hits(spark, sf_dir)).join(videos(spark, sf_dir), "frame_id")
+    lexical = lexical_hits(spark, sf_dir) if lexical is None else lexical
+    hits = ranking.normalise(lexical).join(videos(spark, sf_dir), "frame_id")
     parts = ranking.capped_contributions(hits, SUMMARY_WEIGHT, CAP, ["query_id", "video_id"], F.col("rank"))
     return parts.groupBy("query_id", "video_id").agg(F.round(F.sum("contribution"), 9).alias("boost"))
 
 
 def boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused = ranking.fuse(branches(spark, sf_dir), WEIGHTS).join(videos(spark, sf_dir), "frame_id")
+    lexical = shared.written(lexical_hits(spark, sf_dir), "hits")  # K rows a query, used twice
+    fused = ranking.fuse(branches(spark, sf_dir, lexical), WEIGHTS).join(videos(spark, sf_dir), "frame_id")
     fused = fused.withColumn("final_score", F.round("final_score", 9))
-    out = ranking.apply_boost(fused, boosts(spark, sf_dir), ["query_id", "video_id"])
+    out = ranking.apply_boost(fused, boosts(spark, sf_dir, lexical), ["query_id", "video_id"])
     return out.withColumn("final_score", F.round("final_score", 9))
 
 
@@ -118,6 +143,53 @@ def kis_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.select("query_id", "rank", "video_id", "frame_id", "final_score")
 
 
+FIELDS = ["video_id", "lang"]
+
+
+def _evidence_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both branches' hits of frames with their metadata, as hits of two variants by the frame's number."""
+    lexical = shared.written(lexical_hits(spark, sf_dir), "hits")
+    columns = ["query_id", "frame_id", "rank", "raw_score"]
+    hits = dense_hits(spark, sf_dir).select(*columns, F.lit("visual_dense").alias("branch"))
+    hits = hits.unionByName(lexical.select(*columns, F.lit("ocr_bm25").alias("branch")))
+    frames = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("frame_id"), F.col("source").alias("video_id"), "lang")
+    hits = ranking.normalise(hits).withColumn("variant_id", F.when(F.col("frame_id") % 2 == 0, "q0").otherwise("q1"))
+    return hits.join(frames, "frame_id")
+
+
+def fusion_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fused frames with what their scores are made of; the lexical branch has failed for every third query."""
+    hits = _evidence_hits(spark, sf_dir)
+    status = F.when((F.col("query_id") % 3 == 0) & (F.col("branch") == "ocr_bm25"), "FAILED").otherwise("DEGRADED")
+    statuses = hits.select("query_id", "branch").distinct().withColumn("status", status)
+    fused = ranking.fuse_with_evidence(ranking.usable(hits, statuses, ["query_id", "branch"]), WEIGHTS, FIELDS)
+    line = lambda x: F.concat_ws("/", x["branch"], x["variant_id"], x["rank"].cast("string"))
+    return fused.select(
+        "query_id", "frame_id", *FIELDS, F.round("final_score", 9).alias("final_score"), F.array_join(F.transform("evidence", line), " ").alias("evidence")
+    )
+
+
+def metadata_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of both branches where one of them has another video, or another language where the number is divisible by three."""
+    hits = _evidence_hits(spark, sf_dir)
+    odd = (F.col("branch") == "ocr_bm25") & (F.col("frame_id") % 2 == 1)
+    hits = hits.withColumn("video_id", F.when(odd, "elsewhere").otherwise(F.col("video_id")))
+    hits = hits.withColumn("lang", F.when((F.col("branch") == "ocr_bm25") & (F.col("frame_id") % 3 == 0), F.lit(None)).otherwise(F.col("lang")))
+    found = ranking.metadata_conflicts(hits, FIELDS)
+    return found.select("query_id", "frame_id", F.array_join("fields", ",").alias("fields"))
+
+
+def dedup_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of even numbers deduplicated first, then all others with what is left of them."""
+    frames = shared.written(boosted(spark, sf_dir).select("query_id", "video_id", "frame_id", "final_score"), "boosted")
+    frames = frames.withColumn("near", F.lit(None).cast("array<struct<frame_id: bigint, final_score: double>>"))
+    by = ["query_id", "video_id"]
+    even = ranking.dedup_again(frames.filter(F.col("frame_id") % 2 == 0), by)
+    again = ranking.dedup_again(even.unionByName(frames.filter(F.col("frame_id") % 2 == 1)), by)
+    near = F.array_join(F.transform("near", lambda x: x["frame_id"].cast("string")), ",")
+    return again.select(*by, "frame_id", "final_score", near.alias("near"))
+
+
 def submission_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 100 answers of each query as lines of a headerless CSV."""
     rows = submission.first_answers(kis_end_to_end(spark, sf_dir), "query_id", F.asc("rank"))
@@ -141,6 +213,15 @@ def vqa_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("query_id", F.col("chunk_id").cast("long").alias("frame_id"), "kept")
 
 
+def bm25_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search by titles of pages, each of their words standing for all words of the documents within its edit distance."""
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    queries = table(spark, sf_dir, "pages").select(F.col("page_id").alias("query_id"), title.alias("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = text.search(queries, text_index(docs, "documents"), FUZZY_K, fuzzy=True)
+    return found.select("query_id", F.col("doc_id").alias("frame_id"), "rank", "raw_score")
+
+
 def fuzzy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all page titles near the benchmark's words."""
     word = lambda df, c: df.select(F.explode(text.analyse(F.col(c))).alias("word")).distinct()
@@ -208,6 +289,7 @@ SELECT query_id, position, video_id, frame_id, final_score FROM pos WHERE positi
 
 QUERIES = {
     "dense_topk": dense_topk,
+    "dense_index_topk": dense_index_topk,
     "dense_kis": dense_kis,
     "bm25_topk": bm25_topk,
     "minmax_normalize": minmax_normalize,
@@ -220,9 +302,29 @@ QUERIES = {
     "primary_selection": primary_selection,
     "vqa_evidence": vqa_evidence,
     "fuzzy_terms": fuzzy_terms,
+    "fusion_evidence": fusion_evidence,
+    "metadata_conflicts": metadata_conflicts,
+    "dedup_twice": dedup_twice,
+    "bm25_fuzzy": bm25_fuzzy,
 }
 ORACLES = {
     "dense_topk": f"WITH {_DENSE} SELECT query_id, frame_id, rank::INT AS rank, round(raw_score, 6) AS raw_score FROM dense",
+    "dense_index_topk": f"""WITH e AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        piv AS MATERIALIZED (SELECT cell, list_transform(v, lambda x: x / n) AS p FROM (
+          SELECT row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) - 1 AS cell, v, greatest(sqrt(list_inner_product(v, v)), 1e-300) AS n FROM e)
+          WHERE cell < (SELECT least({vectors_index.MAX_PIVOTS}, ceil(sqrt(count(*)))) FROM e)),
+        ord AS MATERIALIZED (SELECT vec_id, cell, row_number() OVER (PARTITION BY vec_id ORDER BY floor(1e9::DOUBLE * list_inner_product(v, p) + 0.5) DESC, cell) AS nth FROM e, piv),
+        placed AS MATERIALIZED (SELECT vec_id, cell FROM ord WHERE nth = 1),
+        asked AS (SELECT vec_id, v FROM e ORDER BY md5('q:' || vec_id), vec_id LIMIT {vectors_index.SAMPLE}),
+        near AS (SELECT a.vec_id AS q, b.vec_id AS i FROM asked a JOIN e b ON b.vec_id <> a.vec_id
+          QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(a.v, b.v) DESC, b.vec_id) <= {vectors_index.NEIGHBOURS}),
+        ranks AS (SELECT o.nth FROM near JOIN placed p ON p.vec_id = i JOIN ord o ON o.vec_id = q AND o.cell = p.cell),
+        pr AS (SELECT list_sort(list(nth))[ceil({vectors_index.TARGET} * count(*))::INT] AS probes FROM ranks)
+        SELECT b.item_id AS query_id, x.vec_id AS frame_id,
+          row_number() OVER (PARTITION BY b.item_id ORDER BY list_inner_product(q.v, x.v) DESC, x.vec_id)::INT AS rank, round(list_inner_product(q.v, x.v), 6) AS raw_score
+        FROM benchmark b JOIN e q ON q.vec_id = b.item_id JOIN ord o ON o.vec_id = q.vec_id JOIN placed p ON p.cell = o.cell JOIN e x ON x.vec_id = p.vec_id, pr
+        WHERE o.nth <= probes QUALIFY rank <= {K}""",
     "dense_kis": f"""WITH {_DENSE} SELECT query_id, frame_id, label AS video_id, rank::INT AS rank,
         round(1.0::DOUBLE / (60 + rank), 9) AS final_score FROM dense""",
     "bm25_topk": f"WITH {_LEXICAL} SELECT query_id, frame_id, rank::INT AS rank, raw_score FROM lexical",
@@ -244,5 +346,42 @@ ORACLES = {
               CASE WHEN length(term) <= 2 THEN 0 WHEN length(term) <= 5 THEN 1 ELSE 2 END AS most
               FROM t JOIN w ON abs(length(term) - length(word)) <= 2)
         SELECT term, word, distance FROM p WHERE distance <= most""",
+    "fusion_evidence": f"""WITH {_DENSE}, {_LEXICAL},
+        h AS (SELECT query_id, frame_id, 'visual_dense' AS branch, rank FROM dense UNION ALL SELECT query_id, frame_id, 'ocr_bm25', rank FROM lexical WHERE query_id % 3 <> 0)
+        SELECT query_id, frame_id, any_value(source) AS video_id, any_value(lang) AS lang,
+          round(coalesce(sum(1.0::DOUBLE / (60 + rank)) FILTER (branch = 'ocr_bm25'), 0) * {WEIGHTS["ocr_bm25"]}
+            + coalesce(sum(1.0::DOUBLE / (60 + rank)) FILTER (branch = 'visual_dense'), 0) * {WEIGHTS["visual_dense"]}, 9) AS final_score,
+          string_agg(branch || '/' || if(frame_id % 2 = 0, 'q0', 'q1') || '/' || rank, ' ' ORDER BY branch, rank) AS evidence
+        FROM h JOIN documents ON doc_id = frame_id GROUP BY query_id, frame_id""",
+    "metadata_conflicts": f"""WITH {_DENSE}, {_LEXICAL}
+        SELECT query_id, frame_id, concat_ws(',', CASE WHEN frame_id % 3 = 0 THEN 'lang' END, CASE WHEN frame_id % 2 = 1 THEN 'video_id' END) AS fields
+        FROM dense JOIN lexical USING (query_id, frame_id) JOIN documents ON doc_id = frame_id WHERE frame_id % 2 = 1 OR (frame_id % 3 = 0 AND lang IS NOT NULL)""",
+    "dedup_twice": f"""WITH {_DENSE}, {_LEXICAL}, {_FUSED}, {_BOOSTED},
+        even AS (SELECT *, row_number() OVER (PARTITION BY query_id, video_id ORDER BY final_score DESC, frame_id) AS n FROM boosted WHERE frame_id % 2 = 0),
+        pool AS (SELECT query_id, video_id, frame_id, final_score FROM boosted WHERE frame_id % 2 = 1
+          UNION ALL SELECT query_id, video_id, frame_id, final_score FROM even WHERE n = 1),
+        nth AS (SELECT *, row_number() OVER (PARTITION BY query_id, video_id ORDER BY final_score DESC, frame_id) AS n FROM pool),
+        best AS (SELECT query_id, video_id, frame_id, final_score FROM nth WHERE n = 1),
+        near AS (SELECT query_id, video_id, frame_id, final_score FROM nth WHERE n > 1
+          UNION ALL SELECT e.query_id, e.video_id, e.frame_id, e.final_score FROM even e JOIN best b ON b.query_id = e.query_id AND b.video_id = e.video_id
+            WHERE e.n > 1 AND b.frame_id % 2 = 0)
+        SELECT b.query_id, b.video_id, b.frame_id, b.final_score, coalesce(string_agg(n.frame_id::VARCHAR, ',' ORDER BY n.final_score DESC, n.frame_id), '') AS near
+        FROM best b LEFT JOIN near n ON n.query_id = b.query_id AND n.video_id = b.video_id GROUP BY ALL""",
+    "bm25_fuzzy": f"""WITH asked AS (SELECT page_id AS query_id, unnest({_TOKENS}) AS term
+          FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS text FROM pages)),
+        toks AS (SELECT doc_id, {_TOKENS} AS t FROM documents),
+        corpus AS (SELECT count(*) AS n_docs, avg(coalesce(len(t), 0)) AS avgdl FROM toks),
+        posts AS MATERIALIZED (SELECT doc_id, dl, word, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS word FROM toks) GROUP BY ALL),
+        dfs AS (SELECT word, count(*) AS df FROM posts GROUP BY word),
+        near AS (SELECT term, word, 1 - levenshtein(term, word)::DOUBLE / least(length(term), length(word)) AS boost
+          FROM (SELECT DISTINCT term FROM asked) JOIN dfs ON abs(length(term) - length(word)) <= 2
+          WHERE levenshtein(term, word) <= CASE WHEN length(term) <= 2 THEN 0 WHEN length(term) <= 5 THEN 1 ELSE 2 END),
+        qt AS (SELECT query_id, word, sum(boost) AS qtf FROM asked JOIN near USING (term) WHERE boost > 0 GROUP BY ALL),
+        scored AS (SELECT query_id, doc_id AS frame_id,
+          round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * {text.K1 + 1}
+            / (tf + {text.K1} * (1 - {text.B} + {text.B} * dl / avgdl)) * qtf), 6) AS raw_score
+          FROM qt JOIN dfs USING (word) JOIN posts USING (word), corpus GROUP BY ALL)
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw_score DESC, frame_id)::INT AS rank FROM scored
+        QUALIFY rank <= {FUZZY_K}""",
     "primary_selection": f"WITH {_DENSE}, {_LEXICAL}, {_FUSED}, {_BOOSTED} {_PRIMARY}",
 }

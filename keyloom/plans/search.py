@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from keyloom.functions import encoders
 from keyloom.operators import contracts, intervals, ranking, text, vectors
-from keyloom.plans import audits, submission
+from keyloom.plans import audits, retrieval, submission
 from keyloom.plans.requests import DENSE, LEXICAL, RankingPolicy
 from keyloom.sources.tables import table
 
-K, FRAMES, DIMENSION = 50, 10, 64
+K, FEWER, FRAMES, DIMENSION = 50, 40, 10, 64
 CAP, PER_HIT, MOST = 0.05, 0.002, 0.003
 TURNS = 1_000_000
 POLICY = RankingPolicy(
@@ -72,7 +72,8 @@ def branch_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     for kind, docs in corpora.items():
         items = docs.select("item_id", encoders.encode(F.col("text"), make).alias("vector"))
         hits = hits.unionByName(_dense(asked, items, f"{kind}_dense"))
-        found = text.bm25_top_k(original, docs.withColumnRenamed("item_id", "doc_id"), K).withColumnRenamed("doc_id", "item_id")
+        path = retrieval.text_index(docs.withColumnRenamed("item_id", "doc_id"), "documents" if kind == "ocr" else kind)
+        found = text.search(original, path, K).withColumnRenamed("doc_id", "item_id")
         hits = hits.unionByName(found.withColumns({"variant_id": F.lit("q0"), "branch": F.lit(f"{kind}_bm25")}))
     return hits
 
@@ -124,11 +125,19 @@ def kis_seven_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def branch_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of each branch, with those that break the rules of a result: places that are not 1 to K, items named twice."""
-    hits = branch_hits(spark, sf_dir)
-    once = hits.groupBy("query_id", "variant_id", "branch", "item_id").agg(F.count("*").alias("n"), F.max("rank").alias("rank"))
-    twice, outside = F.sum(F.col("n") - 1).alias("twice"), F.count(F.when(F.col("rank") > K, 1)).alias("outside")
-    return once.groupBy("branch", "variant_id").agg(F.sum("n").alias("hits"), F.countDistinct("query_id").alias("queries"), twice, outside)
+    """The hits held against a plan that asks for less: no paraphrase of the visual branch, fewer spoken hits, another text or level."""
+    variants, branch = _variants(spark, sf_dir), F.col("branch")
+    level = F.when(branch.startswith("asr"), "interval").when(branch.startswith("summary"), "video").otherwise("frame")
+    hits = branch_hits(spark, sf_dir).join(variants, ["query_id", "variant_id"]).withColumn("level", level).withColumnRenamed("text", "query_text")
+    names = F.explode(F.array(*map(F.lit, (*DENSE, *LEXICAL)))).alias("branch")
+    asked = variants.select("query_id", "variant_id", "text", names)
+    asked = asked.filter(((F.col("variant_id") == "q0") | branch.endswith("_dense")) & ~((F.col("variant_id") == "q1") & (branch == "visual_dense")))
+    plan = asked.select(
+        "query_id", "variant_id", "branch", F.when(branch == "summary_dense", "frame").otherwise(level).alias("level"),
+        F.when(branch == "summary_bm25", F.upper("text")).otherwise(F.col("text")).alias("query_text"),
+        F.when(branch == "asr_dense", FEWER).otherwise(K).alias("top_k"),
+    )
+    return contracts.result_faults(hits, plan)
 
 
 QUERIES = {"kis_seven_branches": kis_seven_branches, "branch_faults": branch_faults}
@@ -203,6 +212,8 @@ def _sql() -> str:
 
 ORACLES = {
     "kis_seven_branches": f"{_sql()} SELECT * FROM placed WHERE place <= {submission.MOST_ROWS}",
-    "branch_faults": f"""{_sql()} SELECT branch, variant_id, count(*) AS hits, count(DISTINCT query_id) AS queries,
-        0::BIGINT AS twice, 0::BIGINT AS outside FROM hits GROUP BY ALL""",
+    "branch_faults": f"""{_sql()} SELECT DISTINCT query_id, branch, variant_id, code FROM (
+        SELECT query_id, branch, variant_id, CASE WHEN branch = 'visual_dense' AND variant_id = 'q1' THEN 'not_planned' WHEN branch = 'summary_dense' THEN 'level'
+          WHEN branch = 'summary_bm25' THEN 'query_text' END AS code FROM hits
+        UNION ALL SELECT query_id, branch, variant_id, 'too_many' FROM hits WHERE branch = 'asr_dense' GROUP BY ALL HAVING count(*) > {FEWER}) WHERE code IS NOT NULL""",
 }

@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyloom.operators import alignment, intervals, quality, ranking, sequences, vectors
@@ -65,6 +65,31 @@ def interval_distribute(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _mapped(spark: SparkSession, sf_dir: str, seen: Observation | None = None) -> DataFrame:
+    """Purchases of a user, ranked by value, as intervals, mapped to the user's errors."""
+    frames = _frames(spark, sf_dir)
+    hits = ranking.ranked(_intervals(frames), ["user_id"], F.desc("raw_score"), F.asc("interval_id"))
+    hits = hits.withColumn("video_id", F.col("user_id")).withColumnRenamed("user_id", "query_id")
+    errors = frames.filter(F.col("event_type") == "error").select("frame_id", F.col("user_id").alias("video_id"), "t")
+    return intervals.map_ranked(hits, errors, ["query_id"], ["video_id"], ("start", "end"), "t", LIMIT, BIN, seen)
+
+
+def interval_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mapped frames of each query, ranked anew, with their part of the interval's scores."""
+    return _mapped(spark, sf_dir).select(
+        "query_id", "rank", "interval_id", "frame_id",
+        F.round("normalized_score", 9).alias("normalized_score"), F.round("raw_score", 6).alias("raw_score"),
+    )
+
+
+def interval_mapping_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: what the mapping took in, mapped, lost and cut off, observed while it ran."""
+    seen = Observation("interval mapping")
+    _mapped(spark, sf_dir, seen).write.format("noop").mode("overwrite").save()
+    names = ["input", "mapped", "lost", "truncated", "cut_frames", "output", "most"]
+    return spark.createDataFrame([tuple(seen.get[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
 def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a purchase interval and an error's hour of one user that overlap."""
     frames = _frames(spark, sf_dir)
@@ -179,10 +204,14 @@ paths AS (SELECT a.query_id, a.video_id, a.pos AS p0, b.pos AS p1, c.pos AS p2,
 best AS (SELECT query_id, video_id, round(score, 6) AS score, p0::INT AS p0, p1::INT AS p1, p2::INT AS p2 FROM paths
          QUALIFY row_number() OVER (PARTITION BY query_id, video_id ORDER BY paths.score DESC, p2, p1, p0) = 1)"""
 
+_MAPPED = f"""hit AS (SELECT interval_id, user_id, s, e, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, interval_id) AS k FROM iv),
+met AS (SELECT h.*, f.frame_id, f.t, count(f.frame_id) OVER (PARTITION BY h.user_id, interval_id) AS n,
+        row_number() OVER (PARTITION BY h.user_id, interval_id ORDER BY abs(f.t - (s + e) / 2), f.t, f.frame_id) AS nth
+        FROM hit h LEFT JOIN f ON f.user_id = h.user_id AND f.event_type = 'error' AND f.t BETWEEN s AND e)"""
 QUERIES = {
     f.__name__: f
     for f in (
-        interval_frame_map, interval_nearest_k, interval_distribute, interval_overlap, window_semijoin, neighbor_frames,
+        interval_frame_map, interval_nearest_k, interval_distribute, interval_overlap, interval_mapping, interval_mapping_counts, window_semijoin, neighbor_frames,
         ordered_timeline, segment_grouping_fixed, segment_grouping_duration, peak_concurrency, event_alignment, trake_end_to_end,
     )
 } | {"cosine_matrix": similarity}
@@ -194,6 +223,12 @@ ORACLES = {
         row_number() OVER (PARTITION BY user_id ORDER BY value DESC, interval_id) AS k FROM iv)
         SELECT interval_id, frame_id, round(1.0::DOUBLE / (60 + k) / count(*) OVER (PARTITION BY interval_id), 9) AS normalized_score,
         round(value / count(*) OVER (PARTITION BY interval_id), 6) AS raw_score FROM near JOIN r USING (interval_id)""",
+    "interval_mapping": f"""WITH {_F}, {_MAPPED} SELECT user_id AS query_id, row_number() OVER (PARTITION BY user_id ORDER BY k, t, frame_id, interval_id)::INT AS rank,
+        interval_id, frame_id, round(1.0::DOUBLE / (60 + k) / least(n, {LIMIT}), 9) AS normalized_score, round(value / least(n, {LIMIT}), 6) AS raw_score
+        FROM met WHERE frame_id IS NOT NULL AND nth <= {LIMIT}""",
+    "interval_mapping_counts": f"""WITH {_F}, {_MAPPED} SELECT count(*) FILTER (nth = 1) AS input, count(*) FILTER (nth = 1 AND n > 0) AS mapped,
+        count(*) FILTER (n = 0) AS lost, count(*) FILTER (nth = 1 AND n > {LIMIT}) AS truncated, count(*) FILTER (nth > {LIMIT}) AS cut_frames,
+        count(*) FILTER (n > 0 AND nth <= {LIMIT}) AS output, coalesce(max(n), 0)::BIGINT AS most FROM met""",
     "interval_overlap": f"""WITH {_F} SELECT iv.user_id, interval_id, f.frame_id AS error_id FROM iv JOIN f
         ON f.user_id = iv.user_id AND f.event_type = 'error' AND s <= f.t + {NEAR} AND e >= f.t""",
     "window_semijoin": f"""WITH {_F} SELECT frame_id, user_id FROM f WHERE event_type = 'error' AND EXISTS (SELECT 1 FROM iv

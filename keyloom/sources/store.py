@@ -10,6 +10,10 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Earlier versions that a manifest names, the last one first.
+HISTORY = 10
+
+
 class NotPublished(RuntimeError):
     """The new version failed its checks; the old one stays."""
 
@@ -62,16 +66,21 @@ class Store:
             "version": version,
             "previous": before["version"] if before else None,
             "record_counts": {name: df.count() for name, df in back.items()},
+            "history": [{k: before[k] for k in ("version", "record_counts")}, *before["history"]][:HISTORY] if before else [],
         }
         self._point(manifest)
         return manifest
 
     def rollback(self) -> dict:
-        """Publish the version before the current one again."""
+        """Publish the version before the current one again, with its counts and what came before it."""
         now = self.current()
         if not now or not now.get("previous"):
             raise NotPublished("no earlier version")
-        manifest = {"status": "READY", "version": now["previous"], "previous": None, "record_counts": {}}
+        first, *rest = now["history"]
+        manifest = {"status": "READY", **first, "previous": rest[0]["version"] if rest else None, "history": rest}
+        back = {name: self.spark.read.parquet(f"{self.root}/{manifest['version']}/{name}").count() for name in manifest["record_counts"]}
+        if back != manifest["record_counts"]:
+            raise NotPublished(f"{manifest['version']} is not what was published: {back}")
         self._point(manifest)
         return manifest
 

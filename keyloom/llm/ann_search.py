@@ -19,7 +19,7 @@ from keyloom.llm import grid
 
 #: Room for the rounding of the bounds themselves.
 SLACK = 1e-6
-#: Products of a tile, at most.
+#: Products of a tile, and numbers of the surviving pairs that are recomputed at once.
 TILE = 4_000_000
 
 
@@ -66,14 +66,19 @@ def search(
             least = min(k, about.shape[1])
             sure = np.partition(about - bound, -least, axis=1)[:, -least] if least == k else np.full(len(q), -np.inf)
             rows, cols = np.nonzero((about + bound >= np.maximum(floor, sure)[:, None]) & (about > -np.inf))
-            scores = inner(q[rows], c[at + cols])
-            best = grid.best_rows(scores, rows, at + cols, vec, null, k)
-            for r, j, s in zip(rows[best].tolist(), (at + cols[best]).tolist(), scores[best].tolist(), strict=True):
-                item, heap = (s, not null[j], -int(vec[j]), j), heaps[r]
-                if len(heap) < k:
-                    heapq.heappush(heap, item)
-                else:
-                    heapq.heappushpop(heap, item)
+            del about, bound
+            # where the bounds cannot separate, all pairs of the tile survive: they are recomputed a slice at a time
+            step = max(1, TILE // max(1, q.shape[1]))
+            for cut in range(0, len(rows), step):
+                own, other = rows[cut : cut + step], at + cols[cut : cut + step]
+                scores = inner(q[own], c[other])
+                best = grid.best_rows(scores, own, other, vec, null, k)
+                for r, j, s in zip(own[best].tolist(), other[best].tolist(), scores[best].tolist(), strict=True):
+                    item, heap = (s, not null[j], -int(vec[j]), j), heaps[r]
+                    if len(heap) < k:
+                        heapq.heappush(heap, item)
+                    else:
+                        heapq.heappushpop(heap, item)
             floor = np.array([h[0][0] if len(h) == k else -np.inf for h in heaps])
         rows = np.repeat(np.arange(len(heaps)), [len(h) for h in heaps])
         cols = np.array([x[3] for h in heaps for x in h], np.int64)

@@ -225,11 +225,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     docs (doc_id, text), labels (doc_id, quality 0/1). Null labels are left out; several labels of one id
     count by their mean. Rows of one id are one document, equal ones once. Every document of the sample takes
     part, one of very many lines with the lines that come first, in as many of its texts as the bound allows.
-    Without labelled documents all weights are 0, so every score is 0.5.
+    Labels of other ids count for nothing. Without labels, or without documents, all weights are 0, so every score is 0.5; labels
+    of which none is of a document that is not held out are an error.
     """
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
+    usable = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    # labels may cover far more than these documents: only those of a document can be drawn
     marked = (
-        labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+        usable.join(docs.select("doc_id").filter("doc_id IS NOT NULL"), "doc_id", "left_semi")
         .groupBy("doc_id")
         .agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
         .orderBy(*by_hash)
@@ -264,6 +267,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     rows = chosen.select(F.col("doc_id").cast("long"), "text", "label", "take").mapInArrow(run, "doc_id long, label int, x binary")
     got = sorted(rows.collect(), key=lambda r: (r.doc_id, bytes(r.x)))
     if not got:
+        if usable.limit(1).count() and docs.limit(1).count():
+            raise ValueError("no label is of a document that is not held out: a field of zeros would reject every document")
         return Field(np.zeros(FEATURES, np.float32), np.zeros((2, 2)))
     parts = [np.frombuffer(r.x, np.float16).reshape(-1, FEATURES) for r in got]
     label = np.array([r.label for r in got])

@@ -59,8 +59,11 @@ _MARK = np.random.default_rng(5).integers(1, 1 << 62, 256, np.int64).astype(np.u
 
 def _repeats(data: np.ndarray, line: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """For every line the share of words like the one before, and of words that stand in the line already."""
-    inside = np.r_[True, SPACE[data], True]
-    starts, ends = np.nonzero(inside[:-1] & ~inside[1:])[0], np.nonzero(~inside[:-1] & inside[1:])[0]
+    word = ~SPACE[data]
+    # texts stand end to end: a word ends with its line, so that no text changes the words of the next
+    apart = ~(word[1:] & word[:-1] & (line[1:] == line[:-1]))
+    starts = np.nonzero(word & np.r_[np.ones(min(1, len(data)), bool), apart])[0]
+    ends = np.nonzero(word & np.r_[apart, np.ones(min(1, len(data)), bool)])[0] + 1
     if not len(starts):
         return np.zeros(n, np.float32), np.zeros(n, np.float32)
     of = line[starts]

@@ -130,7 +130,7 @@ fit AS (SELECT page_id, txt, verdict FROM (SELECT DISTINCT page_id, host, path F
         WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre)
         QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(txt) DESC, txt) = 1),
 h AS (SELECT host, count(*)::DOUBLE AS n, sum(quality)::DOUBLE AS k, any_value(domain) AS domain, any_value(suffix) AS suffix
-      FROM p JOIN labels ON doc_id = page_id WHERE quality IS NOT NULL GROUP BY host),
+      FROM p JOIN labels ON doc_id = page_id WHERE quality IS NOT NULL AND host <> '' GROUP BY host),
 m0 AS (SELECT coalesce(sum(k) / sum(n), 0) AS m FROM h),
 sx AS (SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(m) AS m FROM h, m0 GROUP BY suffix),
 s1 AS {strength("sx", "m")},

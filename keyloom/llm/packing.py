@@ -34,6 +34,8 @@ from keyloom.llm.stage import written
 CAPACITY = 2048
 ROWS_PER_SALT = 250_000
 LEAST_SALTS = 32
+#: Column of random numbers, drawn once when pieces are written.
+LOT = "_lot"
 #: How byte-level BPE cuts a text before it merges.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters above which ids are held as an array from the start.
@@ -271,14 +273,20 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     The pieces of a sequence stand side by side without gaps from 0 on, at most `capacity` long in all. Ties
     are broken by a hash of the whole row: reruns agree; repeated rows have places of their own. No
-    pieces give no rows. The table should be a written one, as it is read several times.
+    pieces give no rows. The table should be a written one, as it is read several times; a column LOT of random numbers in
+    it, which is left out of the result, deals rows that are repeated very often over several tasks.
     """
     spark = pieces.sparkSession
-    columns = pieces.columns
+    columns = [c for c in pieces.columns if c != LOT]
     n = pieces.count()
     salts = max(LEAST_SALTS, math.ceil(n / ROWS_PER_SALT))
-    rows = pieces.select(F.struct("*").alias("row"), F.col("length").alias("len"), F.xxhash64(*columns).alias("hash"))
-    rows = rows.withColumn("salt", F.pmod("hash", F.lit(salts)).cast("int"))
+    lot = F.col(LOT) if LOT in pieces.columns else F.lit(0)
+    rows = pieces.select(F.struct(*columns).alias("row"), F.col("length").alias("len"), F.xxhash64(*columns).alias("hash"), lot.alias("lot"))
+    # rows of one hash would have one salt: those of more than a salt's share are alike, so it doesn't matter which goes where
+    repeated = rows.groupBy("hash").agg(F.count("*").alias("times")).filter(F.col("times") > n // salts).select("hash")  # `salts` rows at most
+    rows = rows.join(F.broadcast(repeated.withColumn("again", F.lit(1))), "hash", "left")
+    salt = F.col("hash") + F.when(F.col("again").isNotNull(), F.col("lot")).otherwise(0)
+    rows = rows.withColumn("salt", F.pmod(salt, F.lit(salts)).cast("int")).select("row", "len", "hash", "salt")
     counts = rows.groupBy("len", "salt").agg(F.count("*").alias("n"))
     histogram = {r.len: r.n for r in counts.groupBy("len").agg(F.sum("n").alias("n")).collect()}  # `capacity` rows
     if any(not 0 < x <= capacity for x in histogram):
@@ -311,4 +319,4 @@ def sequences(packed: DataFrame) -> DataFrame:
 def packed_digests(docs: DataFrame, path: str, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
     """Pieces with the CRC-32 of their ids instead of these, packed."""
     pieces = tokenise(docs, path, capacity, added=added).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return pack(written(pieces, "pieces"), capacity)
+    return pack(written(pieces.withColumn(LOT, F.floor(F.rand(1) * (1 << 30)).cast("int")), "pieces"), capacity)

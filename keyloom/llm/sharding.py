@@ -51,6 +51,17 @@ def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
 
 
+def spread(rows: DataFrame, most: int) -> DataFrame:
+    """Rows (group, place, lot, ...) of which those that stand more than `most` times in one place have places by their lot.
+
+    Rows of one id and one text have one place, which no splitter could cut. They are alike, so any order among them will do.
+    """
+    key = ["group", "place"]
+    repeated = rows.groupBy(*key).agg(F.count("*").alias("times")).filter(F.col("times") > most).select(*key, F.lit(True).alias("again"))
+    place = F.when(F.col("again"), F.xxhash64("place", "lot")).otherwise(F.col("place"))
+    return rows.join(F.broadcast(repeated), key, "left").withColumn("place", place).drop("again")  # rows / most rows
+
+
 def splitters(rows: DataFrame, ranges: int, total: int) -> list:
     """ranges - 1 boundaries (group, place): quantiles of a size-weighted sample.
 
@@ -106,10 +117,11 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id",
     empty table gives no rows; with fewer rows than shards some shards are empty.
     """
     spark = docs.sparkSession
-    rows = written(narrow(docs, id_col, text_col), "narrow")
+    rows = written(narrow(docs, id_col, text_col).withColumn("lot", F.rand(1)), "narrow")
     top = rows.agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
     total = top.size or 0
     ranges = min(MAX_RANGES, max(LEAST_RANGES, math.ceil(top.n / ROWS_PER_RANGE)))
+    rows = spread(rows, top.n // ranges).drop("lot")
     sizes = rows.groupBy("group").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
     heavy = sizes.filter((F.col("n") > 1) & (F.col("size") * shards > F.lit(HEAVY * total))).collect()  # shards / HEAVY rows
     shard_of, held = placed_whole([(r.group, r["size"]) for r in heavy], total, shards)

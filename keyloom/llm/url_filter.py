@@ -106,11 +106,11 @@ def reputation(outcomes: DataFrame, setting: Reputation = Reputation()) -> DataF
 
     Levels are suffix, domain and host; parent is a domain's suffix and a host's domain. mean is the posterior
     mean of the share of good pages. upper is a host's posterior bound; of a domain or suffix it is the bound of
-    a member without labels, whose prior has this mean. Null outcomes and null hosts take no part. No outcomes
+    a member without labels, whose prior has this mean. Null outcomes, null hosts and empty ones take no part. No outcomes
     give no rows. Repeated rows are outcomes of their own.
     """
     hosts = written(
-        outcomes.filter(F.col("good").isNotNull() & F.col("host").isNotNull())
+        outcomes.filter(F.col("good").isNotNull() & (F.col("host") != ""))
         .groupBy("host")
         .agg(F.count("*").alias("n"), F.sum(F.col("good").cast("long")).alias("k"))
         .withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}),
@@ -171,7 +171,7 @@ def judge_urls(
     """Every page with its host, path, the rule that fits and the verdict `allow` or `block`.
 
     pages (id, url); outcomes (id, good): labels of some pages. A null url or one without `://` has an
-    empty host and path. A host without labels has the verdict of its domain's prior, else of its suffix's; one whose
+    empty host and path; without a host it has no reputation and is allowed. A host without labels has the verdict of its domain's prior, else of its suffix's; one whose
     suffix has no labels is allowed. Repeated pages keep a row each; a page
     that has several labels counts once for each. Other columns of `pages` are not read, whatever
     their names.

@@ -1,6 +1,7 @@
 """Operators on documents against brute force, with awkward input."""
 
 import collections
+import random
 import hashlib
 import itertools
 import os
@@ -539,6 +540,55 @@ def test_quality_awkward(spark):
     assert line_crf.train(cases.empty(spark), labels).weights.sum() == 0
 
 
+def test_quality_labels_of_other_documents_count_for_nothing(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    foreign = spark.range(1_000_000, 1_050_000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality")
+    alone = line_crf.train(docs, labels, sample=100)
+    among = line_crf.train(docs, labels.selectExpr("doc_id", "CAST(quality AS INT) AS quality").unionByName(foreign), sample=100)
+    assert np.count_nonzero(alone.weights) > 50 and (alone.weights == among.weights).all() and (alone.transition == among.transition).all()
+    with pytest.raises(ValueError, match="no label is of a document"):
+        line_crf.train(docs, foreign)
+
+
+def test_quality_features_and_scores_equal_plain_loops():
+    r = random.Random(3)
+    pool = ["the the cat", "", "a b a b", "!!! 12 %%", "Ünï words here", "the the cat", "x"]
+    texts = ["\n".join(r.choices(pool, k=r.randrange(1, 6))) for _ in range(30)] + [""]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    x, length, per_text = line_crf.line_features(data, np.cumsum([len(t.encode()) for t in texts]))
+    lines = [line.encode() for t in texts for line in t.split("\n")]
+    assert per_text.tolist() == [t.count("\n") + 1 for t in texts] and length.tolist() == [max(1, len(line)) for line in lines]
+    c = line_crf.C
+    share = lambda line: np.array([sum(line_crf.CLASS[b] == k for b in line) / max(1, len(line)) for k in range(c)])
+    one = np.array([share(line) for line in lines])
+    assert np.allclose(x[:, c * c : c * c + c], one, atol=1e-6)
+    at = 0
+    for t in texts:
+        own = [line.encode() for line in t.split("\n")]
+        for k, line in enumerate(own):
+            row = x[at + k]
+            before, after = (share(own[k - 1]) if k else 0, share(own[k + 1]) if k + 1 < len(own) else 0)
+            assert np.allclose(row[c * c + c : c * c + 2 * c], np.sqrt(before), atol=1e-5) and np.allclose(row[c * c + 2 * c : c * c + 3 * c], np.sqrt(after), atol=1e-5)
+            assert row[c * c + 3 * c] == pytest.approx(np.log1p(len(line)) / 5, abs=1e-5)
+            w = line.split()
+            same = sum(a == b for a, b in zip(w, w[1:])) / max(1, len(w))
+            known = (len(w) - len(set(w))) / max(1, len(w))
+            want = [1, bool(line) and own.count(line) > 1, not line, same, known, known**2]
+            assert np.allclose(row[c * c + 3 * c + 1 :], want, atol=1e-5)
+        at += len(own)
+    field = line_crf.Field(np.random.default_rng(1).normal(size=x.shape[1]).astype(np.float32), np.array([[0.5, -0.3], [0.1, 0.8]]))
+    got, at = line_crf.scores(field, x, length, per_text), 0
+    for n, k in enumerate(per_text.tolist()):
+        score = (x[at : at + k] @ field.weights).astype(float)
+        weight = {}
+        for path in itertools.product((0, 1), repeat=k):
+            weight[path] = np.exp(sum(s for s, y in zip(score, path) if y) + sum(field.transition[a, b] for a, b in zip(path, path[1:])))
+        total = sum(weight.values())
+        good = [sum(w for p, w in weight.items() if p[i]) / total for i in range(k)]
+        assert got[n] == pytest.approx(np.dot(good, length[at : at + k]) / length[at : at + k].sum(), abs=1e-6)
+        at += k
+
+
 def test_quality_long_documents_displace_no_others(spark, monkeypatch):
     monkeypatch.setattr(line_crf, "SAMPLE_LINES", 600)
     good = lambda i, n: "\n".join(" ".join(f"plain{k % 7} words" for k in range(i + j % 5 + 3)) for j in range(n))
@@ -656,3 +706,31 @@ def test_shards_are_even_and_keep_groups(spark):
     assert pick(rows) == pick(again)
 
 
+
+
+# ---- rows that are repeated very often ----
+
+
+def most_rows_of_a_task(df, *keys):
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0]
+
+
+def test_repeated_rows_are_dealt_over_salts_and_ranges(spark, monkeypatch):
+    seen = {}
+    rows = spark.range(20_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'' AS text").unionByName(
+        spark.range(500).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    )
+    kept = packing.written
+    monkeypatch.setattr(packing, "written", lambda df, name: seen.setdefault(name, kept(df, name)))
+    pieces = rows.selectExpr("doc_id", "CAST(length(text) + 1 AS INT) AS length").withColumn(packing.LOT, F.floor(F.rand(1) * (1 << 30)).cast("int"))
+    pieces = kept(pieces, "pieces")
+    packed = packing.pack(pieces)
+    assert packing.LOT not in packed.columns and packed.count() == 20_500
+    ends = packed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.countDistinct("offset").alias("k"), F.count("*").alias("m"))
+    assert ends.filter("n <> end OR k <> m OR n > 2048").count() == 0
+    spread = sharding.spread(kept(sharding.narrow(rows).withColumn("lot", F.rand(1)), "narrow"), 20_500 // 64)
+    assert most_rows_of_a_task(spread, "group", "place") <= 2
+    put = sharding.shard_by_bytes(rows, 8)
+    assert put.count() == 20_500
+    slots = put.groupBy("shard").agg(F.max("slot").alias("m"), F.countDistinct("slot").alias("n"), F.sum("size").alias("s")).collect()
+    assert all(r.m + 1 == r.n for r in slots) and max(r.s for r in slots) - min(r.s for r in slots) < 3000

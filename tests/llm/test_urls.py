@@ -1,9 +1,12 @@
 """URL filters, with awkward input."""
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from oracle import compare
 from pyspark.sql import functions as F
 
-from keyloom.llm import url_filter
+from keyloom.llm import registry, url_filter
 from keyloom.llm.registry import RULES
 from keyloom.llm.url_filter import Reputation, Rule
 
@@ -92,6 +95,25 @@ def test_hosts_without_labels_have_the_verdict_of_domain_or_suffix(spark):
     assert verdict["ok.bad7.zz"] == "allow" and verdict["h1.spam.com"] == "block"
 
 
+def test_reputation_at_every_level_equals_its_sql(spark, tmp_path):
+    rows = [(f"h{i}.good{i % 4}.com", 1) for i in range(200)] + [(f"h{i}.fine{i % 3}.co.uk", 1) for i in range(90)]
+    rows += [(f"h{i % 3}.spam.com", 0) for i in range(120)] + [(f"b{i}.bad{i}.zz", 0) for i in range(300)]
+    rows += [(f"h{i % 3}.spam.co.uk", 0) for i in range(90)] + [("ok.bad7.zz", 1)] * 40 + [("", 0)] * 200
+    rows += [("lone.fair.com", 0)] * 60 + [(f"f{i}.fair.com", 1) for i in range(60)]
+    unseen = ["new.spam.com", "new.good1.com", "new.other.com", "any.new.zz", "zz", "n.spam.co.uk", "x.org", "f1.fair.com", ""]
+    urls = [(n, f"http://{h}/" if h else "no host") for n, (h, _) in enumerate(rows)] + [(5000 + i, f"http://{h}/en/7" if h else None) for i, h in enumerate(unseen)]
+    save = lambda name, **columns: pq.write_table(pa.table(columns), tmp_path / f"{name}.parquet")
+    save("pages", page_id=[u[0] for u in urls], url=[u[1] for u in urls])
+    labels = [(n, g if n % 50 else None, 0) for n, (_, g) in enumerate(rows)]
+    save("labels", doc_id=[x[0] for x in labels], quality=[x[1] for x in labels])
+    df = registry.op7_url_filter(spark, str(tmp_path))
+    assert compare(df, registry.ORACLES["op7_url_filter"], str(tmp_path)) == len(urls)
+    verdict = {(r.host, r.rule): r.verdict for r in df.collect()}
+    assert verdict["lone.fair.com", None] == "block" and verdict["f1.fair.com", None] == "allow"  # a host against its domain
+    assert verdict["h0.spam.com", None] == "block" and verdict["h0.good0.com", None] == "allow"  # a domain against its suffix
+    assert verdict["any.new.zz", None] == "block" and verdict["x.org", None] == "allow" and verdict["", None] == "allow"
+
+
 def test_suffix_and_domain(spark):
     want = {
         "a.b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "x.com": ("com", "x.com"), "com": ("com", "com"),

@@ -64,6 +64,13 @@ def test_exact_search_equals_brute_force(spark, q_rows, c_rows):
     assert found(df) == brute(awkward(), 5, 20, lambda x: float(np.floor(1024 * x)), False)
 
 
+def test_neighbours_among_equal_vectors_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(ann_search, "TILE", 64)
+    rows = [(i, [1.0, 2.0, 0.5]) for i in range(150)] + [(1000 + i, [1.0, 2.0, 0.5000001]) for i in range(3)]
+    df = ann_search.search(vectors(spark, rows), k=4, every=20)
+    assert found(df) == brute([(i, np.array(v, np.float32).astype(float).tolist()) for i, v in rows], 4, 20, lambda x: x, True)
+
+
 def test_few_candidates_give_all(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.0, 1.0])]
     assert found(exact_search.search(vectors(spark, rows))) == {0: [(1, 1, 512 * 1024), (2, 2, 0)]}

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from keyloom.sources import shared
 
+#: Goes up with every change of what is written, so that no older index is read.
+FORMAT = 2
 K1, B = 1.2, 0.75
 #: Documents of a block, tokens of a block at which it ends early, and buckets of terms.
 BLOCK, TOKENS, BUCKETS = 1024, 2_000_000, 64

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from keyloom.operators import vectors
 
+#: Goes up with every change of what is written, so that no older index is read.
+FORMAT = 2
 MAX_PIVOTS = 4096
 #: Rows whose neighbours are found to choose the number of cells, neighbours of each, and share of them to be found.
 SAMPLE, NEIGHBOURS, TARGET = 128, 50, 0.95
@@ -113,12 +115,14 @@ def top_k(queries: DataFrame, path: str, k: int, n_probes: int | None = None) ->
     Reads the partitions that some query of a block needs, once for every vectors.QUERY_BLOCK queries.
     """
     spark = queries.sparkSession
-    items = _items(spark, path, spark.read.parquet(f"{path}/setting").first().form)
+    setting = spark.read.parquet(f"{path}/setting").first()
+    items = _items(spark, path, setting.form)
     rows = spark.read.parquet(f"{path}/pivots").orderBy("cell").collect()  # at most MAX_PIVOTS
-    pivots, most = np.array([r.pivot for r in rows]), n_probes or probes(spark, path)
+    pivots, most = np.array([r.pivot for r in rows]), n_probes or setting.probes
     kind = items.schema["item_id"].dataType.simpleString()
     form = f"query_id long, item_id {kind}, raw_score double"
-    parts = [_block(block, items, pivots, most, k, form) for block in vectors.query_blocks(queries, "query_id") if block]
+    blocks = vectors.query_blocks(queries, "query_id") if setting.n else []
+    parts = [_block(block, items, pivots, most, k, form) for block in blocks if block]
     pairs = reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], form)
     order = Window.partitionBy("query_id").orderBy(F.desc("raw_score"), "item_id")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

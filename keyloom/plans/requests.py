@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from types import MappingProxyType
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -90,8 +92,22 @@ class RankingPolicy:
     variants: Mapping[str, float] = field(default_factory=lambda: {"q0": 1.0, "q1": 1.0})
     rrf_k: int = 60
     frames_per_interval: int = 50
+    name: str = "baseline"
+    status: str = "experimental"
+    interval_rrf_k: int = 60
+    summary_weight: float = 0.1
+    summary_max_boost: float = 0.2
+    object_soft_boost: float = 0.05
+    object_max_boost: float = 0.2
 
     def __post_init__(self):
+        for key in ("weights", "variants"):  # a policy in use is never changed
+            object.__setattr__(self, key, MappingProxyType(dict(getattr(self, key))))
+        numbers = [*self.weights.values(), *self.variants.values(), self.summary_weight, self.summary_max_boost, self.object_soft_boost, self.object_max_boost]
+        if any(isinstance(x, bool) or not math.isfinite(x) or x < 0 for x in numbers):
+            raise ValueError("weights and boosts are finite numbers from 0")
+        if any(isinstance(x, bool) or x < 1 for x in (self.rrf_k, self.interval_rrf_k, self.frames_per_interval)):
+            raise ValueError("k and frames of an interval are whole numbers from 1")
         if any(w < 0 for w in self.weights.values()) or not any(w > 0 for w in self.weights.values()):
             raise ValueError("weights must not be negative and one must be positive")
         if not set(self.variants) <= {"q0", "q1"}:
@@ -127,6 +143,13 @@ def policy_from(settings: Mapping[str, str], prefix: str = "") -> RankingPolicy:
         variants={v: get(f"QUERY_{v.upper()}_WEIGHT", float, 1.0) for v in ("q0", "q1")},
         rrf_k=get("NORMALIZATION_RRF_K", int, 60),
         frames_per_interval=get("ASR_MAX_FRAMES_PER_INTERVAL", int, 50),
+        name=get("POLICY_NAME", str, "baseline"),
+        status=get("POLICY_STATUS", str, "experimental"),
+        interval_rrf_k=get("ASR_INTERVAL_RRF_K", int, 60),
+        summary_weight=get("SUMMARY_WEIGHT", float, 0.1),
+        summary_max_boost=get("SUMMARY_MAX_BOOST", float, 0.2),
+        object_soft_boost=get("OBJECT_SOFT_BOOST", float, 0.05),
+        object_max_boost=get("OBJECT_MAX_TOTAL_BOOST", float, 0.2),
     )
 
 
@@ -134,8 +157,10 @@ def warnings(policy: RankingPolicy, methods: Mapping[str, str], counts: Mapping[
     """How a query was answered, as key=value texts, each once: methods, policy, counts, and (branch, variant, code) of branches
     that did not succeed."""
     lines = [f"{k}={v}" for k, v in methods.items()]
-    lines.append(f"normalization_rrf_k={policy.rrf_k}")
+    lines += [f"ranking_policy={policy.name}:{policy.status}", "branch_latency_method=max_variant_latency", f"normalization_rrf_k={policy.rrf_k}"]
     lines.append("query_variant_weights=" + ",".join(f"{k}:{v}" for k, v in sorted(policy.variants.items())))
+    lines += [f"summary_weight={policy.summary_weight}", f"summary_max_boost={policy.summary_max_boost}", f"summary_fallback_rrf_k={policy.rrf_k}"]
+    lines += [f"object_soft_boost_per_constraint={policy.object_soft_boost}", f"object_max_total_boost={policy.object_max_boost}"]
     lines += [f"asr_{k}={v}" for k, v in sorted(counts.items())]
     lines += [f"branch={b};query_variant_id={v};code={c}" for b, v, c in failed]
     return list(dict.fromkeys(lines))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.operators import evidence, ranking, text, vectors
+from keyloom.operators import evidence, postings, ranking, text, vectors
 from keyloom.operators import vector_index as vectors_index
 from keyloom.plans import submission
 from keyloom.sources import shared
@@ -34,7 +34,7 @@ def dense_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_index(docs: DataFrame, name: str) -> str:
     """The inverted index of docs (doc_id, text), built once for the files that they are read from."""
-    return shared.derived(docs, f"bm25-{name}", lambda path: text.index(docs, path))
+    return shared.derived(docs, f"bm25-{name}-{postings.FORMAT}", lambda path: text.index(docs, path))
 
 
 def lexical_hits(spark: SparkSession, sf_dir: str, fuzzy: bool = False) -> DataFrame:
@@ -63,7 +63,7 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_index(spark: SparkSession, sf_dir: str) -> str:
     """The coarse index of all vectors, built once for the file that they are read from."""
     items = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
-    return shared.derived(items, "vectors", lambda path: vectors_index.build(items, path))
+    return shared.derived(items, f"vectors-{vectors_index.FORMAT}", lambda path: vectors_index.build(items, path))
 
 
 def dense_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,6 +196,16 @@ def submission_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", F.col("place").alias("rank"), F.concat_ws(",", "video_id", F.col("frame_id").cast("string")).alias("line"))
 
 
+def submission_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first answers of each query as CSV files, five archives of them, and what these hold."""
+    rows = submission.first_answers(kis_end_to_end(spark, sf_dir), "query_id", F.asc("rank"))
+    name = F.concat(F.lit("query-"), F.col("query_id").cast("string"), F.lit("-kis"))
+    quoted = F.concat(F.col("video_id"), F.when(F.col("frame_id") % 5 == 0, F.lit(', "x"')).otherwise(F.lit("")))
+    rows = rows.select((F.col("query_id") % 5).alias("archive"), name.alias("query_id"), "place", quoted.alias("video_id"), "frame_id")
+    made = submission.members(submission.archives(rows, "archive", "video_id", "frame_id"), "archive")
+    return made.select("archive", "name", F.md5("text").alias("digest"))
+
+
 def primary_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = evidence.primary_frames(boosted(spark, sf_dir), ["query_id"], max_videos=5, per_video=3, total=8)
     return rows.select("query_id", "position", "video_id", "frame_id", "final_score")
@@ -299,6 +309,7 @@ QUERIES = {
     "source_frame_dedup": source_frame_dedup,
     "kis_end_to_end": kis_end_to_end,
     "submission_rows": submission_rows,
+    "submission_archives": submission_archives,
     "primary_selection": primary_selection,
     "vqa_evidence": vqa_evidence,
     "fuzzy_terms": fuzzy_terms,
@@ -367,6 +378,9 @@ ORACLES = {
             WHERE e.n > 1 AND b.frame_id % 2 = 0)
         SELECT b.query_id, b.video_id, b.frame_id, b.final_score, coalesce(string_agg(n.frame_id::VARCHAR, ',' ORDER BY n.final_score DESC, n.frame_id), '') AS near
         FROM best b LEFT JOIN near n ON n.query_id = b.query_id AND n.video_id = b.video_id GROUP BY ALL""",
+    "submission_archives": _ALL + """SELECT query_id % 5 AS archive, 'submission/query-' || query_id || '-kis.csv' AS name,
+        md5(string_agg(CASE WHEN frame_id % 5 = 0 THEN chr(34) || video_id || ', ' || repeat(chr(34), 2) || 'x' || repeat(chr(34), 3) ELSE video_id END || ',' || frame_id || chr(10), '' ORDER BY rank)) AS digest
+        FROM final WHERE rank <= 100 GROUP BY query_id""",
     "bm25_fuzzy": f"""WITH asked AS (SELECT page_id AS query_id, unnest({_TOKENS}) AS term
           FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS text FROM pages)),
         toks AS (SELECT doc_id, {_TOKENS} AS t FROM documents),

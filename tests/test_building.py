@@ -1,10 +1,12 @@
 """The text and vector indexes, streams of ordered frames, near duplicates, models in batches, partitions, summaries and geometry."""
 
 import difflib
+import io
 import os
 import random
 import re
 import unicodedata
+import zipfile
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from keyloom.functions import encoders, geometry, recognisers
 from keyloom.operators import contracts, intervals, postings, ranking, staleness, summaries, text, variants, vector_index, vectors
-from keyloom.plans import building, retrieval
+from keyloom.plans import building, requests, retrieval, submission
 from keyloom.sources import partitions, shared, store
 from keyloom.streaming import ordered
 
@@ -403,3 +405,28 @@ def test_rollback_goes_back_more_than_once(spark, tmp_path):
     assert kept.read("t").count() == 2 and kept.rollback()["record_counts"] == {"t": 1} and kept.read("t").count() == 1
     with pytest.raises(store.NotPublished):
         kept.rollback()
+
+
+def test_archives_are_bounded_and_quoted(spark, monkeypatch):
+    rows = [(1, "q1-kis", 2, 'a,"b"', 7), (1, "q1-kis", 1, "plain", 8), (2, "q2-qa", 1, "new\nline", 9)]
+    df = spark.createDataFrame(rows, "archive int, query_id string, place int, video_id string, frame_id int")
+    made = submission.archives(df, "archive", "video_id", "frame_id")
+    assert sorted((r.archive, r.n_files, r.n_rows) for r in made.collect()) == [(1, 1, 2), (2, 1, 1)]
+    got = {(r.archive, r.name): r.text for r in submission.members(made, "archive").collect()}
+    assert got == {(1, "submission/q1-kis.csv"): 'plain,8\n"a,""b""",7\n', (2, "submission/q2-qa.csv"): '"new\nline",9\n'}
+    assert zipfile.ZipFile(io.BytesIO(submission.zipped(df.limit(0), "video_id"))).namelist() == []
+    monkeypatch.setattr(submission, "MOST_ROWS", 1)
+    with pytest.raises(contracts.ContractBroken, match="answers"):
+        submission.archives(df, "archive", "video_id")
+
+
+def test_policies_are_frozen_and_checked():
+    policy = requests.policy_from({"RANKING_SUMMARY_WEIGHT": "0.3", "RANKING_POLICY_NAME": "p"})
+    assert policy.summary_weight == 0.3 and policy.object_max_boost == 0.2
+    with pytest.raises(TypeError):
+        policy.weights["visual_dense"] = 2
+    for wrong in ({"summary_weight": float("nan")}, {"rrf_k": 0}, {"variants": {"q0": -1.0}}, {"object_soft_boost": True}):
+        with pytest.raises(ValueError):
+            requests.RankingPolicy(**wrong)
+    lines = requests.warnings(policy, {}, {}, [])
+    assert "ranking_policy=p:experimental" in lines and "summary_weight=0.3" in lines and len(lines) == len(set(lines)) == 9

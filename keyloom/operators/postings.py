@@ -1,20 +1,21 @@
 """An inverted index on Parquet: postings by term, in blocks of documents, with the most that a block adds to a score.
 
-`build` analyses every text once. Its tables:
-
-- blocks (block, ids, lengths): the documents of a block, in the order of their ids;
-- postings (bucket, term, block, docs, counts, share): documents of a block that hold a term, by their place in the
-  block, how often each does, and the largest saturation of these counts. Rows lie by bucket, a hash of the term,
-  sorted by term and block, and a term's rows by block, so that no row, file or task holds all documents of a frequent term;
-- terms (bucket, term, df) and corpus (n, words).
-
-`search` reads only rows of its terms. The shares alone bound what a query can score in a block. The blocks of the highest bounds
-are scored first; of the others only those whose bound reaches the k-th score that these gave.
+`build` analyses every text once and moves nothing between tasks. Its tables:
+
+- postings (bucket, term, block, df, docs, counts, tops, sizes): documents of a block that hold a term, by their place in the
+  block, how often each does, and of these counts, with the lengths of their documents, those that no shorter document reaches.
+  One of them has the largest saturation, whatever the average length. Rows lie by bucket, a hash of the term,
+  and in each file by term and block, so that no row, file or task holds all documents of a frequent term;
+- in the bucket BLOCKS of the same table (block, ids, lengths): the documents of a block, in the order of their ids;
+- corpus (n, words).
+
+`search` reads only rows of its terms, and counts the documents of a term over its blocks. The largest saturations alone bound what
+a query can score in a block. The blocks of the highest bounds are scored first; of the others only those whose bound reaches the
+k-th score that these gave. The driver gets the batch's terms as one Arrow table of at most MAX_TERMS rows, and no row of Python's.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -28,15 +29,17 @@ from pyspark.sql import functions as F
 from keyloom.sources import shared
 
 #: Goes up with every change of what is written, so that no older index is read.
-FORMAT = 2
+FORMAT = 3
 K1, B = 1.2, 0.75
 #: Documents of a block, tokens of a block at which it ends early, and buckets of terms.
 BLOCK, TOKENS, BUCKETS = 1024, 2_000_000, 64
+#: Bucket of the rows of blocks.
+BLOCKS = -1
 #: Blocks of a query that are scored first.
 SEEDS = 8
 #: (query, term) rows of one batch of queries, which every task gets; terms up to which they are pushed into the scan.
 MAX_TERMS, PUSHED, MAX_HALVINGS = 500_000, 1000, 40
-POSTINGS = "term string, block long, docs array<int>, counts array<int>, share double, bucket int"
+POSTINGS = "block long, term string, df int, docs array<int>, counts array<int>, tops array<int>, sizes array<int>"
 #: Room for the rounding of bounds.
 SLACK = 1e-6
 
@@ -50,6 +53,11 @@ def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, tokens) -> rows of blocks (term null) and of postings."""
     first = TaskContext.get().partitionId() << 32
 
+    def ends(values: np.ndarray, n: int) -> np.ndarray:
+        """Where the values of each of n terms start, the last end, and once more for the row of the block."""
+        found = np.searchsorted(values, np.arange(n + 1))
+        return np.r_[found, found[-1]].astype(np.int32)
+
     def block_of(parts: list[pa.Table], block: int) -> pa.RecordBatch:
         table = pa.concat_tables(parts).combine_chunks()
         table = table.take(pa.compute.sort_indices(table.column(0)))
@@ -60,11 +68,13 @@ def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         pair, times = np.unique(code * max(1, len(length)) + np.repeat(np.arange(len(length)), length), return_counts=True)
         of, doc = pair // max(1, len(length)), pair % max(1, len(length))
-        offsets = np.searchsorted(of, np.arange(len(coded.dictionary) + 1)).astype(np.int32)
-        lists = lambda values: pa.ListArray.from_arrays(
-            pa.array(np.r_[offsets, offsets[-1]].astype(np.int32)), pa.array(values.astype(np.int32))
-        )
         n = len(coded.dictionary)
+        # of a term's documents from the shortest on those of a higher count than all before them
+        order = np.lexsort((-times, length[doc], of))
+        high = times[order] + of[order] * (int(times.max(initial=0)) + 1)
+        front = order[np.r_[True, high[1:] > np.maximum.accumulate(high)[:-1]]] if len(order) else order
+        lists = lambda values, at: pa.ListArray.from_arrays(pa.array(at), pa.array(values.astype(np.int32)))
+        every, best = ends(of, n), ends(of[front], n)
         ids = table.column(0).combine_chunks()
         ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
         own = lambda values: pa.ListArray.from_arrays(
@@ -74,9 +84,11 @@ def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 pa.array(np.full(n + 1, block, np.int64)),
                 pa.concat_arrays([coded.dictionary.cast(pa.string()), pa.nulls(1, pa.string())]),
-                lists(doc), lists(times), lists(length[doc]), own(ids), own(pa.array(length.astype(np.int32))),
+                pa.array(np.diff(every)),
+                lists(doc, every), lists(times, every), lists(times[front], best), lists(length[doc[front]], best),
+                own(ids), own(pa.array(length.astype(np.int32))),
             ],
-            ["block", "term", "docs", "counts", "sizes", "ids", "lengths"],
+            ["block", "term", "df", "docs", "counts", "tops", "sizes", "ids", "lengths"],
         )
 
     block, parts, rows, held = first, [], 0, 0
@@ -95,66 +107,74 @@ def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block_of(parts, block)
 
 
+def _bucket():
+    return F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+def _blocks(spark: SparkSession, path: str) -> DataFrame:
+    """(block, ids, lengths) of an index."""
+    return spark.read.parquet(f"{path}/postings").filter(F.col("bucket") == BLOCKS).select("block", "ids", "lengths")
+
+
 def build(docs: DataFrame, path: str) -> None:
     """Write the index of docs (doc_id, tokens) to `path`. A null list has no tokens; its document counts all the same."""
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
-    raw_path = f"{path}/raw"
-    form = f"block long, term string, docs array<int>, counts array<int>, sizes array<int>, ids array<{kind}>, lengths array<int>"
-    docs.select("doc_id", "tokens").mapInArrow(_posted, form).write.parquet(raw_path)
-    raw = spark.read.schema(form).parquet(raw_path)
-    blocks, postings = raw.filter("term IS NULL").select("block", "ids", "lengths"), raw.filter("term IS NOT NULL")
+    rows = docs.select("doc_id", "tokens").mapInArrow(_posted, f"{POSTINGS}, ids array<{kind}>, lengths array<int>")
+    rows = rows.withColumn("bucket", F.when(F.col("term").isNull(), BLOCKS).otherwise(_bucket()))
+    # each task's own rows in order: nothing is moved, and a frequent term's blocks lie in the files of several tasks
+    rows.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
     words = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
-    corpus = blocks.agg(F.sum(F.size("ids")).alias("n"), F.sum(words).alias("words"), F.count("*").alias("blocks")).na.fill(0)
+    corpus = _blocks(spark, path).agg(F.sum(F.size("ids")).alias("n"), F.sum(words).alias("words"), F.count("*").alias("blocks")).na.fill(0)
     corpus.write.parquet(f"{path}/corpus")
-    blocks.write.parquet(f"{path}/blocks")
-    row = spark.read.parquet(f"{path}/corpus").first()
-    average = F.lit((row.words / row.n if row.n else 0) or 1.0)
-    share = F.array_max(F.zip_with("counts", "sizes", lambda count, size: saturation(count, size, average)))
-    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket")
-    # ranges of (bucket, term, block): a frequent term's blocks are dealt over several tasks and files
-    placed = postings.select(bucket, "term", "block", "docs", "counts", share.alias("share"))
-    placed = placed.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block")
-    placed.write.partitionBy("bucket").parquet(f"{path}/postings")
-    terms = postings.groupBy("term").agg(F.sum(F.size("docs")).alias("df")).select(bucket, "term", "df")
-    terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
-    shared.deleted(spark, raw_path)
 
 
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    """(bucket, term, df) of an index."""
-    return spark.read.parquet(f"{path}/terms")
-
-
-def _scored(weights: dict[str, list[tuple[int, float]]], average: float, k: int, kind: pa.DataType):
-    """Of a block: the k best of each query that asks for it, ties to the smaller id."""
-    names = ["query", "doc_id", "raw_score"]
+    """(term, df) of an index."""
+    postings = spark.read.parquet(f"{path}/postings").filter(F.col("bucket") != BLOCKS)
+    return postings.groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def _scored(asked: pa.Table, row, k: int, kind: pa.DataType):
+    """Of a block: the k best of each query that asks for it, ties to the smaller id. asked (query_id, term, qtf, df)."""
+    asked = asked.combine_chunks().sort_by([("term", "ascending"), ("query_id", "ascending")])
+    column = lambda c: asked.column(c).combine_chunks()
+    df = column("df").to_numpy(zero_copy_only=False)
+    weight = column("qtf").to_numpy(zero_copy_only=False) * np.log(1 + (row.n - df + 0.5) / (df + 0.5))
+    terms, ids = (pa.compute.unique(column(c)) for c in ("term", "query_id"))
+    first = np.searchsorted(pa.compute.index_in(column("term"), terms).to_numpy(), np.arange(len(terms) + 1))
+    query = pa.compute.index_in(column("query_id"), ids).to_numpy()
+    average = (row.words / row.n if row.n else 0) or 1.0
+    names = ["query_id", "doc_id", "raw_score"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found: tuple[list, list, list] = ([], [], [])
         if left.num_rows and right.num_rows:
-            ids, length = left.column("ids")[0].values, left.column("lengths")[0].values.to_numpy().astype(float)
-            row = {q: i for i, q in enumerate(sorted(left.column("queries")[0].as_py()))}
-            score = np.zeros((len(row), len(length)))
+            docs_ids, length = left.column("ids")[0].values, left.column("lengths")[0].values.to_numpy().astype(float)
+            of = pa.compute.sort_indices(left.column("queries")[0].values)
+            asking = left.column("queries")[0].values.take(of)
+            row = np.full(len(ids), -1)
+            row[pa.compute.index_in(asking, ids).to_numpy()] = np.arange(len(asking))
+            score = np.zeros((len(asking), len(length)))
+            right = right.sort_by("term")
             lists = [right.column(c).combine_chunks() for c in ("docs", "counts")]
             offsets = lists[0].offsets.to_numpy()
             docs, counts = (x.values.to_numpy() for x in lists)
-            order = sorted(zip(right.column("term").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
-            for term, a, b in order:
+            for term, a, b in zip(pa.compute.index_in(right.column("term"), terms).to_numpy(), offsets[:-1], offsets[1:], strict=True):
                 at = docs[a:b]
                 part = saturation(counts[a:b], length[at], average)
-                for q, weight in weights[term]:
-                    if q in row:
-                        score[row[q], at] += weight * part
+                rows = row[query[first[term] : first[term + 1]]]
+                wanted = rows >= 0
+                score[rows[wanted][:, None], at] += weight[first[term] : first[term + 1]][wanted][:, None] * part
             score = np.floor(score * 1e6 + 0.5) / 1e6
-            for q, i in row.items():
+            for i in range(len(asking)):
                 hit = np.nonzero(score[i] > 0)[0]
                 if len(hit) > k:
                     hit = hit[np.lexsort((hit, -score[i, hit]))[:k]]  # ids of a block ascend
-                for column, values in zip(found, ([q] * len(hit), hit.tolist(), score[i, hit].tolist()), strict=True):
-                    column.extend(values)
-            columns = [pa.array(found[0], pa.int32()), ids.take(pa.array(found[1], pa.int64())), pa.array(found[2], pa.float64())]
+                for values, more in zip(found, ([i] * len(hit), hit.tolist(), score[i, hit].tolist()), strict=True):
+                    values.extend(more)
+            columns = [asking.take(pa.array(found[0], pa.int64())), docs_ids.take(pa.array(found[1], pa.int64())), pa.array(found[2], pa.float64())]
             return pa.table(columns, names)
-        return pa.table([pa.array([], t) for t in (pa.int32(), kind, pa.float64())], names)
+        return pa.table([pa.array([], t) for t in (ids.type, kind, pa.float64())], names)
 
     return run
 
@@ -184,52 +204,45 @@ def _search(terms: DataFrame, path: str, k: int) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = terms.sparkSession
-    blocks = spark.read.parquet(f"{path}/blocks")
-    field = blocks.schema["ids"].dataType.elementType
-    asked = terms.collect()  # at most MAX_TERMS
-    wanted = spark.createDataFrame(sorted({(r.term,) for r in asked}), "term string")
-    known = vocabulary(spark, path).join(F.broadcast(wanted), "term", "left_semi").collect()  # at most MAX_TERMS
+    blocks = _blocks(spark, path)
+    field, asking = blocks.schema["ids"].dataType.elementType, terms.schema["query_id"].dataType.simpleString()
     corpus = spark.read.parquet(f"{path}/corpus").first()
     average = (corpus.words / corpus.n if corpus.n else 0) or 1.0
-    idf = {r.term: float(np.log(1 + (corpus.n - r.df + 0.5) / (r.df + 0.5))) for r in known}
-    ids = sorted({r.query_id for r in asked if r.term in idf})
-    number, weights = {q: i for i, q in enumerate(ids)}, defaultdict(list)
-    for r in asked:
-        if r.term in idf:
-            weights[r.term].append((number[r.query_id], r.qtf * idf[r.term]))
-    names = spark.createDataFrame(list(enumerate(ids)), f"query int, query_id {terms.schema['query_id'].dataType.simpleString()}")
-    of_terms = spark.createDataFrame(
-        [(t, q, w) for t, pairs in sorted(weights.items()) for q, w in pairs], "term string, query int, weight double"
-    )
-
-    postings = spark.read.schema(POSTINGS).parquet(f"{path}/postings").filter(F.col("bucket").isin(sorted({r.bucket for r in known})))
-    if len(weights) <= PUSHED:
-        postings = postings.filter(F.col("term").isin(sorted(weights)))
+    wanted = terms.select("term", _bucket()).distinct()
+    few = wanted.limit(PUSHED + 1).collect()
+    postings = spark.read.schema(f"{POSTINGS}, bucket int").parquet(f"{path}/postings").filter(F.col("bucket") != BLOCKS)
+    if len(few) <= PUSHED:
+        postings = postings.filter(F.col("bucket").isin(sorted({r.bucket for r in few})) & F.col("term").isin(sorted({r.term for r in few})))
     else:
-        known_terms = spark.createDataFrame([(t,) for t in sorted(weights)], "term string")
-        postings = postings.join(F.broadcast(known_terms), "term", "left_semi")  # at most MAX_TERMS
-    bounds = postings.select("term", "block", "share").join(F.broadcast(of_terms), "term")  # at most MAX_TERMS
-    bounds = bounds.groupBy("query", "block").agg((F.sum(F.col("weight") * F.col("share")) * (1 + SLACK) + SLACK).alias("most"))
-    by_bound = Window.partitionBy("query").orderBy(F.desc("most"), "block")
-    best = Window.partitionBy("query").orderBy(F.desc("raw_score"), "doc_id")
-    score = _scored(dict(weights), average, k, to_arrow_type(field))
+        postings = postings.join(F.broadcast(wanted.select("term")), "term", "left_semi")  # at most MAX_TERMS
+    shares = shared.written(postings.select("term", "block", "df", "tops", "sizes"), "shares")
+    dfs = shares.groupBy("term").agg(F.sum("df").alias("df"))
+    known = shared.written(terms.join(dfs, "term").select("query_id", "term", "qtf", "df"), "known")
+    score = _scored(known.toArrow(), corpus, k, to_arrow_type(field))  # at most MAX_TERMS rows
+
+    weight = F.col("qtf") * F.log(1 + (F.lit(corpus.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    share = F.array_max(F.zip_with("tops", "sizes", lambda count, size: saturation(count, size, average)))
+    bounds = shares.select("term", "block", share.alias("share")).join(known.select("term", "query_id", weight.alias("weight")), "term")
+    bounds = bounds.groupBy("query_id", "block").agg((F.sum(F.col("weight") * F.col("share")) * (1 + SLACK) + SLACK).alias("most"))
+    by_bound = Window.partitionBy("query_id").orderBy(F.desc("most"), "block")
+    best = Window.partitionBy("query_id").orderBy(F.desc("raw_score"), "doc_id")
 
     def scored(pairs: DataFrame) -> DataFrame:
-        need = pairs.groupBy("block").agg(F.collect_list("query").alias("queries"))  # a block's queries, of one batch
+        need = pairs.groupBy("block").agg(F.collect_list("query_id").alias("queries"))  # a block's queries, of one batch
         left = blocks.join(need, "block")
         right = postings.select("term", "block", "docs", "counts").join(need.select(F.col("block")), "block", "left_semi")
         met = left.groupBy("block").cogroup(right.groupBy("block"))
-        found = met.applyInArrow(score, f"query int, doc_id {field.simpleString()}, raw_score double")
+        found = met.applyInArrow(score, f"query_id {asking}, doc_id {field.simpleString()}, raw_score double")
         return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
     bounds = shared.written(bounds, "bounds")
-    first = bounds.withColumn("nth", F.row_number().over(by_bound)).filter(F.col("nth") <= SEEDS).select("query", "block")
+    first = bounds.withColumn("nth", F.row_number().over(by_bound)).filter(F.col("nth") <= SEEDS).select("query_id", "block")
     seeds = shared.written(scored(first), "seeds")
-    floor = seeds.filter(F.col("rank") == k).select("query", F.col("raw_score").alias("floor"))
-    rest = bounds.join(F.broadcast(floor), "query", "left").filter(F.col("most") >= F.coalesce("floor", F.lit(0.0)))  # one row a query
-    rest = rest.join(F.broadcast(first), ["query", "block"], "left_anti").select("query", "block")  # SEEDS rows a query
+    floor = seeds.filter(F.col("rank") == k).select("query_id", F.col("raw_score").alias("floor"))
+    rest = bounds.join(F.broadcast(floor), "query_id", "left").filter(F.col("most") >= F.coalesce("floor", F.lit(0.0)))  # one row a query
+    rest = rest.join(F.broadcast(first), ["query_id", "block"], "left_anti").select("query_id", "block")  # SEEDS rows a query
     top = seeds
     if rest.limit(1).count():
         both = seeds.drop("rank").unionByName(scored(rest).drop("rank"))
         top = both.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return top.join(F.broadcast(names), "query").select("query_id", "doc_id", "raw_score", "rank")  # one row a query
+    return top.select("query_id", "doc_id", "raw_score", "rank")

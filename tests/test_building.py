@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from keyloom.functions import encoders, geometry, recognisers
 from keyloom.operators import contracts, intervals, postings, ranking, staleness, summaries, text, variants, vector_index, vectors
-from keyloom.plans import building, requests, retrieval, submission
+from keyloom.plans import building, requests, retrieval, search, submission
 from keyloom.sources import partitions, shared, store
 from keyloom.streaming import ordered
 
@@ -77,6 +77,39 @@ def test_index_search_reads_partitions_of_its_terms_only(spark, corpus):
     assert largest <= postings.BLOCK
 
 
+def test_index_keeps_counts_that_no_shorter_document_reaches(spark, corpus):
+    path = shared.fresh(spark, "test-index")
+    text.index(corpus[2], path)
+    toks = {i: re.findall(r"\w+", (t or "").lower()) for i, t in corpus[0]}
+    rows = spark.read.parquet(f"{path}/postings").filter("bucket >= 0").collect()
+    blocks = {r.block: r for r in spark.read.parquet(f"{path}/postings").filter("bucket < 0").collect()}
+    assert sum(r.df for r in rows if r.term == "w1") == sum("w1" in t for t in toks.values()) and not os.path.exists(f"{path}/terms")
+    for r in rows:
+        own = [(c, len(toks[blocks[r.block].ids[d]])) for d, c in zip(r.docs, r.counts, strict=True)]
+        for average in (1.0, 40.0, 900.0):
+            most = max(postings.saturation(c, n, average) for c, n in own)
+            assert most == max(postings.saturation(c, n, average) for c, n in zip(r.tops, r.sizes, strict=True))
+
+
+def test_terms_of_a_batch_are_no_rows_of_the_driver(spark, monkeypatch, corpus):
+    rows, asked, docs, queries = corpus
+    path = shared.fresh(spark, "test-index")
+    text.index(docs, path)
+    monkeypatch.setattr(postings, "PUSHED", 1)
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *a, **k: pytest.fail("terms go through the driver as rows"))
+    collect, seen = type(queries).collect, []
+    monkeypatch.setattr(type(queries), "collect", lambda df: (seen.append(collect(df)), seen[-1])[1])
+    found = text.search(queries, path, 5)
+    monkeypatch.undo()
+    assert max(map(len, seen)) <= 2
+    assert {r.query_id for r in found.collect()} == set(bm25(asked, rows, 5))
+
+
+def test_hits_of_all_branches_are_searched_once(spark, sf_dir):
+    hits = search.branch_hits(spark, sf_dir)
+    assert hits.inputFiles() and all("/hits-" in f for f in hits.inputFiles())
+
+
 def test_many_query_terms_are_searched_in_parts(spark, monkeypatch, corpus):
     monkeypatch.setattr(postings, "MAX_TERMS", 8)
     rows, asked, docs, _ = corpus

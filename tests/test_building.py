@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from keyloom.functions import encoders, geometry, recognisers
+from keyloom.functions import encoders, geometry, recognisers, strings
 from keyloom.operators import contracts, intervals, postings, ranking, staleness, summaries, text, variants, vector_index, vectors
 from keyloom.plans import building, requests, retrieval, search, submission
 from keyloom.sources import partitions, shared, store
@@ -110,6 +110,21 @@ def test_hits_of_all_branches_are_searched_once(spark, sf_dir):
     assert hits.inputFiles() and all("/hits-" in f for f in hits.inputFiles())
 
 
+def test_summary_splits_no_more_than_it_keeps_and_not_once_a_word(spark):
+    rows = [(" " + " ".join(f"w{i}{'.' * (i == e)}" for i in range(n)) + "\n",) for n in (0, 1, 100, 101, 179, 180, 181, 182, 183, 400) for e in (-1, 99, 100, 150, 179, 180, 181)]
+
+    def plain(t):
+        w = t.split()
+        ends = [i for i in range(101, 181) if i <= len(w) and w[i - 1].endswith(".")]
+        return " ".join(w if len(w) <= 180 else w[: max(ends, default=180)])
+
+    df = spark.createDataFrame(rows, "t string")
+    got = df.select("t", strings.extract_summary(F.col("t")).alias("s"))
+    assert all(r.s == plain(r.t) for r in got.collect())
+    plan = got._jdf.queryExecution().toString()
+    assert ", 183)" in plan and ", -1)" not in plan
+
+
 def test_many_query_terms_are_searched_in_parts(spark, monkeypatch, corpus):
     monkeypatch.setattr(postings, "MAX_TERMS", 8)
     rows, asked, docs, _ = corpus

@@ -734,3 +734,12 @@ def test_repeated_rows_are_dealt_over_salts_and_ranges(spark, monkeypatch):
     assert put.count() == 20_500
     slots = put.groupBy("shard").agg(F.max("slot").alias("m"), F.countDistinct("slot").alias("n"), F.sum("size").alias("s")).collect()
     assert all(r.m + 1 == r.n for r in slots) and max(r.s for r in slots) - min(r.s for r in slots) < 3000
+
+
+def test_jaccard_bucket_goes_to_few_pairs_of_blocks(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(2000).select(F.col("id").cast("string").cast("binary").alias("node"), F.lit(2000).alias("count"))
+    short, long = (jaccard_join._in_blocks(rows.withColumn("volume", F.lit(v))) for v in (100_000, 4 * jaccard_join.GRAMS))
+    assert short.count() == 2 * 2000  # not once for each of eight blocks
+    assert long.count() == 4 * 2000 and long.select("block").distinct().count() == 4

@@ -19,13 +19,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.stage import written
+from keyloom.llm.stage import give_back, lean, written
 
 AVG_WORDS = 3
 MIN_WORDS = 26
@@ -34,7 +33,7 @@ MAX_WORDS = 64
 GEAR = np.array([xxhash.xxh3_64_intdigest(bytes([b]), seed=7) & 0xFFFF for b in range(256)], np.uint16)
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
-BATCH = 2_000_000
+BATCH = 500_000
 #: A window's digest: 64 bits by which documents find their windows again, 16 more against collisions in the corpus.
 MARK = np.dtype([("digest", "<i8"), ("check", "<i2"), ("rest", "V6")])
 
@@ -166,7 +165,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     of `docs` named `dedup` is replaced.
     """
     keyed = docs.select(F.struct("*").alias("row"), document_key().alias("key"))
-    held = keyed.select("key", F.col("row.text").alias("text")).mapInArrow(_emit(min_words), "digest long, check short, key long")
+    held = keyed.select("key", F.col("row.text").alias("text")).mapInArrow(lean(_emit(min_words)), "digest long, check short, key long")
     again = written(
         held.groupBy("digest", "check")
         .agg(F.min("key").alias("owner"), F.max("key").alias("last"))
@@ -181,16 +180,20 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .agg(F.collect_set("digest").alias("foreign"))
     )
 
-    @F.pandas_udf("text string, n_chunks int, removed array<struct<start:int,end:int>>")
-    def stripped(text: pd.Series, foreign: pd.Series) -> pd.DataFrame:
-        rows = [strip(t, f, min_words) for t, f in zip(text, foreign, strict=True)]
-        return pd.DataFrame(
-            {
-                "text": [r[0] for r in rows],
-                "n_chunks": [r[1] for r in rows],
-                "removed": [[{"start": a, "end": b} for a, b in r[2]] for r in rows],
-            }
-        )
+    @F.arrow_udf("text string, n_chunks int, removed array<struct<start:int,end:int>>")
+    def stripped(text: pa.Array, foreign: pa.Array) -> pa.Array:
+        left, n, spans, upto = [], [], [], [0]
+        for t, f in zip(text, foreign, strict=True):
+            one, chunks_of, removed = strip(t.as_py(), f.values.to_numpy() if f.is_valid else None, min_words)
+            left.append(one)
+            n.append(chunks_of)
+            spans += removed
+            upto.append(len(spans))
+        ends = np.array(spans, np.int32).reshape(-1, 2)
+        both = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(ends[:, i])) for i in (0, 1)], ["start", "end"])
+        columns = [pa.array(left, pa.string()), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), both)]
+        give_back()
+        return pa.StructArray.from_arrays(columns, ["text", "n_chunks", "removed"])
 
     found = keyed.join(foreign, "key", "left").select("row", stripped("row.text", "foreign").alias("new"))
     columns = [F.col(f"row.`{c}`").alias(c) if c != "text" else F.col("new.text").alias("text") for c in docs.columns if c != "dedup"]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.llm.chunk_dedup import SPACE
-from keyloom.llm.stage import written
+from keyloom.llm.stage import give_back, lean, written
 
 #: Labelled documents that a model is fitted on, at most.
 SAMPLE = 4000
@@ -35,7 +35,7 @@ STEPS = 150
 RATE = 0.1
 PENALTY = 1e-4
 #: Bytes of text worked on at once.
-SLICE = 1_000_000
+SLICE = 250_000
 
 
 def _classes() -> np.ndarray:
@@ -267,7 +267,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
                 raw = [p[:n].astype(np.float16).tobytes() for p, n in zip(np.split(x, cut), take, strict=True)]
                 yield pa.RecordBatch.from_arrays([ids, label, pa.array(raw, pa.binary())], ["doc_id", "label", "x"])
 
-    rows = chosen.select(F.col("doc_id").cast("long"), "text", "label", "take").mapInArrow(run, "doc_id long, label int, x binary")
+    rows = chosen.select(F.col("doc_id").cast("long"), "text", "label", "take").mapInArrow(lean(run), "doc_id long, label int, x binary")
     got = sorted(rows.collect(), key=lambda r: (r.doc_id, bytes(r.x)))
     if not got:
         if usable.limit(1).count() and docs.limit(1).count():
@@ -285,12 +285,10 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
     gives no rows. A column of `docs` named `score` is replaced.
     """
 
-    @F.pandas_udf("double")
-    def of(text):
-        import pandas as pd
-
-        column = pa.array(text, pa.string(), from_pandas=True)
-        out = [scores(field, *line_features(data, ends)) for data, ends in _slices(column)]
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+    @F.arrow_udf("double")
+    def of(text: pa.Array) -> pa.Array:
+        out = [scores(field, *line_features(data, ends)) for data, ends in _slices(text)]
+        give_back()
+        return pa.array(np.concatenate(out) if out else np.zeros(0))
 
     return docs.withColumn("score", of(F.col("text")))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.stage import written
+from keyloom.llm.stage import give_back, lean, written
 
 CAPACITY = 2048
 ROWS_PER_SALT = 250_000
@@ -41,7 +41,7 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 #: Characters above which ids are held as an array from the start.
 LONG_TEXT = 1_000_000
 #: A batch of token ids that a task hands back, in bytes.
-OUT_BYTES = 16_000_000
+OUT_BYTES = 4_000_000
 
 
 @lru_cache(maxsize=2)
@@ -65,7 +65,11 @@ def encoder(path: str):
     ranks = {bytes(shown[c] for c in token): i for token, i in vocabulary.items() if all(c in shown for c in token)}
     special = {token for token in vocabulary if token.startswith("<|") and token.endswith("|>")}
     ranks = {token: i for token, i in ranks.items() if token.decode("latin-1") not in special}
-    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in added})
+    special_tokens = {t["content"]: t["id"] for t in added}
+    del file, vocabulary, added
+    made = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special_tokens)
+    give_back()
+    return made
 
 
 def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0, added: bool = False) -> DataFrame:
@@ -110,7 +114,7 @@ def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0,
         )
 
     narrow = docs.select(F.col("doc_id").cast("long"), "text")
-    return narrow.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    return narrow.mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids binary")
 
 
 # ---- the plan, on runs of bins ----

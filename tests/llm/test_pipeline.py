@@ -83,3 +83,26 @@ def test_empty(spark, sf_dir):
     docs = documents(spark, []).limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+def test_a_worker_keeps_no_memory_that_a_batch_has_freed():
+    import re
+    from pathlib import Path
+
+    import pyarrow as pa
+
+    from keyloom.llm.stage import lean
+
+    held = lambda: int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) // 1024
+    kept = []
+
+    def run(batches):
+        for batch in batches:
+            small = [bytes(1000) for _ in range(150_000)]
+            kept.append(bytes(1000))  # above all others: nothing below it goes back by itself
+            del small
+            yield batch
+
+    before = held()
+    assert sum(b.num_rows for b in lean(run)(iter([pa.record_batch({"x": [1, 2]})] * 2))) == 4
+    assert held() - before < 50, "MB"

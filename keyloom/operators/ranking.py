@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from keyloom.operators.contracts import require_none
@@ -124,20 +124,24 @@ def apply_boost(frames: DataFrame, boosts: DataFrame, on: list[str]) -> DataFram
     return new.withColumn("final_score", F.col("_base") + F.col("boost")).drop("_base")
 
 
-def _short(constraints: DataFrame) -> DataFrame:
-    if constraints.limit(MAX_CONSTRAINTS + 1).count() > MAX_CONSTRAINTS:
+def _short(constraints: DataFrame) -> list[Row]:
+    rows = constraints.limit(MAX_CONSTRAINTS + 1).collect()
+    if len(rows) > MAX_CONSTRAINTS:
         raise ValueError(f"a query has at most {MAX_CONSTRAINTS} constraints")
-    return F.broadcast(constraints)
+    return rows
 
 
 def object_counts(objects: DataFrame, constraints: DataFrame, on: str = "frame_id") -> DataFrame:
-    """(on, constraint_id, found): objects of the constraint's label with its least confidence or more.
+    """(on, found): for each constraint, in their order, the objects of its label with its least confidence or more; one row a frame.
 
-    constraints (constraint_id, label, min_confidence, ...) is a query's short list: its length is checked, then it is broadcast.
+    constraints (label, min_confidence, ...) is a query's short list, of checked length.
     """
-    c = _short(constraints.select("constraint_id", F.col("label").alias("_label"), "min_confidence"))
-    hit = (F.col("label") == F.col("_label")) & (F.col("confidence") >= F.col("min_confidence"))
-    return objects.join(c, hit).groupBy(on, "constraint_id").agg(F.count("*").alias("found"))
+    return _object_counts(objects, _short(constraints), on)
+
+
+def _object_counts(objects: DataFrame, wanted: list[Row], on: str) -> DataFrame:
+    hit = lambda c: (F.col("label") == F.lit(c.label)) & (F.col("confidence") >= F.lit(c.min_confidence))
+    return objects.groupBy(on).agg(F.array(*(F.count_if(hit(c)) for c in wanted)).alias("found"))
 
 
 def satisfied(op: Column, found: Column, wanted: Column) -> Column:
@@ -153,12 +157,13 @@ def constrain(
 
     constraints (constraint_id, label, op, cnt, min_confidence, mode): a short list.
     """
-    counts = object_counts(objects, constraints, on)
-    each = frames.join(_short(constraints)).join(counts, [on, "constraint_id"], "left")
-    ok = satisfied(F.col("op"), F.coalesce("found", F.lit(0)), F.col("cnt"))
-    hard, soft = F.col("mode") == "HARD", F.col("mode") == "SOFT"
-    judged = each.groupBy(*frames.columns).agg(
-        F.count(F.when(hard & ~ok, 1)).alias("_broken"), F.count(F.when(soft & ok, 1)).alias("_soft")
+    wanted = _short(constraints)
+    counts = _object_counts(objects, wanted, on).withColumnRenamed("found", "_found")
+    ok = [satisfied(F.lit(c.op), F.coalesce(F.col("_found")[i], F.lit(0)), F.lit(c.cnt)) for i, c in enumerate(wanted)]
+    times = lambda mode, held: sum((F.when(held(o), 1).otherwise(0) for o, c in zip(ok, wanted, strict=True) if c["mode"] == mode), F.lit(0))
+    # one row a frame on both sides, whatever the number of constraints
+    judged = frames.join(counts, on, "left").select(
+        *frames.columns, times("HARD", lambda o: ~o).alias("_broken"), times("SOFT", lambda o: o).alias("_soft")
     )
     boost = F.least(F.lit(cap), F.col("_soft") * per_hit)
     return judged.filter(F.col("_broken") == 0).withColumn("object_boost", boost).drop("_broken", "_soft")

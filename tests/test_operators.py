@@ -324,3 +324,15 @@ def test_counting_encoder_of_repeated_and_missing_words(spark):
     got = {r.id: r.v for r in texts.select("id", encoders.encode(F.col("text"), encoders.counting_encoder(16)).alias("v")).collect()}
     assert got[1] == got[4] and sorted(x for x in got[1] if x) == [56.0, 113.0]  # floor(127 / sqrt(5)), floor(254 / sqrt(5))
     assert set(got[2]) == set(got[3]) == {0.0}
+
+
+def test_constraints_take_one_row_a_frame(spark):
+    kinds = "constraint_id int, label string, op string, cnt int, min_confidence double, mode string"
+    frames = spark.range(6).select(F.col("id").cast("int").alias("frame_id"))
+    objects = spark.createDataFrame([(i % 6, "ab"[i % 2], i / 20) for i in range(20)], "frame_id int, label string, confidence double")
+    rules = spark.createDataFrame([(1, "a", "gte", 1, 0.1, "HARD"), (2, "b", "lte", 0, 0.1, "SOFT"), (3, "a", "eq", 3, 0.3, "SOFT")], kinds)
+    out = ranking.constrain(frames, objects, rules, 0.1, 0.15)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("Aggregate") == 1
+    # of frames 0, 2, 4 the objects of label a: 0, .3, .6, .9; .1, .4, .7; .2, .5, .8
+    assert sorted(tuple(r) for r in out.select("frame_id", F.round("object_boost", 6)).collect()) == [(0, 0.15), (2, 0.1), (4, 0.1)]

@@ -1,6 +1,7 @@
 """An inverted index on Parquet: postings by term, in blocks of documents, with the most that a block adds to a score.
 
-`build` analyses every text once and moves nothing between tasks. Its tables:
+`build` analyses every text once and moves nothing between tasks. An index of `only` the terms of a batch answers that batch
+with the same scores, as documents, lengths and counts are those of all texts; the terms of nobody's query are then never written. Its tables:
 
 - postings (bucket, term, block, df, docs, counts, tops, sizes): documents of a block that hold a term, by their place in the
   block, how often each does, and of these counts, with the lengths of their documents, those that no shorter document reaches.
@@ -16,7 +17,7 @@ k-th score that these gave. The driver gets the batch's terms as one Arrow table
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -40,6 +41,8 @@ SEEDS = 8
 #: (query, term) rows of one batch of queries, which every task gets; terms up to which they are pushed into the scan.
 MAX_TERMS, PUSHED, MAX_HALVINGS = 500_000, 1000, 40
 POSTINGS = "block long, term string, df int, docs array<int>, counts array<int>, tops array<int>, sizes array<int>"
+#: Bytes of texts that are analysed at once.
+SLICE = 16_000_000
 #: Room for the rounding of bounds.
 SLACK = 1e-6
 
@@ -49,8 +52,25 @@ def saturation(count, length, average):
     return count * (K1 + 1) / (count + K1 * (1 - B + B * length / average))
 
 
-def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, tokens) -> rows of blocks (term null) and of postings."""
+def _analysed(batches: Iterator[pa.RecordBatch], tokens: Callable[[pa.Array], pa.ListArray]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, tokens) -> (doc_id, tokens), about SLICE bytes of texts at a time. Tokens that are given stand."""
+    for batch in batches:
+        ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, side="right")))
+            part = batch.slice(at, to - at)
+            found, given = tokens(part.column(1)), part.column(2)
+            if given.null_count < len(given):
+                row = np.arange(len(given))
+                row = np.where(given.is_valid().to_numpy(zero_copy_only=False), row + len(given), row)
+                found = pa.concat_arrays([found, given.cast(found.type)]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([part.column(0), found], ["doc_id", "tokens"])
+            at = to
+
+
+def _posted(batches: Iterator[pa.RecordBatch], only: pa.Array | None) -> Iterator[pa.RecordBatch]:
+    """(doc_id, tokens) -> rows of blocks (term null) and of postings, of `only` these terms if they are given."""
     first = TaskContext.get().partitionId() << 32
 
     def ends(values: np.ndarray, n: int) -> np.ndarray:
@@ -65,10 +85,16 @@ def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = tokens.chunk(0) if isinstance(tokens, pa.ChunkedArray) else tokens
         length = np.diff(tokens.offsets.to_numpy())
         coded = tokens.flatten().dictionary_encode()
-        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        pair, times = np.unique(code * max(1, len(length)) + np.repeat(np.arange(len(length)), length), return_counts=True)
+        code, terms = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+        place = np.repeat(np.arange(len(length)), length)
+        if only is not None:
+            asked = pa.compute.is_in(terms, value_set=only)
+            known = asked.to_numpy(zero_copy_only=False)
+            at, terms = known[code], terms.filter(asked)
+            code, place = (np.cumsum(known) - 1)[code[at]], place[at]
+        pair, times = np.unique(code * max(1, len(length)) + place, return_counts=True)
         of, doc = pair // max(1, len(length)), pair % max(1, len(length))
-        n = len(coded.dictionary)
+        n = len(terms)
         # of a term's documents from the shortest on those of a higher count than all before them
         order = np.lexsort((-times, length[doc], of))
         high = times[order] + of[order] * (int(times.max(initial=0)) + 1)
@@ -83,7 +109,7 @@ def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(np.full(n + 1, block, np.int64)),
-                pa.concat_arrays([coded.dictionary.cast(pa.string()), pa.nulls(1, pa.string())]),
+                pa.concat_arrays([terms.cast(pa.string()), pa.nulls(1, pa.string())]),
                 pa.array(np.diff(every)),
                 lists(doc, every), lists(times, every), lists(times[front], best), lists(length[doc[front]], best),
                 own(ids), own(pa.array(length.astype(np.int32))),
@@ -116,13 +142,20 @@ def _blocks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/postings").filter(F.col("bucket") == BLOCKS).select("block", "ids", "lengths")
 
 
-def build(docs: DataFrame, path: str) -> None:
-    """Write the index of docs (doc_id, tokens) to `path`. A null list has no tokens; its document counts all the same."""
+def build(docs: DataFrame, path: str, tokens: Callable[[pa.Array], pa.ListArray], only: pa.Array | None = None) -> None:
+    """Write the index of docs (doc_id, text, tokens) to `path`, of `only` these terms if they are given.
+
+    `tokens` gives the tokens of an array of texts, none for a null one; those in the column of that name stand instead. A document
+    without tokens counts all the same.
+    """
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "tokens").mapInArrow(_posted, f"{POSTINGS}, ids array<{kind}>, lengths array<int>")
+    posted = lambda batches: _posted(_analysed(batches, tokens), only)
+    rows = docs.select("doc_id", "text", "tokens").mapInArrow(posted, f"{POSTINGS}, ids array<{kind}>, lengths array<int>")
     rows = rows.withColumn("bucket", F.when(F.col("term").isNull(), BLOCKS).otherwise(_bucket()))
     # each task's own rows in order: nothing is moved, and a frequent term's blocks lie in the files of several tasks
-    rows.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
+    out = rows.sortWithinPartitions("bucket", "term", "block").write
+    # a batch reads all of an index of its terms, so one file of a task does for it
+    (out if only is not None else out.partitionBy("bucket")).parquet(f"{path}/postings")
     words = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
     corpus = _blocks(spark, path).agg(F.sum(F.size("ids")).alias("n"), F.sum(words).alias("words"), F.count("*").alias("blocks")).na.fill(0)
     corpus.write.parquet(f"{path}/corpus")

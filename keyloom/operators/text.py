@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Callable
+from functools import cache, lru_cache
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.operators import postings
@@ -39,6 +45,55 @@ def analyse(text: Column) -> Column:
     return F.regexp_extract_all(plain, F.lit(TOKEN), F.lit(0))
 
 
+#: ASCII as `analyse` has it: small letters and digits, anything else ends a token. The bytes of other characters stay.
+ASCII = bytes(c + 32 if chr(c).isupper() else c if c > 127 or chr(c).isalnum() else 32 for c in range(128)) + bytes(range(128, 256))
+#: Texts with these stay with `analyse`: the small letter of Σ hangs on its neighbours, and `letters` leaves out what lies beyond U+FFFF.
+ODD = r"[\x{03A3}\x{10000}-\x{10FFFF}]"
+
+
+class _Letters(dict):
+    """What becomes of a character; those that are not named end a token."""
+
+    def __missing__(self, code: int) -> str:
+        return " "
+
+
+@cache
+def letters(spark: SparkSession) -> _Letters:
+    """What `analyse` makes of each character of U+0080 to U+FFFF, asked of itself: none for a mark, one letter or two."""
+    code = spark.range(0x80, 0x10000).filter(~F.col("id").between(0xD800, 0xDFFF))
+    char = F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE")
+    inside = F.array_join(analyse(F.concat(F.lit("a"), char, F.lit("b"))), " ")
+    found = code.select("id", F.substr(inside, F.lit(2), F.length(inside) - 2).alias("to")).filter(F.col("to") != " ").toArrow()
+    return _Letters(zip(found.column("id").to_pylist(), found.column("to").to_pylist(), strict=True))
+
+
+def prepared(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, tokens) of docs (doc_id, text): the text for `splitter`, or its tokens if it holds odd characters."""
+    text = F.col("text")
+    plain = (F.length(text) == F.octet_length(text)) | ~F.rlike(text, F.lit(ODD))
+    return docs.select("doc_id", F.when(plain, text).alias("text"), F.when(~plain, analyse(text)).alias("tokens"))
+
+
+def splitter(known: _Letters) -> Callable[[pa.Array], pa.ListArray]:
+    """What `analyse` gives for texts without odd characters, for an array of them at once: their bytes are parted together."""
+
+    def tokens(texts: pa.Array) -> pa.ListArray:
+        fold = lru_cache(100_000)(lambda run: run.translate(known))
+        rows = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
+        rows = [t if t.isascii() else re.sub(r"[^\x00-\x7f]+", lambda m: fold(m[0]), t.decode("utf-8", "replace")).encode() for t in rows]
+        data = np.frombuffer(b" ".join([*rows, b""]).translate(ASCII), np.uint8)
+        inside = data != 32
+        edges = np.flatnonzero(np.diff(inside, prepend=False))  # every row ends with a space, so these are starts and ends in turn
+        starts, length = edges[0::2], edges[1::2] - edges[0::2]
+        offsets = np.r_[0, np.cumsum(length)].astype(np.int32)
+        words = pa.StringArray.from_buffers(len(length), pa.py_buffer(offsets), pa.py_buffer(data[inside]))
+        ends = np.cumsum([len(t) + 1 for t in rows], dtype=np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(starts, np.r_[0, ends]).astype(np.int32)), words)
+
+    return tokens
+
+
 def query_terms(queries: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """(query_id, term, qtf): the terms of each query; a term that it repeats counts once for each time.
 
@@ -55,9 +110,20 @@ def query_terms(queries: DataFrame, vocabulary: DataFrame | None = None) -> Data
     return terms.join(near, "term").groupBy("query_id", F.col("word").alias("term")).agg(F.sum(F.col("qtf") * F.col("boost")).alias("qtf"))
 
 
-def index(docs: DataFrame, path: str) -> None:
-    """Write the inverted index of docs (doc_id, text): every text is analysed once. Null texts have no tokens."""
-    postings.build(docs.select("doc_id", analyse(F.col("text")).alias("tokens")), path)
+def index(docs: DataFrame, path: str, only: pa.Array | None = None) -> None:
+    """Write the inverted index of docs (doc_id, text): every text is analysed once. Null texts have no tokens.
+
+    With `only`, the terms of a batch of queries, it holds these alone and answers that batch.
+    """
+    known = letters(docs.sparkSession)
+    postings.build(prepared(docs), path, splitter(known), only)
+
+
+def terms_of(queries: DataFrame) -> pa.Array | None:
+    """The different terms of a batch in order; None if they are too many to go to every task."""
+    terms = query_terms(queries).select("term").distinct()
+    found = terms.limit(postings.MAX_TERMS + 1).toArrow().column("term").combine_chunks()
+    return found.take(pa.compute.sort_indices(found)) if len(found) <= postings.MAX_TERMS else None
 
 
 def search(queries: DataFrame, path: str, k: int, fuzzy: bool = False) -> DataFrame:
@@ -71,10 +137,10 @@ def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int, fuzzy: bool = False)
 
     queries (query_id, text) match a document if they share a token, or with `fuzzy` one within the edit distance that
     it allows. idf = ln(1 + (N - df + 0.5) / (df + 0.5)). Null texts have no tokens; no matches give no rows. The texts are
-    indexed first; where many batches search the same texts, keep the index (`index`, `search`).
+    indexed first, for the terms of these queries; where many batches search the same texts, keep an index of all (`index`, `search`).
     """
     path = shared.fresh(docs.sparkSession, "bm25")
-    index(docs, path)
+    index(docs, path, None if fuzzy else terms_of(queries))
     return search(queries, path, k, fuzzy)
 
 

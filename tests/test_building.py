@@ -65,6 +65,39 @@ def test_index_gives_the_rows_of_the_formula(spark, monkeypatch, corpus, block,
     assert lists == bm25(asked, rows, 5)
 
 
+def test_a_batch_indexes_its_own_terms_only(spark, tmp_path, corpus):
+    rows, asked, docs, queries = corpus
+    docs.repartition(3).write.parquet(str(tmp_path / "docs"))
+    docs, whole = spark.read.parquet(str(tmp_path / "docs")), shared.fresh(spark, "test-index")
+    path = retrieval.batch_index(docs, "test-batch", queries)
+    kept = spark.read.parquet(f"{path}/postings")
+    terms = {r.term for r in kept.filter("bucket >= 0").select("term").distinct().collect()}
+    assert terms == {w for _, t in asked for w in t.split()} & {w for _, t in rows for w in (t or "").split()}
+    assert len(kept.inputFiles()) <= 8  # no file for each bucket of each task
+    text.index(docs, whole)
+    assert spark.read.parquet(f"{path}/corpus").drop("blocks").collect() == spark.read.parquet(f"{whole}/corpus").drop("blocks").collect()
+    found = [sorted(map(tuple, text.search(queries, p, 5).collect())) for p in (path, whole)]
+    assert found[0] == found[1] and len(found[0]) > 10
+    assert retrieval.batch_index(docs, "test-batch", queries) == path
+    other = retrieval.batch_index(docs, "test-batch", queries.filter("query_id = 2"))
+    assert {r.term for r in spark.read.parquet(f"{other}/postings").filter("bucket >= 0").collect()} == {"w1", "w2", "w3"}
+    assert retrieval.batch_index(docs, "test-batch", queries.limit(0)) not in (path, other)
+
+
+def test_texts_are_split_as_they_are_analysed(spark, monkeypatch):
+    monkeypatch.setattr(postings, "SLICE", 3000)
+    r = random.Random(3)
+    codes = [*range(1, 0x250), *range(0x300, 0x530), *range(0x1E00, 0x2100), *range(0x4E00, 0x4E10), *range(0xAC00, 0xAC10), *range(0x1F300, 0x1F308)]
+    rows = [(i, "".join(chr(r.choice(codes if i % 2 else codes[:200])) for _ in range(r.randrange(60)))) for i in range(3000)]
+    rows += [(-1, None), (-2, ""), (-3, "ΑΣ ΣΑΣ. Σ'Σ"), (-4, "Straße, ŒUVRE I\u0307 İ"), (-5, "\U00010400Ǿø e\u0301")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ready = text.prepared(docs).toArrow().combine_chunks().to_batches()
+    assert len({b.column(2)[i].is_valid for b in ready for i in range(b.num_rows)}) == 2
+    split = pa.Table.from_batches(postings._analysed(iter(ready), text.splitter(text.letters(spark))))
+    got = dict(zip(split["doc_id"].to_pylist(), split["tokens"].to_pylist(), strict=True))
+    assert got == {x.doc_id: x.t or [] for x in docs.select("doc_id", text.analyse(F.col("text")).alias("t")).collect()}
+
+
 def test_index_search_reads_partitions_of_its_terms_only(spark, corpus):
     path = shared.fresh(spark, "test-index")
     text.index(corpus[2], path)

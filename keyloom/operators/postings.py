@@ -192,9 +192,11 @@ def _scored(asked: pa.Table, row, k: int, kind: pa.DataType):
             lists = [right.column(c).combine_chunks() for c in ("docs", "counts")]
             offsets = lists[0].offsets.to_numpy()
             docs, counts = (x.values.to_numpy() for x in lists)
-            for term, a, b in zip(pa.compute.index_in(right.column("term"), terms).to_numpy(), offsets[:-1], offsets[1:], strict=True):
-                at = docs[a:b]
-                part = saturation(counts[a:b], length[at], average)
+            held = pa.compute.index_in(right.column("term"), terms).to_numpy()
+            # of all terms only those that a query of this block holds: few blocks are asked for by all queries
+            for nth in np.flatnonzero(np.add.reduceat(row[query] >= 0, first[:-1])[held]):
+                term, at = held[nth], docs[offsets[nth] : offsets[nth + 1]]
+                part = saturation(counts[offsets[nth] : offsets[nth + 1]], length[at], average)
                 rows = row[query[first[term] : first[term + 1]]]
                 wanted = rows >= 0
                 score[rows[wanted][:, None], at] += weight[first[term] : first[term + 1]][wanted][:, None] * part

@@ -69,6 +69,42 @@ def _analysed(batches: Iterator[pa.RecordBatch], tokens: Callable[[pa.Array], pa
             at = to
 
 
+def blocks_of(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.Table]:
+    """(doc_id, tokens) -> the documents of each block of a task, by id; at most `most` of them, or BLOCK."""
+    most = most or BLOCK
+
+    def block_of(parts: list[pa.Table]) -> pa.Table:
+        table = pa.concat_tables(parts).combine_chunks()
+        return table.take(pa.compute.sort_indices(table.column(0)))
+
+    parts, rows, held = [], 0, 0
+    for batch in batches:
+        size = np.r_[0, np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))]
+        at = 0
+        while at < batch.num_rows:
+            room = int(np.searchsorted(size, size[at] + max(1, TOKENS - held), side="right")) - 1
+            to = min(batch.num_rows, max(room, at + 1), at + most - rows)
+            parts.append(pa.Table.from_batches([batch.slice(at, to - at)]))
+            rows, held, at = rows + to - at, held + int(size[to] - size[at]), to
+            if rows >= most or held >= TOKENS:
+                yield block_of(parts)
+                parts, rows, held = [], 0, 0
+    if parts:
+        yield block_of(parts)
+
+
+def coded(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Of a block: ids and lengths of its documents, of each token its term's number, the terms, and of each token its document's place."""
+    tokens = pa.compute.fill_null(table.column(1), []).combine_chunks()
+    tokens = tokens.chunk(0) if isinstance(tokens, pa.ChunkedArray) else tokens
+    length = np.diff(tokens.offsets.to_numpy())
+    found = tokens.flatten().dictionary_encode()
+    code, terms = found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
+    ids = table.column(0).combine_chunks()
+    ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+    return ids, length, code, terms, np.repeat(np.arange(len(length)), length)
+
+
 def _posted(batches: Iterator[pa.RecordBatch], only: pa.Array | None) -> Iterator[pa.RecordBatch]:
     """(doc_id, tokens) -> rows of blocks (term null) and of postings, of `only` these terms if they are given."""
     first = TaskContext.get().partitionId() << 32
@@ -78,15 +114,8 @@ def _posted(batches: Iterator[pa.RecordBatch], only: pa.Array | None) -> Iterato
         found = np.searchsorted(values, np.arange(n + 1))
         return np.r_[found, found[-1]].astype(np.int32)
 
-    def block_of(parts: list[pa.Table], block: int) -> pa.RecordBatch:
-        table = pa.concat_tables(parts).combine_chunks()
-        table = table.take(pa.compute.sort_indices(table.column(0)))
-        tokens = pa.compute.fill_null(table.column(1), []).combine_chunks()
-        tokens = tokens.chunk(0) if isinstance(tokens, pa.ChunkedArray) else tokens
-        length = np.diff(tokens.offsets.to_numpy())
-        coded = tokens.flatten().dictionary_encode()
-        code, terms = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
-        place = np.repeat(np.arange(len(length)), length)
+    for block, table in enumerate(blocks_of(batches), first):
+        ids, length, code, terms, place = coded(table)
         if only is not None:
             asked = pa.compute.is_in(terms, value_set=only)
             known = asked.to_numpy(zero_copy_only=False)
@@ -101,12 +130,10 @@ def _posted(batches: Iterator[pa.RecordBatch], only: pa.Array | None) -> Iterato
         front = order[np.r_[True, high[1:] > np.maximum.accumulate(high)[:-1]]] if len(order) else order
         lists = lambda values, at: pa.ListArray.from_arrays(pa.array(at), pa.array(values.astype(np.int32)))
         every, best = ends(of, n), ends(of[front], n)
-        ids = table.column(0).combine_chunks()
-        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
         own = lambda values: pa.ListArray.from_arrays(
             pa.array(np.r_[np.zeros(n + 1, np.int32), len(values)].astype(np.int32)), values
         )
-        return pa.RecordBatch.from_arrays(
+        yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.full(n + 1, block, np.int64)),
                 pa.concat_arrays([terms.cast(pa.string()), pa.nulls(1, pa.string())]),
@@ -117,21 +144,6 @@ def _posted(batches: Iterator[pa.RecordBatch], only: pa.Array | None) -> Iterato
             ["block", "term", "df", "docs", "counts", "tops", "sizes", "ids", "lengths"],
         )
 
-    block, parts, rows, held = first, [], 0, 0
-    for batch in batches:
-        size = np.r_[0, np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))]
-        at = 0
-        while at < batch.num_rows:
-            room = int(np.searchsorted(size, size[at] + max(1, TOKENS - held), side="right")) - 1
-            to = min(batch.num_rows, max(room, at + 1), at + BLOCK - rows)
-            parts.append(pa.Table.from_batches([batch.slice(at, to - at)]))
-            rows, held, at = rows + to - at, held + int(size[to] - size[at]), to
-            if rows >= BLOCK or held >= TOKENS:
-                yield block_of(parts, block)
-                block, parts, rows, held = block + 1, [], 0, 0
-    if parts:
-        yield block_of(parts, block)
-
 
 def _bucket():
     return F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket")

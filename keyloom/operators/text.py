@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Callable
-from functools import cache, lru_cache
+from functools import cache, lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from keyloom.operators import fuzzy as nearby
 from keyloom.operators import postings
 from keyloom.operators.postings import B, K1  # noqa: F401
 from keyloom.sources import shared
@@ -20,6 +22,8 @@ from keyloom.sources import shared
 #: Letters without a canonical decomposition and what they fold to; those that become two letters.
 OTHER_FOLDS = {"đ": "d", "ø": "o", "ł": "l", "ı": "i"}
 PAIRS = {"ß": "ss", "æ": "ae", "œ": "oe"}
+#: Terms that every task takes at once to find the words near them; near words and queries of a batch that every task takes to score it.
+NEAR_TERMS, NEAR_WORDS, NEAR_QUERIES = 100_000, 16_000_000, 65_536
 
 
 def _folds() -> dict[str, str]:
@@ -139,41 +143,71 @@ def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int, fuzzy: bool = False)
     it allows. idf = ln(1 + (N - df + 0.5) / (df + 0.5)). Null texts have no tokens; no matches give no rows. The texts are
     indexed first, for the terms of these queries; where many batches search the same texts, keep an index of all (`index`, `search`).
     """
+    if fuzzy:
+        return fuzzy_top_k(queries, docs, k)
     path = shared.fresh(docs.sparkSession, "bm25")
-    index(docs, path, None if fuzzy else terms_of(queries))
-    return search(queries, path, k, fuzzy)
+    index(docs, path, terms_of(queries))
+    return search(queries, path, k)
 
 
-def edits_allowed(term: Column) -> Column:
-    """Edit distance that a term of this length may have: 0 up to two letters, 1 up to five, 2 beyond."""
-    return F.when(F.length(term) <= 2, 0).when(F.length(term) <= 5, 1).otherwise(2)
+def fuzzy_top_k(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """bm25_top_k of a batch whose terms stand for all words of docs within their edit distance (see `fuzzy.scan`).
 
-
-def _without_one(term: Column) -> Column:
-    """The term and all that is left of it without one letter."""
-    cut = F.transform(
-        F.sequence(F.lit(1), F.length(term)),
-        lambda i: F.concat(F.substr(term, F.lit(1), i - 1), F.substr(term, i + 1)),
-    )
-    return F.when(F.length(term) > 0, F.array_distinct(F.concat(F.array(term), cut))).otherwise(F.array(term))
+    The texts are read once for the words that they hold and once for the scores. Queries of the same terms are answered together, and a
+    batch with more near words than every task can take is dealt into parts of whole queries, each of which reads the texts again.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    spark, of_doc = docs.sparkSession, docs.schema["doc_id"].dataType
+    texts, tokens = prepared(docs), splitter(letters(spark))
+    counts = texts.mapInArrow(nearby.counted(tokens), "term string, df long, words long")
+    counts = shared.written(counts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words")), "words")
+    corpus = counts.filter("term IS NULL").first()
+    n, average = (corpus.df, (corpus.words / corpus.df) or 1.0) if corpus else (0, 1.0)
+    words = counts.filter("term IS NOT NULL").select(F.col("term").alias("word"), "df")
+
+    bag = F.array_join(F.array_sort(F.flatten(F.collect_list(analyse(F.col("text"))))), " ")
+    own = shared.written(queries.groupBy("query_id").agg(bag.alias("bag")).filter("bag <> ''"), "queries")
+    bags = shared.written(own.select("bag").distinct().withColumn("n", F.monotonically_increasing_id()), "bags")
+
+    def parts(some: DataFrame, depth: int):
+        """Queries, and the words near their terms."""
+        rows, half = some.count(), F.pmod(F.xxhash64("bag", F.lit(depth)), F.lit(2))
+        few = rows <= NEAR_QUERIES or depth == postings.MAX_HALVINGS
+        if rows and few:
+            one = nearby.asked(some.toArrow())
+            starts = range(0, len(one.terms), NEAR_TERMS)
+            kind, form = nearby.kind_of(one.terms), "word string, df long, near binary, edits binary"
+            near = [words.mapInArrow(nearby.lists(one.terms.slice(i, NEAR_TERMS), i, kind), form) for i in starts]
+            held = shared.written(reduce(DataFrame.unionAll, near), "near")
+            few = rows == 1 or depth == postings.MAX_HALVINGS or (held.agg(F.sum(F.octet_length("near"))).first()[0] or 0) <= 4 * NEAR_WORDS
+            if few:
+                yield one, nearby.words_of(held.toArrow(), n, kind)
+        if rows and not few:
+            for part in (0, 1):
+                yield from parts(some.filter(half == part), depth + 1)
+
+    form = f"n long, doc_id {of_doc.simpleString()}, raw_score double"
+    best = Window.partitionBy("n").orderBy(F.desc("raw_score"), F.asc_nulls_last("doc_id"))
+    answered = [spark.createDataFrame([], f"{form}, rank int")]
+    for one, held in parts(bags, 0):
+        found = texts.mapInArrow(nearby.scan(one, held, tokens, k, average, to_arrow_type(of_doc)), form)
+        found = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        answered.append(shared.written(found, "found"))
+    hits = reduce(DataFrame.unionAll, answered).join(bags, "n")
+    return hits.join(own, "bag").select("query_id", "doc_id", "raw_score", "rank")
 
 
 def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(term, word, distance): words of the vocabulary within each term's allowed edit distance.
 
-    terms (term) and vocabulary (word) hold each text once. Two texts within distance d share a text that is left of
-    either without at most d letters, so an equi-join on these finds all pairs; the distance is then checked.
+    terms (term) and vocabulary (word) hold each text once. Every task takes the terms, NEAR_TERMS or so at a time (see `fuzzy.Near`).
     """
-
-    def left(df: DataFrame, name: str, most: Column) -> DataFrame:
-        once = _without_one(F.col(name))
-        twice = F.array_distinct(F.flatten(F.transform(once, _without_one)))
-        kept = F.when(most == 0, F.array(F.col(name))).when(most == 1, once).otherwise(twice)
-        return df.select(name, F.explode(kept).alias("_left"))
-
-    asked = left(terms, "term", edits_allowed(F.col("term")))
-    # a word may be up to two letters shorter or longer than the term it is for, so its own length does not bound it
-    known = left(vocabulary, "word", F.lit(2))
-    pairs = asked.join(known, "_left").select("term", "word").distinct()
-    pairs = pairs.withColumn("distance", F.levenshtein("term", "word"))
-    return pairs.filter(F.col("distance") <= edits_allowed(F.col("term")))
+    terms = shared.written(terms.filter("term IS NOT NULL").select("term"), "asked")
+    parts = max(1, math.ceil(terms.count() / NEAR_TERMS))
+    found = []
+    for part in range(parts):
+        one = terms.filter(F.pmod(F.xxhash64("term"), F.lit(parts)) == part).toArrow()
+        one = nearby.whole(one.column("term"))
+        found.append(vocabulary.select("word").mapInArrow(nearby.pairs(one), "term string, word string, distance int"))
+    return reduce(DataFrame.unionAll, found)
